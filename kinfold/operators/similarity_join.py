@@ -1,0 +1,129 @@
+"""Exact similarity joins inside groups, without pairing every value of a group with every other.
+
+A pair above a similarity threshold must share a minimum number of characters, so two values can only qualify when the
+rarest characters of the one meet those of the other (prefix filtering). Values are therefore joined on
+``(group, rare character)`` instead of on the group. The filter drops only pairs that provably stay below the
+threshold; the caller scores what is left.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Fixed value: letters from common to rare. Any total order gives the same result; a good one gives fewer candidates.
+_COMMON_FIRST = "eaionrtlsudcmhgpbfyvkwzxjq"
+_SLACK = 1e-4  # thresholds are compared with scores rounded to four places
+
+JARO_WINKLER, LEVENSHTEIN = "jaro_winkler", "levenshtein"
+
+
+def _bands(method: str, threshold: float) -> list[tuple[int, float, float, float]]:
+    """``(leading characters in common, shortest share, longest share, length ratio)`` per band of pairs.
+
+    With n the length of a side, a qualifying pair shares at least ``shortest share * n`` characters when that side is
+    the shorter one and ``longest share * n`` when it is the longer one.
+    """
+    t = threshold - _SLACK
+    if method == LEVENSHTEIN:
+        return [(0, t, t, t)]
+    bands = []
+    for lead in range(5):
+        jaro = min(t, max(0.7 - _SLACK, (t - 0.1 * lead) / (1 - 0.1 * lead)))
+        c = 3 * jaro - 1  # matches / n1 + matches / n2 >= c
+        bands.append((lead, c / 2, max(c - 1, 0.0), max(c - 1, 0.0)))
+    return bands
+
+
+def _rare_first(value: Column) -> Column:
+    """Characters of a value, numbered per repetition (a1, a2, ...), rarest first."""
+    chars = F.split(value, "")
+    numbered = F.transform(
+        chars,
+        lambda ch, i: F.struct(
+            (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))).alias("repeat"),
+            (-F.when(F.instr(F.lit(_COMMON_FIRST), ch) > 0, F.instr(F.lit(_COMMON_FIRST), ch)).otherwise(99)).alias("rank"),
+            ch.alias("ch"),
+        ),
+    )
+    return F.transform(F.array_sort(numbered), lambda t: F.concat(t["ch"], (-t["repeat"]).cast("string")))
+
+
+def _signatures(df: DataFrame, value_col: str, shares: Sequence[float], ratios: Sequence[float]) -> DataFrame:
+    """One row per band and prefix character: ``_band``, ``_lead`` (common start), ``_token``, ``_head``, ``_n``, ``_ratio``."""
+    n = F.length(value_col)
+
+    def band(lead: int, share: float, ratio: float) -> Column:
+        needed = F.greatest(F.lit(1), F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int"))
+        head = F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice("_tokens", 1, F.greatest(F.lit(1), n - needed + 1)))
+        start = F.substring(value_col, 1, lead) if lead else F.lit("")
+        return F.struct(F.lit(lead).alias("band"), start.alias("lead"), head.alias("head"), F.lit(ratio).alias("ratio"))
+
+    bands = F.array(*[band(lead, share, ratio) for lead, (share, ratio) in enumerate(zip(shares, ratios))])
+    return (
+        df.withColumn("_s", F.explode(bands))
+        .withColumns({"_band": F.col("_s.band"), "_lead": F.col("_s.lead"), "_head": F.col("_s.head"), "_n": n, "_ratio": F.col("_s.ratio")})
+        .withColumn("_token", F.explode("_head"))
+        .drop("_s", "_tokens")
+    )
+
+
+def _tiles(df: DataFrame, other: DataFrame, keys: Sequence[str], rows_per_tile: int) -> DataFrame:
+    """Bucket keys that hold more than ``rows_per_tile`` rows on either side, with the number of tiles they need."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_c")).unionByName(other.groupBy(*keys).agg(F.count("*").alias("_c")))
+    return (
+        counts.filter(F.col("_c") > rows_per_tile)
+        .groupBy(*keys)
+        .agg(F.ceil(F.max("_c") / F.lit(rows_per_tile)).cast("int").alias("_tiles"))
+    )
+
+
+def tiled_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Column, left_id: str, right_id: str, rows_per_tile: int) -> DataFrame:
+    """Equi-join on ``keys`` in which a key with very many rows is spread over a grid of tiles, one task unit each.
+
+    ``left`` and ``right`` must have the key columns under the same names and no other column in common.
+    """
+    tiles = _tiles(left, right, keys, rows_per_tile)
+    k = F.coalesce(F.col("_tiles"), F.lit(1))
+    own = lambda c: F.pmod(F.xxhash64(c), k).cast("int")
+    grid = F.sequence(F.lit(0), k - 1)
+    lt = left.join(tiles, list(keys), "left").withColumns({"_i": own(left_id), "_j": F.explode(grid)}).drop("_tiles")
+    rt = right.join(tiles, list(keys), "left").withColumns({"_j": own(right_id), "_i": F.explode(grid)}).drop("_tiles")
+    return lt.join(rt, [*keys, "_i", "_j"], "inner").filter(on).drop("_i", "_j")
+
+
+def similar_candidates(
+    df: DataFrame, group: Sequence[str], id_col: str, value_col: str, method: str, threshold: float,
+    carry: Sequence[str] = (), rows_per_tile: int = 2048,
+) -> DataFrame:
+    """Pairs within ``group`` that may reach ``threshold`` on ``value_col``, each once, with ``carry`` as ``_a``/``_b``.
+
+    ``df`` has one row per ``id_col``; values are in comparison form and not null. The shorter text (the smaller id at
+    equal length) is searched with a short prefix, the longer one with a long prefix.
+    """
+    keep = list(dict.fromkeys([id_col, value_col, *carry]))
+    base = df.select(*group, *keep).withColumn("_tokens", _rare_first(F.col(value_col)))
+    _, short, long, ratios = zip(*_bands(method, threshold))
+    keys = [*group, "_band", "_lead", "_token"]
+
+    def side(shares: Sequence[float], s: str) -> DataFrame:
+        named = [F.col(c).alias(f"{c}{s}") for c in (*keep, "_head", "_n", "_ratio")]
+        return _signatures(base, value_col, shares, ratios).select(*keys, *named)
+
+    n_x, n_y = F.col("_n_x"), F.col("_n_y")
+    on = (n_x < n_y) | ((n_x == n_y) & (F.col(f"{id_col}_x") < F.col(f"{id_col}_y")))
+    on = on & (n_x >= n_y * F.col("_ratio_x") - F.lit(1e-9))
+    # a pair meets once, at the first signature both sides have
+    on = on & (F.element_at(F.array_intersect("_head_x", "_head_y"), 1) == F.col("_token"))
+    if method == JARO_WINKLER:  # a longer common start belongs to a later band
+        after = lambda s: F.substr(F.col(f"{value_col}{s}"), F.col("_band") + 1, F.lit(1))
+        on = on & ((F.col("_band") == 4) | (after("_x") != after("_y")))
+    pairs = tiled_join(side(short, "_x"), side(long, "_y"), keys, on, f"{id_col}_x", f"{id_col}_y", rows_per_tile)
+    first = F.col(f"{id_col}_x") < F.col(f"{id_col}_y")
+    return pairs.select(
+        *group,
+        *[F.when(first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(f"{c}_a") for c in keep],
+        *[F.when(first, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")).alias(f"{c}_b") for c in keep],
+    )
