@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, metaphone, normalize, strip, title_case
+from ..session import materialize
 from .compare import similarity_method
 from .similarity_join import similar_candidates
 
@@ -54,9 +55,15 @@ def _suffix(df: DataFrame, group: Sequence[str], suffix: str) -> DataFrame:
     return df.select(*group, *[F.col(c).alias(f"{rename.get(c, c)}{suffix}") for c in df.columns if c not in group])
 
 
-def split_by_block_size(profs: DataFrame, group: Sequence[str], direct_block: int) -> tuple[DataFrame, DataFrame]:
-    """(profiles of blocks with at most ``direct_block`` profiles, profiles of the larger blocks)."""
-    large = profs.groupBy(*group).agg(F.count("*").alias("_c")).filter(F.col("_c") > direct_block).select(*group)
+def split_by_block_size(profs: DataFrame, group: Sequence[str], direct_block: int) -> tuple[DataFrame, DataFrame | None]:
+    """(profiles of blocks with at most ``direct_block`` profiles, profiles of the larger blocks or None).
+
+    The list of large blocks has at most ``profiles / direct_block`` rows. It is written to the shared folder; the driver
+    only asks whether there are any.
+    """
+    large = materialize(profs.groupBy(*group).agg(F.count("*").alias("_c")).filter(F.col("_c") > direct_block).select(*group))
+    if large.isEmpty():
+        return profs, None
     return profs.join(large, list(group), "left_anti"), profs.join(large, list(group), "left_semi")
 
 
@@ -88,12 +95,13 @@ def candidate_pairs(
     non-match and is counted by ``block_statistics`` instead of being listed.
     """
     present = [c for c in attributes if c in profs.columns]
+    profs = materialize(profs)
     small, large = split_by_block_size(profs, group, direct_block)
-    found = [filtered_pairs(large, c, group, review, rows_per_tile) for c in present]
-    far = reduce(lambda a, b: a.unionByName(b), found).dropDuplicates([*group, "id_a", "id_b"])
-    return direct_pairs(small, group).unionByName(far).withColumn(
-        "record_pairs", F.col("n_records_a") * F.col("n_records_b")
-    )
+    pairs = direct_pairs(small, group)
+    if large is not None:
+        found = [filtered_pairs(large, c, group, review, rows_per_tile) for c in present]
+        pairs = pairs.unionByName(reduce(lambda a, b: a.unionByName(b), found).dropDuplicates([*group, "id_a", "id_b"]))
+    return pairs.withColumn("record_pairs", F.col("n_records_a") * F.col("n_records_b"))
 
 
 def block_statistics(df: DataFrame, group: Sequence[str] = ("tenant_id", "block_key")) -> DataFrame:

@@ -1,91 +1,135 @@
 """Exact similarity joins inside groups, without pairing every value of a group with every other.
 
 A pair above a similarity threshold must share a minimum number of characters, so two values can only qualify when the
-rarest characters of the one meet those of the other (prefix filtering). Values are therefore joined on
-``(group, rare character)`` instead of on the group. The filter drops only pairs that provably stay below the
+rarest characters of the one meet those of the other (prefix filtering). Values are therefore joined on the group and a
+few rare characters at a time instead of on the group. The filter drops only pairs that provably stay below the
 threshold; the caller scores what is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: letters from common to rare. Any total order gives the same result; a good one gives fewer candidates.
-_COMMON_FIRST = "eaionrtlsudcmhgpbfyvkwzxjq"
+from ..session import materialize
+
+_RANKED = 512
 _SLACK = 1e-4  # thresholds are compared with scores rounded to four places
 
 JARO_WINKLER, LEVENSHTEIN = "jaro_winkler", "levenshtein"
 
 
-def _bands(method: str, threshold: float) -> list[tuple[int, float, float, float]]:
-    """``(leading characters in common, shortest share, longest share, length ratio)`` per band of pairs.
+@dataclass(frozen=True)
+class _Band:
+    """Pairs that start with the same ``lead`` characters (and differ after them, unless ``last``).
 
-    With n the length of a side, a qualifying pair shares at least ``shortest share * n`` characters when that side is
-    the shorter one and ``longest share * n`` when it is the longer one.
+    A qualifying pair shares at least ``short * n`` characters when n is the length of the shorter side, at least
+    ``long * n`` when n is that of the longer side, and the shorter side has at least ``long * n`` characters. It is
+    looked up by up to ``most`` shared characters at once: more of them make smaller buckets and more signatures.
     """
+
+    lead: int
+    last: bool
+    short: float
+    long: float
+    most: int
+
+
+def _bands(method: str, threshold: float) -> list[_Band]:
     t = threshold - _SLACK
-    if method == LEVENSHTEIN:
-        return [(0, t, t, t)]
+    if method == LEVENSHTEIN:  # at most (1 - t) * n edits, so at least t * n characters in common
+        return [_Band(0, True, t, t, 3 if t >= 0.65 else 2)]
     bands = []
     for lead in range(5):
+        # up to four equal leading characters raise a Jaro similarity above 0.7 by a tenth of the rest each
         jaro = min(t, max(0.7 - _SLACK, (t - 0.1 * lead) / (1 - 0.1 * lead)))
         c = 3 * jaro - 1  # matches / n1 + matches / n2 >= c
-        bands.append((lead, c / 2, max(c - 1, 0.0), max(c - 1, 0.0)))
+        last = lead == 4 or jaro <= 0.7
+        most = (3 if c >= 1.4 else 2 if c >= 1.25 else 1) - (1 if lead else 0) - (1 if lead > 2 else 0)
+        bands.append(_Band(lead, last, c / 2, max(c - 1, 0.0), max(1, most)))
+        if last:
+            break
     return bands
 
 
-def _rare_first(value: Column) -> Column:
-    """Characters of a value, numbered per repetition (a1, a2, ...), rarest first."""
+def _numbered_characters(value: Column) -> Column:
+    """Characters of a value, numbered per repetition: a1, a2, ..."""
     chars = F.split(value, "")
-    numbered = F.transform(
-        chars,
-        lambda ch, i: F.struct(
-            (-F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))).alias("repeat"),
-            (-F.when(F.instr(F.lit(_COMMON_FIRST), ch) > 0, F.instr(F.lit(_COMMON_FIRST), ch)).otherwise(99)).alias("rank"),
-            ch.alias("ch"),
-        ),
-    )
-    return F.transform(F.array_sort(numbered), lambda t: F.concat(t["ch"], (-t["repeat"]).cast("string")))
-
+    nth = lambda ch, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch))
+    return F.transform(chars, lambda ch, i: F.concat(ch, nth(ch, i).cast("string")))
 
-def _signatures(df: DataFrame, value_col: str, shares: Sequence[float], ratios: Sequence[float]) -> DataFrame:
-    """One row per band and prefix character: ``_band``, ``_lead`` (common start), ``_token``, ``_head``, ``_n``, ``_ratio``."""
-    n = F.length(value_col)
 
-    def band(lead: int, share: float, ratio: float) -> Column:
-        needed = F.greatest(F.lit(1), F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int"))
-        head = F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice("_tokens", 1, F.greatest(F.lit(1), n - needed + 1)))
-        start = F.substring(value_col, 1, lead) if lead else F.lit("")
-        return F.struct(F.lit(lead).alias("band"), start.alias("lead"), head.alias("head"), F.lit(ratio).alias("ratio"))
+def _rare_first(base: DataFrame) -> DataFrame:
+    """Sort ``_tokens`` from rare to common.
 
-    bands = F.array(*[band(lead, share, ratio) for lead, (share, ratio) in enumerate(zip(shares, ratios))])
-    return (
-        df.withColumn("_s", F.explode(bands))
-        .withColumns({"_band": F.col("_s.band"), "_lead": F.col("_s.lead"), "_head": F.col("_s.head"), "_n": n, "_ratio": F.col("_s.ratio")})
-        .withColumn("_token", F.explode("_head"))
-        .drop("_s", "_tokens")
+    Any order that is the same for all values gives the same result; a good one gives few candidates. The most frequent
+    characters are counted (the driver reads a list of at most ``_RANKED`` of them), all others count as rare.
+    """
+    counted = base.select(F.explode("_tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    common = [r["t"] for r in counted.orderBy(F.col("n").desc(), "t").limit(_RANKED).collect()]
+    ranks = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
+
+    def key(t: Column) -> Column:
+        at = F.array_position(ranks, t)
+        return F.struct(F.when(at == 0, F.lit(-_RANKED - 1)).otherwise(-at).alias("order"), t.alias("token"))
+
+    return base.withColumn("_tokens", F.transform(F.array_sort(F.transform("_tokens", key)), lambda k: k["token"]))
+
+
+def _combinations(head: Column, size: int) -> Column:
+    """All selections of ``size`` tokens in order, each as one text."""
+    rest = lambda start: F.slice(head, start, F.greatest(F.lit(0), F.size(head)))
+    if size == 1:
+        return head
+    if size == 2:
+        return F.flatten(F.transform(head, lambda x, i: F.transform(rest(i + 2), lambda y: F.concat(x, y))))
+    triples = lambda x, i: F.flatten(
+        F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: F.concat(x, y, z)))
     )
+    return F.flatten(F.transform(head, triples))
+
+
+def _up(share: float, n: Column) -> Column:
+    return F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int")
 
 
-def _tiles(df: DataFrame, other: DataFrame, keys: Sequence[str], rows_per_tile: int) -> DataFrame:
-    """Bucket keys that hold more than ``rows_per_tile`` rows on either side, with the number of tiles they need."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_c")).unionByName(other.groupBy(*keys).agg(F.count("*").alias("_c")))
+def _signatures(df: DataFrame, value_col: str, bands: Sequence[_Band], shorter: bool) -> DataFrame:
+    """One row per band and looked-up selection of rare characters: ``_band``, ``_size``, ``_lead``, ``_token``, ``_head``."""
+    n = F.length(value_col)
+    entries = []
+    for b in bands:
+        size_for = lambda length: F.greatest(F.lit(1), F.least(F.lit(b.most), _up(b.short, length)))  # noqa: B023, E731
+        for size in range(1, b.most + 1):
+            if shorter:
+                shared, asked = _up(b.short, n), size_for(n) == size
+            else:  # the sizes a shorter partner of admissible length may ask for
+                shared, asked = _up(b.long, n), (size_for(_up(b.long, n)) <= size) & (size_for(n) >= size)
+            head = F.slice("_tokens", 1, F.greatest(F.lit(1), n - F.greatest(F.lit(size), shared) + size))
+            head = F.when(n == 0, F.array(F.lit(""))).otherwise(head)
+            start = F.substring(value_col, 1, b.lead) if b.lead else F.lit("")
+            entry = F.struct(
+                F.lit(b.lead).alias("band"), F.lit(size).alias("size"), start.alias("lead"), head.alias("head"), _combinations(head, size).alias("tokens")
+            )
+            entries.append(F.when(asked, entry))
     return (
-        counts.filter(F.col("_c") > rows_per_tile)
-        .groupBy(*keys)
-        .agg(F.ceil(F.max("_c") / F.lit(rows_per_tile)).cast("int").alias("_tiles"))
+        df.withColumn("_s", F.explode(F.array_compact(F.array(*entries))))
+        .withColumns({"_band": F.col("_s.band"), "_size": F.col("_s.size"), "_lead": F.col("_s.lead"), "_head": F.col("_s.head"), "_n": n})
+        .withColumn("_token", F.explode("_s.tokens"))
+        .drop("_s", "_tokens")
     )
 
 
 def tiled_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Column, left_id: str, right_id: str, rows_per_tile: int) -> DataFrame:
     """Equi-join on ``keys`` in which a key with very many rows is spread over a grid of tiles, one task unit each.
 
-    ``left`` and ``right`` must have the key columns under the same names and no other column in common.
+    ``left`` and ``right`` have the key columns under the same names and no other column in common; ``right`` has at
+    least as many rows per key as ``left`` where both have some, so its counts (combined on the map side) size the tiles.
     """
-    tiles = _tiles(left, right, keys, rows_per_tile)
+    counts = right.groupBy(*keys).agg(F.count("*").alias("_c")).filter(F.col("_c") > rows_per_tile)
+    tiles = counts.select(*keys, F.ceil(F.col("_c") / F.lit(rows_per_tile)).cast("int").alias("_tiles"))
     k = F.coalesce(F.col("_tiles"), F.lit(1))
     own = lambda c: F.pmod(F.xxhash64(c), k).cast("int")
     grid = F.sequence(F.lit(0), k - 1)
@@ -101,26 +145,34 @@ def similar_candidates(
     """Pairs within ``group`` that may reach ``threshold`` on ``value_col``, each once, with ``carry`` as ``_a``/``_b``.
 
     ``df`` has one row per ``id_col``; values are in comparison form and not null. The shorter text (the smaller id at
-    equal length) is searched with a short prefix, the longer one with a long prefix.
+    equal length) is searched with a short prefix, the longer one with a long prefix. The values and
+    their characters are written to the shared folder once, from where both sides and the bucket counts read them.
     """
     keep = list(dict.fromkeys([id_col, value_col, *carry]))
-    base = df.select(*group, *keep).withColumn("_tokens", _rare_first(F.col(value_col)))
-    _, short, long, ratios = zip(*_bands(method, threshold))
-    keys = [*group, "_band", "_lead", "_token"]
-
-    def side(shares: Sequence[float], s: str) -> DataFrame:
-        named = [F.col(c).alias(f"{c}{s}") for c in (*keep, "_head", "_n", "_ratio")]
-        return _signatures(base, value_col, shares, ratios).select(*keys, *named)
+    # spread by id: the work per value is large for its few bytes, which adaptive execution would pack into few tasks
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(*group, *keep).repartition(tasks, id_col)
+    base = materialize(spread.withColumn("_tokens", _numbered_characters(F.col(value_col))))
+    base = _rare_first(base)
+    bands = _bands(method, threshold)
+    keys = [*group, "_band", "_size", "_lead", "_token"]
+
+    def side(shorter: bool, s: str) -> DataFrame:
+        named = [F.col(c).alias(f"{c}{s}") for c in (*keep, "_head", "_n")]
+        return _signatures(base, value_col, bands, shorter).select(*keys, *named)
 
     n_x, n_y = F.col("_n_x"), F.col("_n_y")
     on = (n_x < n_y) | ((n_x == n_y) & (F.col(f"{id_col}_x") < F.col(f"{id_col}_y")))
-    on = on & (n_x >= n_y * F.col("_ratio_x") - F.lit(1e-9))
-    # a pair meets once, at the first signature both sides have
-    on = on & (F.element_at(F.array_intersect("_head_x", "_head_y"), 1) == F.col("_token"))
-    if method == JARO_WINKLER:  # a longer common start belongs to a later band
-        after = lambda s: F.substr(F.col(f"{value_col}{s}"), F.col("_band") + 1, F.lit(1))
-        on = on & ((F.col("_band") == 4) | (after("_x") != after("_y")))
-    pairs = tiled_join(side(short, "_x"), side(long, "_y"), keys, on, f"{id_col}_x", f"{id_col}_y", rows_per_tile)
+    # a pair meets once, at the first selection both sides have
+    common = F.slice(F.array_intersect("_head_x", "_head_y"), F.lit(1), F.col("_size"))
+    on = on & (F.array_join(common, "") == F.col("_token"))
+    after = lambda s: F.substr(F.col(f"{value_col}{s}"), F.col("_band") + 1, F.lit(1))
+    for b in bands:
+        fits = n_x >= n_y * F.lit(b.long) - F.lit(1e-9)
+        if not b.last:  # a longer common start belongs to a later band
+            fits = fits & (after("_x") != after("_y"))
+        on = on & (F.col("_band").eqNullSafe(b.lead) & fits | (F.col("_band") != b.lead))
+    pairs = tiled_join(side(True, "_x"), side(False, "_y"), keys, on, f"{id_col}_x", f"{id_col}_y", rows_per_tile)
     first = F.col(f"{id_col}_x") < F.col(f"{id_col}_y")
     return pairs.select(
         *group,

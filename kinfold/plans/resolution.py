@@ -54,9 +54,10 @@ def linked_pairs(profs: DataFrame, spec: MatchSpec = MatchSpec(), decided: DataF
     tell by itself. Pairs in ``decided`` (``id_a``, ``id_b``) were judged before and are not proposed again.
     """
     present = [c for c in spec.weights if c in profs.columns]
+    profs = materialize(profs)
     small, large = split_by_block_size(profs, spec.group, spec.direct_block)
     scored = [score_pairs(direct_pairs(small, spec.group), spec.weights)]
-    for i, attribute in enumerate(present):
+    for i, attribute in enumerate(present if large is not None else ()):
         pairs = score_pairs(filtered_pairs(large, attribute, spec.group, spec.review, spec.rows_per_tile), spec.weights)
         reaches = F.col(f"score_{attribute}") >= spec.review
         earlier = [F.col(f"score_{c}") >= spec.review for c in present[:i]]
