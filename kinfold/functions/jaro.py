@@ -1,65 +1,110 @@
-"""Jaro-Winkler over Arrow batches: numpy only, one matrix step per character position instead of a loop per row."""
+"""Jaro-Winkler over Arrow batches: numpy only, one step per character position for a whole block of pairs.
+
+Positions of the second text are the bits of a word, so a step of the greedy matching is a handful of word operations
+per pair. Texts of more than 64 characters take more than one word.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 
+_ROWS = 4096
+
+
+def _characters(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides as matrices of small character codes, padded with 0."""
+    width = max(max(map(len, a)), max(map(len, b)), 1)
+    width = -(-width // 64) * 64
+    both = np.array(a + b, dtype=f"<U{width}").view(np.uint32).reshape(len(a) + len(b), width)
+    if both.max() < 256:
+        both = both.astype(np.uint8)
+    return both[: len(a)], both[len(a) :]
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Rows of flags as rows of 64-bit words, position 0 in the lowest bit."""
+    return np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+
+
+def _ones(n: np.ndarray) -> np.ndarray:
+    """Words with the lowest n bits set, n from 0 to 64."""
+    full = n >= 64
+    return np.where(full, ~np.uint64(0), (np.uint64(1) << np.where(full, 0, n).astype(np.uint64)) - np.uint64(1))
+
+
+def _span(start: np.ndarray, stop: np.ndarray, words: int) -> np.ndarray:
+    """Rows of words with the bits from ``start`` to before ``stop`` set."""
+    out = np.empty((len(start), words), dtype=np.uint64)
+    for k in range(words):
+        low, high = np.clip(start - 64 * k, 0, 64), np.clip(stop - 64 * k, 0, 64)
+        out[:, k] = _ones(high) & ~_ones(low)
+    return out
+
 
-def _code_points(values: pd.Series, width: int) -> np.ndarray:
-    return np.array(values.tolist(), dtype=f"<U{width}").view(np.uint32).reshape(len(values), width)
+def _lowest(words: np.ndarray) -> np.ndarray:
+    """The lowest set bit of a row of words, as a row of words with at most one bit."""
+    low = words & (~words + np.uint64(1))
+    for k in range(1, words.shape[1]):
+        low[:, k] *= ~words[:, :k].any(axis=1)
+    return low
 
 
-def _matched_in_order(chars: np.ndarray, matched: np.ndarray) -> np.ndarray:
-    order = np.argsort(~matched, axis=1, kind="stable")
-    return np.take_along_axis(chars, order, axis=1)
+def _position(bit: np.ndarray) -> np.ndarray:
+    """Index of the only bit of each row."""
+    at = np.zeros(len(bit), dtype=np.int64)
+    for k in range(bit.shape[1]):
+        found = bit[:, k] != 0
+        at[found] = 64 * k + np.log2(bit[found, k].astype(np.float64)).astype(np.int64)
+    return at
 
 
-def _jaro_winkler_block(a: pd.Series, b: pd.Series) -> np.ndarray:
-    len_a, len_b = a.str.len().to_numpy(), b.str.len().to_numpy()
-    width = int(max(len_a.max(), len_b.max(), 1))
-    ca, cb = _code_points(a, width), _code_points(b, width)
-    rows, columns = np.arange(len(a)), np.arange(width)[None, :]
+def _block(a: list[str], b: list[str]) -> np.ndarray:
+    ca, cb = _characters(a, b)
+    len_a, len_b = (ca != 0).sum(axis=1), (cb != 0).sum(axis=1)
     reach = np.maximum(np.maximum(len_a, len_b) // 2 - 1, 0)
-    hit_a, hit_b = np.zeros(ca.shape, bool), np.zeros(cb.shape, bool)
-    free_b = columns < len_b[:, None]
+    words = ca.shape[1] // 64
+    free, hit_a = _span(0 * len_b, len_b, words), np.zeros((len(ca), words), dtype=np.uint64)
+    matches = np.zeros(len(ca), dtype=np.int64)
     for i in range(int(len_a.max())):
-        ok = (cb == ca[:, i : i + 1]) & free_b & (np.abs(columns - i) <= reach[:, None]) & (i < len_a)[:, None]
-        first = ok.argmax(axis=1)
-        found = ok[rows, first]
-        hit_a[:, i] = found
-        hit_b[rows[found], first[found]] = True
-        free_b[rows[found], first[found]] = False
-    matches = hit_a.sum(axis=1)
-    swapped = (_matched_in_order(ca, hit_a) != _matched_in_order(cb, hit_b)) & (columns < matches[:, None])
-    transposed = swapped.sum(axis=1) // 2
+        window = _span(i - reach, np.where(i < len_a, i + reach + 1, 0), words)
+        taken = _lowest(_bits(cb == ca[:, i : i + 1]) & window & free)
+        free &= ~taken
+        found = taken.any(axis=1)
+        matches += found
+        hit_a[:, i // 64] |= found.astype(np.uint64) << np.uint64(i % 64)
+    hit_b = _span(0 * len_b, len_b, words) & ~free
+    swapped, rows = np.zeros(len(ca), dtype=np.int64), np.arange(len(ca))
+    for k in range(int(matches.max())):  # the k-th matched character of either side
+        low_a, low_b = _lowest(hit_a), _lowest(hit_b)
+        differ = ca[rows, _position(low_a)] != cb[rows, _position(low_b)]
+        swapped += differ & (k < matches)
+        hit_a &= ~low_a
+        hit_b &= ~low_b
     with np.errstate(divide="ignore", invalid="ignore"):
-        jaro = (matches / len_a + matches / len_b + (matches - transposed) / matches) / 3.0
+        jaro = (matches / len_a + matches / len_b + (matches - swapped // 2) / matches) / 3.0
     jaro = np.where(matches > 0, jaro, 0.0)
-    head = min(4, width)
-    same = (ca[:, :head] == cb[:, :head]) & (columns[:, :head] < np.minimum(len_a, len_b)[:, None])
+    same = (ca[:, :4] == cb[:, :4]) & (ca[:, :4] != 0)
     prefix = np.cumprod(same, axis=1).sum(axis=1)
     return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1.0 - jaro), jaro)
 
 
 def jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler per row over comparison forms: prefix of up to 4, scale 0.1, boost only above 0.7."""
-    out = np.zeros(len(a))
+    """Jaro-Winkler per row over comparison forms: prefix of up to 4, scale 0.1, boost only above 0.7. Null scores 0."""
+    x, y = a.to_numpy(object), b.to_numpy(object)
+    out = np.zeros(len(x))
     present = (a.notna() & b.notna()).to_numpy()
-    equal = present & (a == b).to_numpy()
+    equal = present & (x == y)
     out[equal] = 1.0
     todo = np.flatnonzero(present & ~equal)
-    if len(todo):
-        x, y = a.iloc[todo], b.iloc[todo]
-        widths = np.maximum(x.str.len().to_numpy(), y.str.len().to_numpy())
-        todo = todo[np.argsort(widths, kind="stable")]
-        widths = np.sort(widths, kind="stable")
-        start = 0
-        while start < len(todo):  # rows of similar length together, each step a bounded matrix
-            stop = start + 1
-            while stop < len(todo) and stop - start < 2048 and (stop - start + 1) * int(widths[stop]) <= 262144:
-                stop += 1
-            part = todo[start:stop]
-            out[part] = _jaro_winkler_block(a.iloc[part], b.iloc[part])
-            start = stop
+    widths = np.array([max(len(x[i]), len(y[i])) for i in todo], dtype=np.int64)
+    order = np.argsort(widths, kind="stable")  # texts of similar length share a block, long ones in smaller blocks
+    todo, widths, start = todo[order], widths[order], 0
+    while start < len(todo):
+        stop = min(start + _ROWS, len(todo))
+        while stop - start > 1 and (stop - start) * widths[stop - 1] > 64 * _ROWS:
+            stop = start + (stop - start) // 2
+        part = todo[start:stop]
+        out[part] = _block(x[part].tolist(), y[part].tolist())
+        start = stop
     return pd.Series(out, index=a.index)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, metaphone, normalize, strip, title_case
 from ..session import materialize
 from .compare import similarity_method
-from .similarity_join import similar_candidates
+from .similarity_join import pairs_within, similar_candidates, split_by_group_size
 
 REVIEW_THRESHOLD = 0.70
 
@@ -50,27 +50,10 @@ def profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("
     return df.groupBy(*group, *values).agg(F.min(F.col(id_col).cast("string")).alias("profile_id"), F.count("*").alias("n_records"))
 
 
-def _suffix(df: DataFrame, group: Sequence[str], suffix: str) -> DataFrame:
-    rename = {"profile_id": "id", "n_records": "n_records"}
-    return df.select(*group, *[F.col(c).alias(f"{rename.get(c, c)}{suffix}") for c in df.columns if c not in group])
-
-
-def split_by_block_size(profs: DataFrame, group: Sequence[str], direct_block: int) -> tuple[DataFrame, DataFrame | None]:
-    """(profiles of blocks with at most ``direct_block`` profiles, profiles of the larger blocks or None).
-
-    The list of large blocks has at most ``profiles / direct_block`` rows. It is written to the shared folder; the driver
-    only asks whether there are any.
-    """
-    large = materialize(profs.groupBy(*group).agg(F.count("*").alias("_c")).filter(F.col("_c") > direct_block).select(*group))
-    if large.isEmpty():
-        return profs, None
-    return profs.join(large, list(group), "left_anti"), profs.join(large, list(group), "left_semi")
-
-
 def direct_pairs(profs: DataFrame, group: Sequence[str]) -> DataFrame:
     """Every pair of profiles of a block once. Only for blocks of bounded size."""
-    a, b = _suffix(profs, group, "_a"), _suffix(profs, group, "_b")
-    return a.join(b, list(group), "inner").filter(F.col("id_a") < F.col("id_b"))
+    carry = [c for c in profs.columns if c not in (*group, "profile_id")]
+    return pairs_within(profs, group, "profile_id", carry).withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
 
 
 def filtered_pairs(profs: DataFrame, attribute: str, group: Sequence[str], review: float, rows_per_tile: int) -> DataFrame:
@@ -85,7 +68,7 @@ def filtered_pairs(profs: DataFrame, attribute: str, group: Sequence[str], revie
 
 def candidate_pairs(
     profs: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"),
-    review: float = REVIEW_THRESHOLD, direct_block: int = 256, rows_per_tile: int = 2048,
+    review: float = REVIEW_THRESHOLD, direct_block: int = 512, rows_per_tile: int = 2048,
 ) -> DataFrame:
     """Pairs of profiles that share a block, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
 
@@ -95,8 +78,8 @@ def candidate_pairs(
     non-match and is counted by ``block_statistics`` instead of being listed.
     """
     present = [c for c in attributes if c in profs.columns]
-    profs = materialize(profs)
-    small, large = split_by_block_size(profs, group, direct_block)
+    profs = materialize(profs, "profile_id")
+    small, large = split_by_group_size(profs, group, direct_block)
     pairs = direct_pairs(small, group)
     if large is not None:
         found = [filtered_pairs(large, c, group, review, rows_per_tile) for c in present]

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, jaro_winkler_raw
-from .similarity_join import JARO_WINKLER, similar_candidates
+from ..session import materialize
+from .similarity_join import JARO_WINKLER, candidates
 
 
 def dedup_exact(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str] | Column = "id") -> DataFrame:
@@ -23,19 +24,21 @@ def dedup_exact(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str
 
 
 def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name",
-                    threshold: float = 0.85, rows_per_tile: int = 2048) -> DataFrame:
+                    threshold: float = 0.85, direct: int = 1024) -> DataFrame:
     """First id of each (block, text) that no earlier similar text in the block removes.
 
     A row goes when any earlier row of its block is similar, even one that goes itself. With the smallest id of every
     distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first of its text and no
-    similar text has an earlier first row. Only distinct texts are compared, through the similarity join.
+    similar text has an earlier first row. Only distinct texts are compared: directly in blocks of up to ``direct``
+    texts, through the similarity join in larger ones.
     """
     firsts = (
         df.filter(~is_blank(F.col(text_col)))
         .groupBy(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in block], F.col(text_col).alias("_text"))
         .agg(F.min(id_col).alias("_first"))
     )
-    pairs = similar_candidates(firsts, list(block), "_first", "_text", JARO_WINKLER, threshold, rows_per_tile=rows_per_tile)
+    firsts = materialize(firsts, "_first")
+    pairs = candidates(firsts, list(block), "_first", "_text", JARO_WINKLER, threshold, direct)
     later = (
         pairs.filter(jaro_winkler_raw(F.col("_text_a"), F.col("_text_b")) >= F.lit(threshold))
         .select(F.col("_first_b").alias("_first"))
@@ -45,11 +48,10 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
 
 
 def dedup_fuzzy(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name",
-                threshold: float = 0.85, rows_per_tile: int = 2048) -> DataFrame:
+                threshold: float = 0.85, direct: int = 1024) -> DataFrame:
     """Drop every row whose text is similar to that of an earlier row of its block; blank texts match nothing."""
-    keep = fuzzy_survivors(df, id_col, block, text_col, threshold, rows_per_tile)
-    blank = df.filter(is_blank(F.col(text_col)))
-    return df.filter(~is_blank(F.col(text_col))).join(keep, id_col, "left_semi").unionByName(blank)
+    keep = fuzzy_survivors(df, id_col, block, text_col, threshold, direct).withColumn("_kept", F.lit(True))
+    return df.join(keep, id_col, "left").filter(is_blank(F.col(text_col)) | F.col("_kept")).drop("_kept")
 
 
 def dedup_report(raw: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:

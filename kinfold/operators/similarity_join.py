@@ -149,10 +149,7 @@ def similar_candidates(
     their characters are written to the shared folder once, from where both sides and the bucket counts read them.
     """
     keep = list(dict.fromkeys([id_col, value_col, *carry]))
-    # spread by id: the work per value is large for its few bytes, which adaptive execution would pack into few tasks
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.select(*group, *keep).repartition(tasks, id_col)
-    base = materialize(spread.withColumn("_tokens", _numbered_characters(F.col(value_col))))
+    base = materialize(df.select(*group, *keep).withColumn("_tokens", _numbered_characters(F.col(value_col))), id_col)
     base = _rare_first(base)
     bands = _bands(method, threshold)
     keys = [*group, "_band", "_size", "_lead", "_token"]
@@ -179,3 +176,37 @@ def similar_candidates(
         *[F.when(first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(f"{c}_a") for c in keep],
         *[F.when(first, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")).alias(f"{c}_b") for c in keep],
     )
+
+
+def split_by_group_size(df: DataFrame, group: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups with at most ``limit`` rows, rows of the larger groups or None).
+
+    The list of large groups has at most ``rows / limit`` rows. It is written to the shared folder; the driver only asks
+    whether there are any.
+    """
+    large = materialize(df.groupBy(*group).agg(F.count("*").alias("_c")).filter(F.col("_c") > limit).select(*group))
+    if large.isEmpty():
+        return df, None
+    return df.join(large, list(group), "left_anti"), df.join(large, list(group), "left_semi")
+
+
+def pairs_within(df: DataFrame, group: Sequence[str], id_col: str, carry: Sequence[str]) -> DataFrame:
+    """Every pair of rows of a group once, smaller id first. Only for groups of bounded size.
+
+    Both sides read one shuffle by group. Its number of parts is fixed, because the pairs are many times the bytes that
+    adaptive execution would judge the parts by; bounded groups cannot make a part hot.
+    """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    side = lambda s: df.select(*group, *[F.col(c).alias(f"{c}{s}") for c in (id_col, *carry)])
+    return side("_a").join(side("_b"), list(group)).filter(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
+
+
+def candidates(df: DataFrame, group: Sequence[str], id_col: str, value_col: str, method: str, threshold: float,
+               direct: int = 1024, rows_per_tile: int = 2048) -> DataFrame:
+    """Pairs of a group that may reach ``threshold``: all pairs in groups of up to ``direct`` values, which is linear in
+    the table, and the similarity join in larger ones."""
+    small, large = split_by_group_size(df, group, direct)
+    pairs = pairs_within(small, group, id_col, [value_col])
+    if large is not None:
+        pairs = pairs.unionByName(similar_candidates(large, group, id_col, value_col, method, threshold, (), rows_per_tile))
+    return pairs

@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.blocking import block_statistics, direct_pairs, filtered_pairs, profiles, split_by_block_size, with_block_key
+from ..operators.blocking import block_statistics, direct_pairs, filtered_pairs, profiles, with_block_key
 from ..operators.cluster import attach_profile_clusters, connected_components
 from ..operators.compare import DEFAULT_WEIGHTS, MATCH, REVIEW, decision_summary, score_pairs, with_decision
+from ..operators.similarity_join import split_by_group_size
 from ..operators.golden import field_provenance, golden_members, golden_records
 from ..session import materialize
 
@@ -25,7 +26,7 @@ class MatchSpec:
     review: float = REVIEW
     tenant: str = "tenant_id"
     id_col: str = "id"
-    direct_block: int = 256
+    direct_block: int = 512
     rows_per_tile: int = 2048
 
     @property
@@ -53,9 +54,12 @@ def linked_pairs(profs: DataFrame, spec: MatchSpec = MatchSpec(), decided: DataF
     threshold; a pair found through several attributes is kept where the first of them reaches it, which each row can
     tell by itself. Pairs in ``decided`` (``id_a``, ``id_b``) were judged before and are not proposed again.
     """
+    return _link(materialize(profs, "profile_id"), spec, decided)
+
+
+def _link(profs: DataFrame, spec: MatchSpec, decided: DataFrame | None) -> DataFrame:
     present = [c for c in spec.weights if c in profs.columns]
-    profs = materialize(profs)
-    small, large = split_by_block_size(profs, spec.group, spec.direct_block)
+    small, large = split_by_group_size(profs, spec.group, spec.direct_block)
     scored = [score_pairs(direct_pairs(small, spec.group), spec.weights)]
     for i, attribute in enumerate(present if large is not None else ()):
         pairs = score_pairs(filtered_pairs(large, attribute, spec.group, spec.review, spec.rows_per_tile), spec.weights)
@@ -104,8 +108,8 @@ def assign_clusters(records: DataFrame, spec: MatchSpec = MatchSpec(), decided:
     """(records with ``block_key`` and ``cluster_id``, profiles, linked pairs)."""
     keyed = records if "block_key" in records.columns else with_block_key(records)
     attributes = list(spec.weights)
-    profs = materialize(profiles(keyed, attributes, spec.group, spec.id_col))
-    linked = materialize(linked_pairs(profs, spec, decided))
+    profs = materialize(profiles(keyed, attributes, spec.group, spec.id_col), "profile_id")
+    linked = materialize(_link(profs, spec, decided))
     components = connected_components(linked.filter("decision = 'match'"), scope=[spec.tenant])
     return attach_profile_clusters(keyed, profs, components, attributes, spec.group, spec.id_col), profs, linked
 

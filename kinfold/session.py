@@ -53,11 +53,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spread_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     Used where several branches read one expensive frame and in the rounds of iterative jobs: the data outlives the
-    executors that wrote it, and the lineage does not grow.
+    executors that wrote it, and the lineage does not grow. ``spread_by`` writes one part per shuffle partition: for
+    rows that are few bytes but much work, which adaptive execution would otherwise pack into few tasks.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    if spread_by is not None:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), spread_by)
     return df.checkpoint(eager=True)

@@ -182,7 +182,7 @@ def inside(spark, folder):
 
 
 # one large block per tenant and country, so the similarity joins do the work
-COARSE = MatchSpec(weights={"name": 0.5, "email": 0.5}, review=0.93, match=0.97, direct_block=16)
+COARSE = MatchSpec(weights={"name": 0.5, "email": 0.5}, review=0.93, match=0.97, direct_block=8)
 
 
 def _coarse(spark, folder):
