@@ -28,7 +28,8 @@ def neighbourhood(relationships: DataFrame, entity_id: str, depth: int = 1, rela
     """(nodes with their distance, edges between them) within ``depth`` (1 to 4) of an entity.
 
     One join of the frontier with the edges per step. The frontier starts as one row, so the first joins read the
-    edges without shuffling them; nodes already seen are dropped by an anti join.
+    edges without shuffling them; nodes already seen are dropped by an anti join, and each step is written to the
+    shared folder.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
@@ -37,7 +38,7 @@ def neighbourhood(relationships: DataFrame, entity_id: str, depth: int = 1, rela
     for d in range(1, depth + 1):
         frontier = seen.filter(F.col("distance") == d - 1).select(F.col("id").alias("at"))
         reached = steps.join(frontier, "at", "left_semi").select(F.col("to").alias("id")).distinct()
-        seen = seen.unionByName(reached.join(seen, "id", "left_anti").withColumn("distance", F.lit(d)))
+        seen = materialize(seen.unionByName(reached.join(seen, "id", "left_anti").withColumn("distance", F.lit(d))))
     edges = relationships if tenant_id is None else relationships.filter(F.col("tenant_id") == tenant_id)
     if relationship_type is not None:
         edges = edges.filter(F.col("relationship_type") == relationship_type)

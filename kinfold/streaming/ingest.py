@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -19,6 +18,7 @@ RUN_SCHEMA = T.StructType.fromDDL(
     "tenant_id string, source_id string, stream_batch bigint, status string, records_input bigint, records_output bigint, "
     "records_failed bigint, error_message string"
 )
+STAGED_SCHEMA = T.StructType.fromDDL("tenant_id string, source_id string, batch_id string")
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,22 @@ class IntakePaths:
     checkpoint = property(lambda self: f"{self.root}/checkpoint")
 
 
+def _raw_schema(columns: Sequence[str]) -> T.StructType:
+    return T.StructType.fromDDL("tenant_id string, source_id string, event_id string, " + ", ".join(f"`{c}` string" for c in columns) + ", stream_batch bigint")
+
+
+def prepare(spark: SparkSession, paths: IntakePaths, columns: Sequence[str]) -> None:
+    """Create the folders the handler reads back; existing ones stay as they are."""
+    for path, schema, parts in (
+        (paths.runs, RUN_SCHEMA, ["stream_batch"]), (paths.raw, _raw_schema(columns), ["stream_batch"]),
+        (paths.staged, STAGED_SCHEMA, STAGED_SCHEMA.fieldNames()), (paths.rejected, STAGED_SCHEMA, STAGED_SCHEMA.fieldNames()),
+    ):
+        keyed = schema if parts != STAGED_SCHEMA.fieldNames() else T.StructType([*schema.fields, T.StructField("id", T.StringType())])
+        spark.createDataFrame([], keyed).write.mode("ignore").partitionBy(*parts).parquet(path)
+
+
 def _table(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
-    """The table at a path, or an empty one before its first write."""
-    spark = df.sparkSession
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def complete_batches(signals: DataFrame, paths: IntakePaths, columns: Sequence[str], batch: int) -> None:
@@ -56,8 +63,7 @@ def complete_batches(signals: DataFrame, paths: IntakePaths, columns: Sequence[s
     scope = ["tenant_id", "source_id"]
     runs = _table(signals, paths.runs, RUN_SCHEMA).filter((F.col("status") == "COMPLETED") & (F.col("stream_batch") < batch))
     since = runs.groupBy(*scope).agg(F.max("stream_batch").alias("_since"))
-    raw_schema = T.StructType.fromDDL("tenant_id string, source_id string, event_id string, " + ", ".join(f"`{c}` string" for c in columns) + ", stream_batch bigint")
-    raw = _table(signals, paths.raw, raw_schema).filter(F.col("stream_batch") <= batch)
+    raw = _table(signals, paths.raw, _raw_schema(columns)).filter(F.col("stream_batch") <= batch)
     piece = raw.join(signals.select(*scope).distinct(), scope, "left_semi").join(since, scope, "left")
     piece = piece.filter(F.col("stream_batch") > F.coalesce("_since", F.lit(-1))).drop("_since", "stream_batch", "event_id")
     name = f"batch-{batch}"
@@ -84,8 +90,7 @@ def complete_batches(signals: DataFrame, paths: IntakePaths, columns: Sequence[s
 
 
 def _written(df: DataFrame, path: str, batch_id: str, scope: Sequence[str]) -> DataFrame:
-    schema = T.StructType.fromDDL("tenant_id string, source_id string, batch_id string")
-    return _table(df, path, schema).filter(F.col("batch_id") == batch_id).select(*scope)
+    return _table(df, path, STAGED_SCHEMA).filter(F.col("batch_id") == batch_id).select(*scope)
 
 
 def _record_runs(report: DataFrame, paths: IntakePaths, batch: int) -> None:
@@ -96,7 +101,12 @@ def _record_runs(report: DataFrame, paths: IntakePaths, batch: int) -> None:
 def intake_batch(paths: IntakePaths, columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function of the intake stream."""
 
+    ready: list[bool] = []
+
     def handle(messages: DataFrame, batch: int) -> None:
+        if not ready:
+            prepare(messages.sparkSession, paths, columns)
+            ready.append(True)
         where = [c for c in ("topic", "partition", "offset") if c in messages.columns]
         decoded = decode(messages, where).persist()
         try:
