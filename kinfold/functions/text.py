@@ -45,40 +45,31 @@ def title_case(c: Column) -> Column:
 
 
 # Metaphone after L. Philips (1990). Lower-case letters are still to be coded, upper-case letters and 0 are codes, so a
-# later rule never touches what an earlier rule has produced.
+# later rule never touches what an earlier rule has produced. What no rule changes codes as itself or by _LETTERS.
+_SILENT = "|".join(
+    (
+        r"^[kgp](?=n)", r"^w(?=r)", r"^a(?=e)",       # knee, gnome, pneu, write, aesop
+        r"(?<=m)b(?= |$)",                            # dumb
+        r"t(?=ch)", r"c(?=k)",                        # match, back
+        r"gh(?![aeiou])",                             # night
+        r"(?<=^w)h", r"(?<=[aeiou])h(?![aeiou])",     # whale, hurrah
+        r"^w(?!h?[aeiou])", r"(?<!^)w(?![aeiou])", r"y(?![aeiou])",
+    )
+)
 _METAPHONE_RULES = (
     (r"\s+", " "),
-    (r"^(?:[kgp](?=n)|w(?=r)|a(?=e))", ""),          # silent first letter: kn, gn, pn, wr, ae
-    (r"^wh", "w"),
     (r"([abd-z])\1+", "$1"),                          # doubled letters count once, cc excepted
-    (r"(?<=m)b(?= |$)", ""),                          # dumb, lamb
-    (r"(?<=^| )x", "S"),
-    (r"x", "KS"),
-    (r"t(?=ch)", ""),                                 # match, catch
-    (r"c(?=ia)|ch", "X"),
-    (r"c(?=[iey])", "S"),
-    (r"ck|c", "K"),
-    (r"dg(?=[iey])", "J"),
-    (r"d", "T"),
-    (r"gh(?![aeiou])", ""),                           # night, daughter
+    (_SILENT, ""),
     (r"gn(?= |$)", "N"),                              # sign
-    (r"g(?=[iey])", "J"),
-    (r"g", "K"),
+    (r"c(?=ia)|ch|sh|[st](?=i[oa])", "X"),
+    (r"c(?=[iey])|(?<![^ ])x", "S"),
+    (r"x", "KS"),
+    (r"d?g(?=[iey])", "J"),
     (r"ph", "F"),
-    (r"sh|s(?=i[oa])|t(?=i[oa])", "X"),
     (r"th", "0"),
-    (r"(?<=[aeiou])h(?![aeiou])", ""),
-    (r"h", "H"),
-    (r"w(?=[aeiou])", "W"),
-    (r"y(?=[aeiou])", "Y"),
-    (r"[wy]", ""),
-    (r"(?<![^ ])a", "A"),                             # vowels are kept at the start of a word only
-    (r"(?<![^ ])e", "E"),
-    (r"(?<![^ ])i", "I"),
-    (r"(?<![^ ])o", "O"),
-    (r"(?<![^ ])u", "U"),
-    (r"[aeiou]", ""),
+    (r"(?<=[^ ])[aeiou]", ""),                        # vowels are kept at the start of a word only
 )
+_LETTERS = ("cdgqvz", "KTKKFS")
 
 
 def metaphone(c: Column) -> Column:
@@ -86,7 +77,7 @@ def metaphone(c: Column) -> Column:
     out = F.lower(strip(F.regexp_replace(c, r"[^a-zA-Z\s]", "")))
     for pattern, replacement in _METAPHONE_RULES:
         out = F.regexp_replace(out, pattern, replacement)
-    return F.translate(out, "bfjklmnpqrstvz", "BFJKLMNPKRSTFS")
+    return F.upper(F.translate(out, *_LETTERS))
 
 
 def levenshtein_distance(a: Column, b: Column) -> Column:
@@ -146,7 +137,7 @@ def register_sql_functions(spark: SparkSession) -> None:
     code = f"lower(btrim(regexp_replace(t, r'[^a-zA-Z\\s]', ''), '{whitespace}'))"
     for pattern, replacement in _METAPHONE_RULES:
         code = f"regexp_replace({code}, r'{pattern}', '{replacement}')"
-    code = f"translate({code}, 'bfjklmnpqrstvz', 'BFJKLMNPKRSTFS')"
+    code = f"upper(translate({code}, '{_LETTERS[0]}', '{_LETTERS[1]}'))"
     for signature, body in (
         ("jaro_winkler(a STRING, b STRING) RETURNS DOUBLE", guard.format(f"jaro_winkler_raw({x}, {y})")),
         ("levenshtein_similarity(a STRING, b STRING) RETURNS DOUBLE", guard.format(f"1.0D - {distance}")),

@@ -50,6 +50,11 @@ def profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("
     return df.groupBy(*group, *values).agg(F.min(F.col(id_col).cast("string")).alias("profile_id"), F.count("*").alias("n_records"))
 
 
+def stored_profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id") -> DataFrame:
+    """``profiles`` written once to the shared folder, spread evenly for the pairing that follows."""
+    return materialize(profiles(df, attributes, group, id_col), "profile_id")
+
+
 def direct_pairs(profs: DataFrame, group: Sequence[str]) -> DataFrame:
     """Every pair of profiles of a block once. Only for blocks of bounded size."""
     carry = [c for c in profs.columns if c not in (*group, "profile_id")]
@@ -75,10 +80,10 @@ def candidate_pairs(
     ``n_records_a * n_records_b`` record pairs stand behind a row. Blocks of up to ``direct_block`` profiles are paired
     directly, which is linear in the table. In a larger block a weighted mean can only reach ``review`` when one
     attribute does, so its pairs come from one similarity join per attribute; what those leave out is provably a
-    non-match and is counted by ``block_statistics`` instead of being listed.
+    non-match and is counted by ``block_statistics`` instead of being listed. ``profs`` is read several times: give a
+    frame from ``stored_profiles``.
     """
     present = [c for c in attributes if c in profs.columns]
-    profs = materialize(profs, "profile_id")
     small, large = split_by_group_size(profs, group, direct_block)
     pairs = direct_pairs(small, group)
     if large is not None:

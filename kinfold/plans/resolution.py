@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.blocking import block_statistics, direct_pairs, filtered_pairs, profiles, with_block_key
+from ..operators.blocking import block_statistics, direct_pairs, filtered_pairs, stored_profiles, with_block_key
 from ..operators.cluster import attach_profile_clusters, connected_components
 from ..operators.compare import DEFAULT_WEIGHTS, MATCH, REVIEW, decision_summary, score_pairs, with_decision
 from ..operators.similarity_join import split_by_group_size
@@ -52,12 +52,8 @@ def linked_pairs(profs: DataFrame, spec: MatchSpec = MatchSpec(), decided: DataF
 
     Small blocks are paired directly. In large blocks each attribute contributes the pairs it can lift over the
     threshold; a pair found through several attributes is kept where the first of them reaches it, which each row can
-    tell by itself. Pairs in ``decided`` (``id_a``, ``id_b``) were judged before and are not proposed again.
+    tell by itself. ``profs`` comes from ``stored_profiles``. Pairs in ``decided`` (``id_a``, ``id_b``) were judged before and are not proposed again.
     """
-    return _link(materialize(profs, "profile_id"), spec, decided)
-
-
-def _link(profs: DataFrame, spec: MatchSpec, decided: DataFrame | None) -> DataFrame:
     present = [c for c in spec.weights if c in profs.columns]
     small, large = split_by_group_size(profs, spec.group, spec.direct_block)
     scored = [score_pairs(direct_pairs(small, spec.group), spec.weights)]
@@ -98,7 +94,7 @@ def decision_counts(records: DataFrame, profs: DataFrame, linked: DataFrame, spe
     """
     head = ["decision", "confidence_score", "record_pairs"]
     decided = linked.select(*head).unionByName(copies(profs, spec).select(*head))
-    found = decision_summary(decided.filter("decision <> 'non_match'"), "record_pairs").select("decision", "pairs")
+    found = materialize(decision_summary(decided.filter("decision <> 'non_match'"), "record_pairs").select("decision", "pairs"))
     total = block_statistics(records, spec.group).agg(F.sum("pairs").alias("pairs"))
     rest = total.select("pairs").union(found.select(-F.col("pairs"))).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
     return found.unionByName(rest.select(F.lit("non_match").alias("decision"), "pairs"))
@@ -108,17 +104,17 @@ def assign_clusters(records: DataFrame, spec: MatchSpec = MatchSpec(), decided:
     """(records with ``block_key`` and ``cluster_id``, profiles, linked pairs)."""
     keyed = records if "block_key" in records.columns else with_block_key(records)
     attributes = list(spec.weights)
-    profs = materialize(profiles(keyed, attributes, spec.group, spec.id_col), "profile_id")
-    linked = materialize(_link(profs, spec, decided))
+    profs = stored_profiles(keyed, attributes, spec.group, spec.id_col)
+    linked = materialize(linked_pairs(profs, spec, decided))
     components = connected_components(linked.filter("decision = 'match'"), scope=[spec.tenant])
-    return attach_profile_clusters(keyed, profs, components, attributes, spec.group, spec.id_col), profs, linked
+    clustered = attach_profile_clusters(keyed, profs, components, attributes, spec.group, spec.id_col)
+    return materialize(clustered), profs, linked
 
 
 def resolve(records: DataFrame, spec: MatchSpec = MatchSpec(), decided: DataFrame | None = None,
             attributes: Sequence[str] | None = None, created_at: Column | None = None) -> Resolution:
     """Block, pair, score, decide, cluster, merge and trace."""
     clustered, profs, linked = assign_clusters(records, spec, decided)
-    clustered = materialize(clustered)
     golden = golden_records(clustered, spec.tenant, spec.id_col, attributes, created_at)
     return Resolution(
         profiles=profs,

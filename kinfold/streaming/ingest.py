@@ -14,11 +14,17 @@ from ..plans.intake import intake
 from ..sinks.tables import write_counted, write_staged
 from ..sources.messages import dead_letters, decode, explode_rows, good_messages
 
-RUN_SCHEMA = T.StructType.fromDDL(
-    "tenant_id string, source_id string, stream_batch bigint, status string, records_input bigint, records_output bigint, "
-    "records_failed bigint, error_message string"
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+_TEXT, _LONG = T.StringType(), T.LongType()
+RUN_SCHEMA = _schema(
+    tenant_id=_TEXT, source_id=_TEXT, stream_batch=_LONG, status=_TEXT, records_input=_LONG, records_output=_LONG, records_failed=_LONG,
+    error_message=_TEXT,
 )
-STAGED_SCHEMA = T.StructType.fromDDL("tenant_id string, source_id string, batch_id string")
+STAGED_SCHEMA = _schema(tenant_id=_TEXT, source_id=_TEXT, batch_id=_TEXT)
 
 
 @dataclass(frozen=True)
@@ -37,7 +43,7 @@ class IntakePaths:
 
 
 def _raw_schema(columns: Sequence[str]) -> T.StructType:
-    return T.StructType.fromDDL("tenant_id string, source_id string, event_id string, " + ", ".join(f"`{c}` string" for c in columns) + ", stream_batch bigint")
+    return _schema(tenant_id=_TEXT, source_id=_TEXT, event_id=_TEXT, **dict.fromkeys(columns, _TEXT), stream_batch=_LONG)
 
 
 def prepare(spark: SparkSession, paths: IntakePaths, columns: Sequence[str]) -> None:

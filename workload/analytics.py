@@ -370,12 +370,12 @@ def d7(spark, folder):
 
 def _part_names(spark, folder):
     from kinfold.functions.text import normalize
-    from kinfold.operators.blocking import profiles
+    from kinfold.operators.blocking import stored_profiles
 
     parts = table(spark, folder, "part").select(
         F.col("p_partkey").cast("string").alias("id"), normalize(F.col("p_name")).alias("code"), F.col("p_brand").alias("brand"), F.col("p_type").alias("block_key")
     )
-    return profiles(parts, ["code"], ["brand", "block_key"])
+    return stored_profiles(parts, ["code"], ["brand", "block_key"])
 
 
 @register(

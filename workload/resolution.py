@@ -25,7 +25,7 @@ def keyed(spark, folder):
 
 
 def profiles(spark, folder):
-    return blocking.profiles(keyed(spark, folder), ATTRIBUTES)
+    return blocking.stored_profiles(keyed(spark, folder), ATTRIBUTES)
 
 
 def pairs(spark, folder):
@@ -189,7 +189,7 @@ def _coarse(spark, folder):
     from kinfold.functions.text import is_blank
 
     people = cleaned(spark, folder).filter(~is_blank(F.col("name")) & ~is_blank(F.col("email")) & ~is_blank(F.col("country")))
-    return blocking.profiles(people.withColumn("block_key", F.col("country")), ["name", "email"])
+    return blocking.stored_profiles(people.withColumn("block_key", F.col("country")), ["name", "email"])
 
 
 @register(
