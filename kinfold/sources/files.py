@@ -62,7 +62,11 @@ def read_staged(spark: SparkSession, root: str, tenant_id: str | None = None, so
 
 
 def list_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """``(path, length)`` of all files below a folder; the contents are not read."""
+    """``(path, length)`` of all files below a folder; the contents are not read.
+
+    Spark's file sources pass over files without content, so an empty file never gets in; ``check_files`` names the
+    reason where the list of files comes from elsewhere (an upload log).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
