@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _FUNCTIONS = {
     "count": F.count, "sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max,
-    "stddev": F.stddev_samp, "std": F.stddev_samp, "median": F.median, "count_distinct": F.count_distinct,
+    "stddev": F.stddev_samp, "std": F.stddev_samp, "count_distinct": F.count_distinct,
 }
 _UNITS = {"s": "seconds", "m": "minutes", "h": "hours", "d": "days", "w": "weeks"}
 
@@ -72,13 +74,58 @@ def timeseries(df: DataFrame, time_field: str, interval: str, metric: str = "cou
     )
 
 
-def statistics(df: DataFrame, column: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75, 0.95), group_by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Mean, median, deviation and percentiles. ``exact=False`` uses sketches of fixed size for very large groups."""
-    p = F.percentile if exact else F.percentile_approx
-    cuts = [p(column, F.lit(q)).alias(f"p{round(q * 100)}") for q in percentiles]
-    return df.groupBy(*group_by).agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), p(column, F.lit(0.5)).alias("median"), F.stddev_samp(column).alias("stddev"), *cuts
+_BUCKETS = 128
+
+
+def exact_percentiles(df: DataFrame, column: str, percentiles: Sequence[float], group_by: Sequence[str] = ()) -> DataFrame:
+    """``(*group_by, percentile, value)``: exact percentiles with linear interpolation, without holding a group in one task.
+
+    Equal values are counted first. Sketches of fixed size cut each group into buckets of about as many distinct values;
+    the bucket counts say in which buckets the wanted ranks lie, and only those are put in order.
+    """
+    group = list(group_by) or ["_all"]
+    rows = df if group_by else df.withColumn("_all", F.lit(0))
+    values = materialize(
+        rows.filter(F.col(column).isNotNull()).groupBy(*group, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    )
+    cuts = values.groupBy(*group).agg(F.percentile_approx("_v", [i / _BUCKETS for i in range(1, _BUCKETS)], 10000).alias("_cuts"))
+    placed = values.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    # at most one row per bucket and group from here on
+    up_to = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = placed.groupBy(*group, "_b").agg(F.sum("_c").alias("_n")).withColumn("_end", F.sum("_n").over(up_to))
+    totals = buckets.groupBy(*group).agg(F.max("_end").alias("_total"))
+    asked = totals.withColumn("percentile", F.explode(F.array(*[F.lit(float(q)) for q in percentiles]))).withColumn(
+        "_at", F.col("percentile") * (F.col("_total") - 1)
     )
+    ranks = asked.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+    held = ranks.join(buckets, group).filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
+    wanted = held.select(*group, "_b", (F.col("_end") - F.col("_n")).alias("_before")).distinct()
+    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = placed.join(wanted, [*group, "_b"]).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
+    hit = held.drop("_n", "_end").join(ordered, [*group, "_b"]).filter((F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_c")))
+    low, high = F.min("_v"), F.max("_v")
+    share = F.first("_at") - F.floor(F.first("_at"))
+    found = hit.groupBy(*group, "percentile").agg((low + (high - low) * share).alias("value"))
+    return found if group_by else found.drop("_all")
+
+
+def percentile_columns(df: DataFrame, column: str, named: Mapping[str, float], group_by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with a column per named exact percentile."""
+    long = exact_percentiles(df, column, sorted(set(named.values())), group_by)
+    at = lambda q: F.max(F.when(F.col("percentile") == q, F.col("value")))
+    return long.groupBy(*group_by).agg(*[at(float(q)).alias(name) for name, q in named.items()])
+
+
+def statistics(df: DataFrame, column: str, percentiles: Sequence[float] = (0.25, 0.5, 0.75, 0.95), group_by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """Count, mean, deviation, median and percentiles per group. ``exact=False`` takes the percentiles from one sketch."""
+    plain = [F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("stddev")]
+    named = {"median": 0.5, **{f"p{round(q * 100)}": float(q) for q in percentiles}}
+    if not exact:
+        return df.groupBy(*group_by).agg(*plain, *[F.percentile_approx(column, q).alias(name) for name, q in named.items()])
+    moments, cuts = df.groupBy(*group_by).agg(*plain), percentile_columns(df, column, named, group_by)
+    if group_by:
+        return moments.join(cuts, list(group_by), "left")
+    return moments.withColumns({name: cuts.select(name).scalar() for name in named})
 
 
 def distribution(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

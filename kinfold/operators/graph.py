@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,29 +49,22 @@ def neighbourhood(relationships: DataFrame, entity_id: str, depth: int = 1, rela
 def shortest_path(relationships: DataFrame, source: str, target: str, max_depth: int = 6, tenant_id: str | None = None, relationship_type: str | None = None) -> DataFrame:
     """``(position, id)`` of a shortest path between two entities, the smallest ids among equals; empty when there is none.
 
-    Breadth-first search that keeps one predecessor per reached node, so its state is a row per node and not a row per
-    path; each step is written to the shared folder. The path is read back from the target along the predecessors.
+    Breadth-first search that keeps one path per reached node, so its state is a row per node and not a row per path;
+    each step is written to the shared folder, and the search stops at the step that reaches the target or nothing new.
     """
     steps = _steps(relationships, tenant_id, relationship_type)
-    spark = steps.sparkSession
-    seen = spark.range(1).select(F.lit(source).alias("id"), F.lit(None).cast("string").alias("previous"), F.lit(0).alias("distance"))
+    start = steps.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("distance"), F.array(F.lit(source)).alias("path"))
+    seen = start
     for d in range(1, max_depth + 1):
         if not seen.filter(F.col("id") == target).isEmpty():
             break
-        frontier = seen.filter(F.col("distance") == d - 1).select(F.col("id").alias("at"))
-        reached = steps.join(frontier, "at").groupBy(F.col("to").alias("id")).agg(F.min("at").alias("previous"))
-        new = reached.join(seen, "id", "left_anti").withColumn("distance", F.lit(d))
-        grown = materialize(seen.unionByName(new))
-        if grown.filter(F.col("distance") == d).isEmpty():
-            seen = grown
+        frontier = seen.filter(F.col("distance") == d - 1).select(F.col("id").alias("at"), "path")
+        reached = steps.join(frontier, "at").groupBy(F.col("to").alias("id")).agg(F.min_by("path", "at").alias("path"))
+        new = reached.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), F.concat("path", F.array("id")).alias("path"))
+        seen = materialize(seen.unionByName(new))
+        if seen.filter(F.col("distance") == d).isEmpty():
             break
-        seen = grown
-    path = seen.filter(F.col("id") == target).select(F.col("distance").alias("position"), "id", "previous")
-    trail = [path]
-    for _ in range(max_depth):
-        ahead = trail[-1].select(F.col("previous").alias("id"))
-        trail.append(seen.join(ahead, "id").select(F.col("distance").alias("position"), "id", "previous"))
-    return reduce(lambda a, b: a.unionByName(b), trail).select("position", "id").orderBy("position")
+    return seen.filter(F.col("id") == target).select(F.posexplode("path").alias("position", "id")).orderBy("position")
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version: str) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .analytics import percentile_columns
 from .mapping import PROPERTY_TYPES
 
 FLAGS = ("_valid_id", "_valid_name", "_valid_email")
@@ -58,25 +59,22 @@ def check_properties(df: DataFrame, schema: Mapping[str, Mapping[str, object]])
     return df.withColumn("status", F.when(F.size("errors") == 0, F.lit("PASSED")).otherwise(F.lit("QUARANTINED")))
 
 
-def _with_group_stats(df: DataFrame, group: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
-    """Join per-group aggregates back. Unlike a window, the aggregate is combined on the map side, so a group with a
-    third of all rows is reduced before it is shuffled and its rows never have to meet in one task."""
-    if not group:
-        return df.withColumns({name: df.agg(c).scalar() for name, c in stats.items()})
-    summary = df.groupBy(*group).agg(*[c.alias(name) for name, c in stats.items()])
-    return df.join(summary, list(group), "left")
-
-
 def flag_outliers(df: DataFrame, column: str, group: Sequence[str] = (), method: str = "zscore", limit: float | None = None) -> DataFrame:
-    """Add ``is_outlier``: |z| above 3, or outside 1.5 interquartile ranges, within each group."""
+    """Add ``is_outlier``: |z| above 3, or outside 1.5 interquartile ranges, within each group.
+
+    The group's figures are aggregated on the map side and joined back. Unlike a window, this never brings the rows of
+    a group that holds a third of the table together in one task.
+    """
     x = F.col(column)
     if method == "zscore":
-        z = F.abs(x - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))
-        stated = _with_group_stats(df, group, {"_mean": F.avg(column), "_sd": F.stddev_samp(column)})
-        return stated.withColumn("is_outlier", F.coalesce(z > (limit or 3.0), F.lit(False))).drop("_mean", "_sd")
-    if method == "iqr":
-        stated = _with_group_stats(df, group, {"_q1": F.percentile(column, 0.25), "_q3": F.percentile(column, 0.75)})
+        figures = df.groupBy(*group).agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_sd"))
+        flag = F.abs(x - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)) > (limit or 3.0)
+    elif method == "iqr":
+        figures = percentile_columns(df, column, {"_q1": 0.25, "_q3": 0.75}, group)
         reach = (F.col("_q3") - F.col("_q1")) * (limit or 1.5)
-        outside = (x < F.col("_q1") - reach) | (x > F.col("_q3") + reach)
-        return stated.withColumn("is_outlier", F.coalesce(outside, F.lit(False))).drop("_q1", "_q3")
-    raise ValueError(f"unknown outlier method {method!r}")
+        flag = (x < F.col("_q1") - reach) | (x > F.col("_q3") + reach)
+    else:
+        raise ValueError(f"unknown outlier method {method!r}")
+    names = [c for c in figures.columns if c not in group]
+    stated = df.join(figures, list(group), "left") if group else df.withColumns({c: figures.select(c).scalar() for c in names})
+    return stated.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop(*names)

@@ -74,7 +74,7 @@ def complete_batches(signals: DataFrame, paths: IntakePaths, columns: Sequence[s
     piece = piece.filter(F.col("stream_batch") > F.coalesce("_since", F.lit(-1))).drop("_since", "stream_batch", "event_id")
     name = f"batch-{batch}"
     try:
-        result = intake(piece, scope)
+        result = intake(piece, scope, store=True)
         write_staged(result.valid.withColumn("batch_id", F.lit(name)), paths.staged)
         write_staged(result.invalid.withColumn("batch_id", F.lit(name)), paths.rejected)
         written = lambda path: _written(signals, path, name, scope)

@@ -82,3 +82,19 @@ def test_reconciliation(spark):
 def test_outliers_without_groups(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 2, 1, 2, 3, 100]], "v double")
     assert [r["v"] for r in quality.flag_outliers(df, "v", method="iqr").filter("is_outlier").collect()] == [100.0]
+
+
+def test_exact_percentiles_need_no_group_in_one_task(spark):
+    import random
+
+    import numpy as np
+
+    random.seed(8)
+    groups = {"hot": [float(random.choice(range(40))) for _ in range(3000)], "wide": [random.gauss(0, 1) for _ in range(2000)], "one": [7.0], "two": [1.0, 2.0]}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in [*values, None]], "g string, v double")
+    asked = [0.0, 0.1, 0.25, 0.5, 0.95, 1.0]
+    got = {(r["g"], r["percentile"]): r["value"] for r in analytics.exact_percentiles(df, "v", asked, ["g"]).collect()}
+    assert got == pytest.approx({(g, q): float(np.percentile(values, q * 100)) for g, values in groups.items() for q in asked})
+    whole = analytics.statistics(df, "v").first()
+    everything = [v for values in groups.values() for v in values]
+    assert whole["n"] == len(everything) and whole["median"] == pytest.approx(float(np.median(everything)))

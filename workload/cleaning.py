@@ -325,8 +325,16 @@ def scalar_text(spark, folder):
     return load(spark, folder, party).select("id", strip(name).alias("stripped"), normalize(name).alias("normalized"), title_case(strip(name)).alias("titled"))
 
 
-@register("D13_suggest_mappings")
+_NAMES = "SELECT DISTINCT p_name AS n FROM part"
+
+
+@register(
+    "D13_suggest_mappings",
+    f"""SELECT source_column, property, score FROM (SELECT *, row_number() OVER (PARTITION BY source_column ORDER BY score DESC, property) AS r FROM (
+    SELECT replace(array_to_string(list_transform(string_split(a.n, ' '), lambda w : upper(w[1]) || w[2:]), ' '), ' ', '') || '_Id' AS source_column, replace(b.n, ' ', '_') AS property,
+    round(jaro_winkler_similarity(replace(a.n, ' ', '') || 'id', replace(b.n, ' ', '')), 4) AS score FROM ({_NAMES}) a, ({_NAMES}) b)) WHERE r = 1 AND score >= 0.7""",
+)
 def d13(spark, folder):
-    columns = v.table(spark, folder, "part").select(F.replace(F.initcap("p_name"), F.lit(" ")).alias("source_column")).distinct()
+    columns = v.table(spark, folder, "part").select(F.concat(F.replace(F.initcap("p_name"), F.lit(" ")), F.lit("_Id")).alias("source_column")).distinct()
     properties = v.table(spark, folder, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("property")).distinct()
     return mapping.suggest_mappings(columns, properties)
