@@ -37,6 +37,11 @@ def normalize(c: Column) -> Column:
     return F.lower(strip(c.cast("string")))
 
 
+def comparison_value(c: Column, blank_as_null: bool = False) -> Column:
+    """Comparison form of a record's value; on request empty text counts as missing."""
+    return F.nullif(normalize(c), F.lit("")) if blank_as_null else normalize(c)
+
+
 def title_case(c: Column) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the rest (``O'Brien Mary-Jane``)."""
     lowered = F.lower(c)

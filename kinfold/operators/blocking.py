@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, metaphone, normalize, strip, title_case
+from ..functions.text import comparison_value, is_blank, metaphone, normalize, strip, title_case
 from ..session import materialize
 from .compare import similarity_method
 from .similarity_join import pairs_within, similar_candidates, split_by_group_size
@@ -39,20 +39,21 @@ def with_prefix_block_key(df: DataFrame, name: str = "name", country: str = "cou
     return df.withColumn(output, F.concat_ws("_", start, F.coalesce(F.upper(strip(F.col(country))), F.lit(""))))
 
 
-def profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id") -> DataFrame:
+def profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = False) -> DataFrame:
     """One row per block and distinct comparison values: ``profile_id`` (the smallest record id) and ``n_records``.
 
     Records with the same comparison values behave the same against every other record, so everything after this step
     works on profiles and carries counts. The aggregate combines on the map side: a group of copies that fills a third
-    of the table leaves each task as one row.
+    of the table leaves each task as one row. Two empty texts are alike with a score of 1; where a third of a table has
+    blank names, ``blank_as_null`` leaves the blanks out of the comparison instead.
     """
-    values = [normalize(F.col(c)).alias(c) for c in attributes if c in df.columns]
+    values = [comparison_value(F.col(c), blank_as_null).alias(c) for c in attributes if c in df.columns]
     return df.groupBy(*group, *values).agg(F.min(F.col(id_col).cast("string")).alias("profile_id"), F.count("*").alias("n_records"))
 
 
-def stored_profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id") -> DataFrame:
+def stored_profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = False) -> DataFrame:
     """``profiles`` written once to the shared folder, spread evenly for the pairing that follows."""
-    return materialize(profiles(df, attributes, group, id_col), "profile_id")
+    return materialize(profiles(df, attributes, group, id_col, blank_as_null), "profile_id")
 
 
 def direct_pairs(profs: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import comparison_value
 from ..session import materialize
 
 
@@ -66,20 +67,18 @@ def attach_clusters(records: DataFrame, components: DataFrame, id_col: str = "id
 
 
 def attach_profile_clusters(records: DataFrame, profs: DataFrame, components: DataFrame, attributes: Sequence[str],
-                            group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id") -> DataFrame:
+                            group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = False) -> DataFrame:
     """Add ``cluster_id`` to records through their profile.
 
     ``group`` starts with the scope the components were computed in. Copies follow their profile. Records with none of the compared values have a score of 0 among themselves and stay
     single.
     """
-    from ..functions.text import normalize
-
     present = [c for c in attributes if c in profs.columns]
     assigned = attach_clusters(profs.withColumnRenamed("profile_id", "id"), components, "id", group[:1]).select(
         *[F.col(c).alias(f"_p_{c}") for c in (*group, *present)], F.col("cluster_id").alias("_p_cluster")
     )
     same = [F.col(c) == F.col(f"_p_{c}") for c in group]
-    same += [normalize(F.col(c)).eqNullSafe(F.col(f"_p_{c}")) for c in present]
+    same += [comparison_value(F.col(c), blank_as_null).eqNullSafe(F.col(f"_p_{c}")) for c in present]
     joined = records.join(assigned, same, "left")
     nothing = F.coalesce(*[F.col(f"_p_{c}") for c in present]).isNull()
     own = F.col(id_col).cast("string")

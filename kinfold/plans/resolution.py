@@ -28,6 +28,7 @@ class MatchSpec:
     id_col: str = "id"
     direct_block: int = 512
     rows_per_tile: int = 2048
+    blank_as_null: bool = False
 
     @property
     def group(self) -> list[str]:
@@ -104,10 +105,10 @@ def assign_clusters(records: DataFrame, spec: MatchSpec = MatchSpec(), decided:
     """(records with ``block_key`` and ``cluster_id``, profiles, linked pairs)."""
     keyed = records if "block_key" in records.columns else with_block_key(records)
     attributes = list(spec.weights)
-    profs = stored_profiles(keyed, attributes, spec.group, spec.id_col)
+    profs = stored_profiles(keyed, attributes, spec.group, spec.id_col, spec.blank_as_null)
     linked = materialize(linked_pairs(profs, spec, decided))
     components = connected_components(linked.filter("decision = 'match'"), scope=[spec.tenant])
-    clustered = attach_profile_clusters(keyed, profs, components, attributes, spec.group, spec.id_col)
+    clustered = attach_profile_clusters(keyed, profs, components, attributes, spec.group, spec.id_col, spec.blank_as_null)
     return materialize(clustered), profs, linked
 
 

@@ -234,3 +234,11 @@ def test_golden_records_and_provenance(spark):
     assert traced[(by["c2"]["golden_id"], "name")] == ("4", "unknown") and len(traced) == 5
     listed = {r["cluster_id"]: r["source_record_ids"] for r in golden.golden_records(records, inline_ids=1).collect()}
     assert listed["c1"] is None and golden.golden_members(records).count() == 6
+
+
+def test_blanks_can_count_as_missing(spark):
+    rows = [("1", "t", "", "", "ann@x.org", "b"), ("2", "t", " ", None, "bob@y.net", "b"), ("3", "t", "", "", "", "b"), ("4", "t", "", "", "", "b")]
+    people = spark.createDataFrame(rows, "id string, tenant_id string, name string, dob string, email string, block_key string")
+    of = lambda spec: {r["id"]: r["cluster_id"] for r in resolve(people, spec).clusters.collect()}
+    assert of(MatchSpec())["4"] == "3"
+    assert of(MatchSpec(blank_as_null=True)) == {"1": "1", "2": "2", "3": "3", "4": "4"}
