@@ -74,7 +74,7 @@ def filtered_pairs(profs: DataFrame, attribute: str, group: Sequence[str], revie
 
 def candidate_pairs(
     profs: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"),
-    review: float = REVIEW_THRESHOLD, direct_block: int = 512, rows_per_tile: int = 2048,
+    review: float = REVIEW_THRESHOLD, direct_block: int = 2048, rows_per_tile: int = 2048,
 ) -> DataFrame:
     """Pairs of profiles that share a block, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
 

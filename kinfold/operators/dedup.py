@@ -24,7 +24,7 @@ def dedup_exact(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str
 
 
 def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name",
-                    threshold: float = 0.85, direct: int = 1024) -> DataFrame:
+                    threshold: float = 0.85, direct: int = 2048) -> DataFrame:
     """First id of each (block, text) that no earlier similar text in the block removes.
 
     A row goes when any earlier row of its block is similar, even one that goes itself. With the smallest id of every
@@ -48,7 +48,7 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
 
 
 def dedup_fuzzy(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name",
-                threshold: float = 0.85, direct: int = 1024) -> DataFrame:
+                threshold: float = 0.85, direct: int = 2048) -> DataFrame:
     """Drop every row whose text is similar to that of an earlier row of its block; blank texts match nothing."""
     keep = fuzzy_survivors(df, id_col, block, text_col, threshold, direct).withColumn("_kept", F.lit(True))
     return df.join(keep, id_col, "left").filter(is_blank(F.col(text_col)) | F.col("_kept")).drop("_kept")

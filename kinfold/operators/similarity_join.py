@@ -202,7 +202,7 @@ def pairs_within(df: DataFrame, group: Sequence[str], id_col: str, carry: Sequen
 
 
 def candidates(df: DataFrame, group: Sequence[str], id_col: str, value_col: str, method: str, threshold: float,
-               direct: int = 1024, rows_per_tile: int = 2048) -> DataFrame:
+               direct: int = 2048, rows_per_tile: int = 2048) -> DataFrame:
     """Pairs of a group that may reach ``threshold``: all pairs in groups of up to ``direct`` values, which is linear in
     the table, and the similarity join in larger ones."""
     small, large = split_by_group_size(df, group, direct)

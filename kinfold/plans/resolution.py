@@ -26,7 +26,7 @@ class MatchSpec:
     review: float = REVIEW
     tenant: str = "tenant_id"
     id_col: str = "id"
-    direct_block: int = 512
+    direct_block: int = 2048
     rows_per_tile: int = 2048
     blank_as_null: bool = False
 
