@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .registry import register, table
+from .toxicity import held_out, toxicity, train
 
 
 @register("op3_minhash_near_dup", """
@@ -28,3 +30,20 @@ def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among whole documents: 3-word shingles, similarity of 85 % or more."""
     found = near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents less lines seen before, exactly or within two edits."""
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
+    return found.select("doc_id", F.size(F.coalesce("dropped_lines", F.array().cast("array<int>"))).alias("n_dropped"), "dropped_lines", lines.alias("n_lines"), "text")
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole texts, with the offending spans."""
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(spark, F.col("text"), model).alias("t"))
+    return found.select("doc_id", "held_out", "t.score", F.when(F.col("t.score") >= 0.5, 1).otherwise(0).alias("predicted"), "t.spans")

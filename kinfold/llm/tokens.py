@@ -6,11 +6,12 @@ A batch is one byte buffer with document offsets. A word is a maximal run of byt
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
@@ -33,18 +34,26 @@ def mix32(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint32(16))
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that a piece holds about ``limit`` bytes of text, or a single longer row."""
-    column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.fromiter(((0 if n is None else n) for n in pa.compute.binary_length(column).to_pylist()), np.int64, len(column))
-    start, held = 0, 0
+def _cuts(column: pa.Array, limit: int) -> list[tuple[int, int]]:
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    out, start, held = [], 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
-            yield batch.slice(start, i - start)
+            out.append((start, i))
             start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
+        held += int(n)
+    return [*out, (start, len(sizes))] if start < len(sizes) else out
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a piece holds about ``limit`` bytes of text, or a single longer row."""
+    for a, b in _cuts(batch.column(batch.schema.get_field_index(text)), limit):
+        yield batch.slice(a, b - a)
+
+
+def by_slices(column: pa.Array, function: Callable[[pa.Array], pa.Array], kind: pa.DataType, limit: int = 4 << 20) -> pa.Array:
+    """``function`` over pieces of a string column of about ``limit`` bytes, put together again."""
+    return pa.concat_arrays([pa.array([], kind), *(function(column.slice(a, b - a)) for a, b in _cuts(column, limit))])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,37 +101,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers(_STEP)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans ``start:end``, from running sums of bytes times powers of an odd base.
+class SpanHash:
+    """64-bit hashes of byte spans of one buffer, from running sums of bytes times powers of an odd base.
 
     The sums run in blocks so that the powers fit a fixed table; a span that crosses blocks is put together from them.
     """
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        n = len(data)
-        blocks = -(-max(n, 1) // _STEP)
-        padded = np.zeros(blocks * _STEP, np.uint64)
-        padded[:n] = data
-        padded[:n] += np.uint64(1)
-        padded = padded.reshape(blocks, _STEP)
-        padded *= _UP
-        sums = np.zeros((blocks, _STEP + 1), np.uint64)
-        np.cumsum(padded, axis=1, out=sums[:, 1:])
-        b0, o0 = np.divmod(start, _STEP)
-        b1, o1 = np.divmod(end - 1, _STEP)
-        o1 = o1 + 1
-        value = (sums[b1, o1] - np.where(b0 == b1, sums[b0, o0], np.uint64(0))) * np.where(b0 == b1, _DOWN[o0], np.uint64(1))
-        crossing = np.flatnonzero(b0 != b1)
-        for i in crossing:
-            head = (sums[b0[i], _STEP] - sums[b0[i], o0[i]]) * _DOWN[o0[i]]
-            shift = int(_STEP - o0[i])
-            rest = np.uint64(0)
-            for b in range(int(b0[i]) + 1, int(b1[i]) + 1):
-                part = sums[b, o1[i] if b == b1[i] else _STEP]
-                rest = rest + part * np.uint64(pow(_BASE, shift + (b - int(b0[i]) - 1) * _STEP, 1 << 64))
-            value[i] = head + rest
-        return mix(value + (end - start).astype(np.uint64) * _ODD)
+
+    def __init__(self, data: np.ndarray):
+        with np.errstate(over="ignore"):
+            n = len(data)
+            blocks = -(-max(n, 1) // _STEP)
+            padded = np.zeros(blocks * _STEP, np.uint64)
+            padded[:n] = data
+            padded[:n] += np.uint64(1)
+            padded = padded.reshape(blocks, _STEP)
+            padded *= _UP
+            self.sums = np.zeros((blocks, _STEP + 1), np.uint64)
+            np.cumsum(padded, axis=1, out=self.sums[:, 1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the spans ``start:end``; equal bytes have equal hashes wherever they stand."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        sums = self.sums
+        with np.errstate(over="ignore"):
+            b0, o0 = np.divmod(start, _STEP)
+            b1, o1 = np.divmod(end - 1, _STEP)
+            o1 = o1 + 1
+            flat, width = sums.ravel(), _STEP + 1
+            value = (flat[b1 * width + o1] - flat[b0 * width + o0]) * _DOWN[o0]
+            for i in np.flatnonzero(b0 != b1):
+                head = (sums[b0[i], _STEP] - sums[b0[i], o0[i]]) * _DOWN[o0[i]]
+                shift, rest = int(_STEP - o0[i]), np.uint64(0)
+                for b in range(int(b0[i]) + 1, int(b1[i]) + 1):
+                    part = sums[b, o1[i] if b == b1[i] else _STEP]
+                    rest = rest + part * np.uint64(pow(_BASE, shift + (b - int(b0[i]) - 1) * _STEP, 1 << 64))
+                value[i] = head + rest
+            return mix(value + (end - start).astype(np.uint64) * _ODD)
 
 
 def spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +160,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     """All words of a batch."""
     keep = (data != 32) & ((data < 9) | (data > 13))
     start, end, doc, first = spans(keep, offsets)
-    return Words(start, end, doc, span_hash(data, start, end), first)
+    return Words(start, end, doc, SpanHash(data)(start, end), first)
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
