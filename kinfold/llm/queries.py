@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .near_dup import near_duplicates
+from .pieces import read_model, round_trip
 from .registry import register, table
 from .toxicity import held_out, toxicity, train
 
@@ -47,3 +50,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity(spark, F.col("text"), model).alias("t"))
     return found.select("doc_id", "held_out", "t.score", F.when(F.col("t.score") >= 0.5, 1).otherwise(0).alias("predicted"), "t.spans")
+
+
+@register("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+    """Ids of whole texts and what they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", round_trip(spark, F.col("text"), read_model(path)).alias("t")).select("doc_id", "t.*")
+
+
+@register("op2_mix_sources")
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    found = mix(table(spark, sf_dir, "documents"))
+    found = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
