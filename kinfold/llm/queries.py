@@ -12,6 +12,7 @@ from .near_dup import near_duplicates
 from .pieces import read_model, round_trip
 from .registry import register, table
 from .toxicity import held_out, toxicity, train
+from .warc import archive_round_trip
 
 
 @register("op3_minhash_near_dup", """
@@ -65,3 +66,20 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(table(spark, sf_dir, "documents"))
     found = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+@register("op9_warc", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT *, array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * g + 1, 5))::INTEGER >> s) & 31)::INTEGER, 1)), '')), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY h) AS first_id
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+""")
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and back."""
+    found = archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
