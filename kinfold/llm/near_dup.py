@@ -5,9 +5,12 @@ agrees in at least ``need`` of the first ``POSTED`` coordinates but for a chance
 enough to find the pairs with that many collisions. Documents are posted under coordinate-value pairs, frequent lists
 last: two documents with ``need`` common values out of ``m`` shared ones must meet in one of each document's
 ``m - need + 1`` rarest lists (prefix), and the remaining long lists are skipped by the merge and only probed, by
-counting collisions of the packed signatures. Lists are cut into tiles, so the largest list is spread over many tasks,
-and no list is ever paired in full: a first round emits a greedy star cover per tile, a second the best pair of any two
-components that meet, a third what is then still undecided. Every emitted pair is confirmed on the full sets.
+counting the collisions of the packed signatures.
+
+No list or group is paired in full into rows. Lists are cut into tiles, so the largest list is spread over many tasks,
+and a tile returns a spanning forest of its colliding documents: clusters, at most a row per document and tile. The
+documents of a cluster then meet with their whole sets, again tile by tile, and a tile returns a spanning forest of the
+true links. The first tile of a cluster meets all others first; where that already joins the cluster, it is done.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ COORDINATES = 160
 POSTED = 64
 MISS = 1e-7
 TILE = 1024
+SET_TILE = 512
 
 
 def collisions_needed(coordinates: int, percent: int, miss: float = MISS) -> int:
@@ -89,120 +93,162 @@ def _set_reader(size: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The rows of each (key, i, j) in turn; the rows of a partition arrive sorted by them."""
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each group of equal ``names`` in turn, if more than one; a partition arrives sorted by them."""
     held: list[pa.Table] = []
 
     def cut(table: pa.Table, last: bool):
-        marks = np.column_stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        marks = np.column_stack([table.column(c).to_numpy() for c in names])
         edge = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
         bounds = np.concatenate(([0], edge, [len(marks)]))
         stop = len(bounds) - 1 if last else len(bounds) - 2
-        if stop > 0:
-            cid, comp, n = (table.column(c).to_numpy() for c in ("cid", "comp", "n"))
-            left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
-            packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(cid), -1)
-            for a, b in zip(bounds[:stop], bounds[1: stop + 1]):
-                if b - a > 1:
-                    yield marks[a, 1] == marks[a, 2], left[a:b], cid[a:b], comp[a:b], n[a:b], packed[a:b]
+        for a, b in zip(bounds[:stop], bounds[1: stop + 1]):
+            if b - a > 1:
+                yield table.slice(a, b - a)
         return table.slice(int(bounds[stop]))
 
     for batch in batches:
         if batch.num_rows:
             held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) >= 4 * TILE:
-                held = [(yield from cut(pa.concat_tables(held), False))]
+            if sum(t.num_rows for t in held) >= 4 * TILE or sum(t.nbytes for t in held) >= 64 << 20:
+                held = [(yield from cut(pa.concat_tables(held).combine_chunks(), False))]
     if held:
-        yield from cut(pa.concat_tables(held), True)
-
-
-def _alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, need: int, percent: int) -> np.ndarray:
-    """Collision counts of all of ``a`` with all of ``b``, 0 where too few or where the set sizes forbid a link."""
-    counts = np.zeros((len(a), len(b)), np.int16)
+        yield from cut(pa.concat_tables(held).combine_chunks(), True)
+
+
+def _forest(near: np.ndarray, inner: bool) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a graph: of a square matrix (``inner``), or of a matrix between two sides, whose columns are
+    numbered after its rows."""
+    if inner:
+        links = near | near.T
+    else:
+        a, b = near.shape
+        links = np.zeros((a + b, a + b), bool)
+        links[:a, a:], links[a:, :a] = near, near.T
+    open_ = links.any(axis=1)
+    while open_.any():
+        front = [int(np.argmax(open_))]
+        open_[front[0]] = False
+        while front:
+            x = front.pop()
+            new = np.flatnonzero(links[x] & open_)
+            open_[new] = False
+            front.extend(new.tolist())
+            yield from ((x, y) for y in new.tolist())
+
+
+def _fits_size(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+
+
+def _collide(a: np.ndarray, b: np.ndarray, need: int) -> np.ndarray:
+    """Which signatures of ``a`` and ``b`` agree in ``need`` coordinates."""
+    near = np.zeros((len(a), len(b)), bool)
     step = max(1, (16 << 20) // max(1, b.size))
     for s in range(0, len(a), step):
-        counts[s: s + step] = (a[s: s + step, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
-    low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
-    counts[(counts < need) | (100 * low < percent * high)] = 0
-    return counts
-
-
-def _pair_finder(stage: str, need: int, percent: int):
-    """Pairs of a stage: ``star`` (cover of a tile), ``best`` (one pair of two components), ``rest`` (all undecided)."""
-
-    def star(cid, n, packed):
-        near = _alike(packed, packed, n, n, need, percent) > 0
-        np.fill_diagonal(near, False)
-        uncovered = near.sum(axis=1)
-        while uncovered.max() > 0:
-            centre = int(np.argmax(uncovered))
-            spokes = np.flatnonzero(near[centre])
-            yield from ((cid[x], cid[centre]) for x in spokes)
-            covered = np.append(spokes, centre)
-            uncovered = uncovered - near[:, covered].sum(axis=1)
-            near[:, covered] = False
-
-    def between(inner, left, cid, comp, n, packed):
-        a, b = (np.arange(len(cid)),) * 2 if inner else (np.flatnonzero(left), np.flatnonzero(~left))
-        if not len(a) or not len(b) or (comp == comp[0]).all():
-            return
-        counts = _alike(packed[a], packed[b], n[a], n[b], need, percent)
-        counts[comp[a][:, None] == comp[b][None, :]] = 0
-        x, y = np.nonzero(np.triu(counts, 1) if inner else counts)
-        if stage == "best" and len(x):
-            found = counts[x, y]
-            low, high = np.minimum(comp[a[x]], comp[b[y]]), np.maximum(comp[a[x]], comp[b[y]])
-            order = np.lexsort((-found, high, low))
-            new = np.ones(len(order), bool)
-            new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-            x, y = x[order[new]], y[order[new]]
-        yield from zip(cid[a[x]], cid[b[y]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-            a.clear()
-            b.clear()
-            return out
-
-        for inner, left, cid, comp, n, packed in _groups(batches):
-            if stage == "star" and not inner:
+        near[s: s + step] = (a[s: s + step, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16) >= need
+    return near
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, from products of their incidence matrices."""
+    value = np.concatenate(a + b)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    column, owner = column[shared], owner[shared]
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(column):
+        return out
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
+    width = 4096
+    for low in range(0, int(column[-1]) + 1, width):
+        x, y = np.searchsorted(column, [low, low + width])
+        dense = np.zeros((len(a) + len(b), width), np.float32)
+        dense[owner[x:y], column[x:y] - low] = 1
+        out += dense[: len(a)] @ dense[len(a):].T
+    return out
+
+
+def _emitted(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int]] = []
+
+    def batch():
+        columns = np.array(held, np.int64).reshape(-1, 2)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(columns.min(axis=1, initial=np.iinfo(np.int64).max)), pa.array(columns.max(axis=1, initial=np.iinfo(np.int64).min))], ["a", "b"])
+
+    for pair in pairs:
+        held.append(pair)
+        if len(held) >= 20_000:
+            yield batch()
+    yield batch()
+
+
+def _sides(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:
+    inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    left = table.column("is_left").to_numpy(zero_copy_only=False).astype(bool)
+    every = np.arange(len(left))
+    return inner, every if inner else every[left], every if inner else every[~left]
+
+
+def _may_link(need: int, percent: int):
+    """Spanning forests, list by list and tile by tile, of the documents that collide often enough."""
+
+    def pairs(batches):
+        for table in _groups(batches, ["key", "i", "j"]):
+            inner, a, b = _sides(table)
+            if not len(a) or not len(b):
                 continue
-            for x, y in star(cid, n, packed) if stage == "star" else between(inner, left, cid, comp, n, packed):
-                a.append(min(x, y))
-                b.append(max(x, y))
-            if len(a) > 50_000:
-                yield flush()
-        yield flush()
+            cid, n = (table.column(c).to_numpy() for c in ("cid", "n"))
+            packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint8).reshape(len(cid), -1)
+            near = _fits_size(n[a], n[b], percent) & _collide(packed[a], packed[b], need)
+            if inner:
+                np.fill_diagonal(near, False)
+            node = cid if inner else np.concatenate((cid[a], cid[b]))
+            yield from ((node[x], node[y]) for x, y in _forest(near, inner))
 
-    return run
+    return lambda batches: _emitted(pairs(batches))
 
 
-def _candidates(posts: DataFrame, stage: str, need: int, percent: int) -> DataFrame:
-    """Distinct candidate pairs ``a < b`` of the lists, tile by tile."""
+def _do_link(percent: int):
+    """Spanning forests, tile by tile of a cluster, of the documents whose whole sets are similar enough."""
+
+    def pairs(batches):
+        for table in _groups(batches, ["cluster", "i", "j"]):
+            inner, a, b = _sides(table)
+            if not len(a) or not len(b):
+                continue
+            cid, comp = (table.column(c).to_numpy() for c in ("cid", "comp"))
+            lists = table.column("shingles").combine_chunks()
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            sets = [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+            n = np.diff(bounds)
+            both = _common([sets[x] for x in a], [sets[x] for x in b]).astype(np.int64)
+            near = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
+            if inner:
+                np.fill_diagonal(near, False)
+            near &= comp[a][:, None] != comp[b][None, :]
+            node = cid if inner else np.concatenate((cid[a], cid[b]))
+            yield from ((node[x], node[y]) for x, y in _forest(near, inner))
+
+    return lambda batches: _emitted(pairs(batches))
+
+
+def _cells(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Every pair of tiles of a group, with the rows of both; a group of ``tiles`` tiles has each row so often."""
     tile = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")
-    cells = posts.withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cells = cells.select(
-        "key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), (F.col("t") <= F.col("o")).alias("is_left"),
-        "cid", "comp", "n", "packed",
-    )
-    if stage == "star":
-        cells = cells.filter("i = j")
-    return (
-        cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_pair_finder(stage, need, percent), "a long, b long").distinct()
-    )
+    cells = rows.withColumn("t", tile).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return cells.select(group, F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), (F.col("t") <= F.col("o")).alias("is_left"), "cid", *columns)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
-    one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    linked = pairs.join(one, "a").join(two, "b").withColumn("common", common)
-    return linked.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+def _pairs(cells: DataFrame, group: str, finder) -> DataFrame:
+    spread = cells.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+    return spread.mapInArrow(finder, "a long, b long").distinct()
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -229,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         _signer(size), "doc_id long, text_hash long, n_shingles long, cid long, sig array<int>, packed binary"))
     classes = signed.filter("cid IS NOT NULL").groupBy("cid").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("packed").alias("packed"))
-    class_path, post_path, set_path = (scratch_path(spark, x) for x in ("classes", "posts", "sets"))
+    class_path, set_path = (scratch_path(spark, x) for x in ("classes", "sets"))
     classes = materialize(classes, path=class_path)
 
     keys = classes.select("cid", F.posexplode("sig").alias("c", "v")).select("cid", F.xxhash64("c", "v").alias("key"))
@@ -242,27 +288,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     posted = materialize(ranked)
     lengths = posted.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1")
     lists = posted.join(lengths, "key").select("key", "cid", F.ceil(F.col("length") / TILE).cast("int").alias("tiles"))
-    posts = materialize(lists.join(classes.select("cid", "n", "packed"), "cid"), path=post_path)
+    posts = lists.join(classes.select("cid", "n", "packed"), "cid")
+    maybe = materialize(_pairs(_cells(posts, "key", "n", "packed"), "key", _may_link(need_all, percent)))
+    clusters = materialize(_components(maybe).select("cid", F.col("comp").alias("cluster")))
 
-    wanted = materialize(posts.select("cid").distinct().join(classes.select("cid", "first_id"), "cid").select(F.col("cid").alias("want"), "first_id"))
+    wanted = materialize(clusters.join(classes.select("cid", "first_id"), "cid").select(F.col("cid").alias("want"), "first_id"))
     member = texts.join(narrow(wanted), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("want", "text")
     sets = member.mapInArrow(_set_reader(size), "want long, cid long, shingles array<long>").filter("want = cid").select("cid", "shingles")
-    sets = materialize(sets.dropDuplicates(["cid"]), path=set_path)
-
-    links = materialize(_confirm(_candidates(posts.withColumn("comp", F.col("cid")), "star", need_all, percent), sets, percent))
-    for stage in ("best", "rest"):
-        comps = _components(links)
-        named = posts.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        more = _confirm(_candidates(named.join(open_, "key", "left_semi"), stage, need_all, percent), sets, percent)
-        links = materialize(links.unionByName(more).distinct())
-    comps = _components(links)
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
+    sets = materialize(sets.dropDuplicates(["cid"]).join(clusters.join(sizes, "cluster"), "cid"), path=set_path)
+
+    cells = _cells(sets.withColumn("comp", F.col("cid")), "cluster", "comp", "shingles").filter("i = j OR i = 0")
+    links = materialize(_pairs(cells, "cluster", _do_link(percent)))
+    comps = materialize(_components(links))
+    tiled = sets.filter("tiles > 2").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    parted = tiled.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
+    cells = _cells(tiled.join(parted, "cluster", "left_semi"), "cluster", "comp", "shingles").filter("i < j AND i > 0")
+    more = materialize(_pairs(cells, "cluster", _do_link(percent)))
+    if not more.isEmpty():
+        comps = _components(links.unionByName(more))
 
     ids = signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"))
     ids = ids.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     roots = ids.groupBy("comp").agg(F.min("first_id").alias("root"))
     roots = materialize(ids.join(roots, "comp").select("cid", "root"))
-    release(spark, class_path, post_path, set_path)
+    release(spark, class_path, set_path)
     found = signed.select("doc_id", "text_hash", "n_shingles", "cid").join(roots, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

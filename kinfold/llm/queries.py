@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .imatch import edited_prints
+from .language import language
+from .language import train as train_languages
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dup import near_duplicates
 from .pieces import read_model, round_trip
+from .quality import quality
+from .quality import train as train_quality
 from .registry import register, table
 from .toxicity import held_out, toxicity, train
 from .warc import archive_round_trip
@@ -83,3 +88,27 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back."""
     found = archive_round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op4_imatch")
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and of their edited texts."""
+    return edited_prints(table(spark, sf_dir, "documents"))
+
+
+@register("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of whole texts."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality(spark, F.col("text"), model).alias("score"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@register("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of whole texts."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_languages(docs)
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(spark, F.col("text"), model).alias("l"))
+    return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score")
