@@ -12,6 +12,7 @@ from .language import train as train_languages
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dup import near_duplicates
+from .permutation_index import nearest
 from .pieces import read_model, round_trip
 from .quality import quality
 from .quality import train as train_quality
@@ -20,6 +21,12 @@ from .toxicity import held_out, toxicity, train
 from .warc import archive_round_trip
 
 
+@register("op1_permutation_index")
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @register("op3_minhash_near_dup", """
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
