@@ -75,6 +75,7 @@ def forward_backward(odds: np.ndarray, first: np.ndarray, start: np.ndarray, mov
     gain[:n] = np.clip(odds, -60, 60)
     head = np.zeros(chunks * _CHUNK, bool)
     head[first[:-1][np.diff(first) > 0]] = True
+    head[n:] = True  # what fills the last chunk belongs to no chain
     top = np.maximum(gain, 0)
     e = np.stack([np.exp(-top), np.exp(gain - top)], axis=-1).reshape(chunks, _CHUNK, 2)
     head = head.reshape(chunks, _CHUNK)
