@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import comparison_value, is_blank, metaphone, normalize, strip, title_case
 from ..session import materialize
-from .compare import similarity_method
-from .similarity_join import pairs_within, similar_candidates, split_by_group_size
-
-REVIEW_THRESHOLD = 0.70
+from .pairing import ROWS_PER_TILE, pass_pairs
 
 
 def block_key(name: Column, country: Column, entity_type: Column) -> Column:
@@ -39,57 +35,49 @@ def with_prefix_block_key(df: DataFrame, name: str = "name", country: str = "cou
     return df.withColumn(output, F.concat_ws("_", start, F.coalesce(F.upper(strip(F.col(country))), F.lit(""))))
 
 
-def profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = False) -> DataFrame:
+def profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = True) -> DataFrame:
     """One row per block and distinct comparison values: ``profile_id`` (the smallest record id) and ``n_records``.
 
     Records with the same comparison values behave the same against every other record, so everything after this step
     works on profiles and carries counts. The aggregate combines on the map side: a group of copies that fills a third
-    of the table leaves each task as one row. Two empty texts are alike with a score of 1; where a third of a table has
-    blank names, ``blank_as_null`` leaves the blanks out of the comparison instead.
+    of the table leaves each task as one row. Blanks count as missing unless ``blank_as_null`` is off, in which case two
+    empty texts are alike.
     """
     values = [comparison_value(F.col(c), blank_as_null).alias(c) for c in attributes if c in df.columns]
     return df.groupBy(*group, *values).agg(F.min(F.col(id_col).cast("string")).alias("profile_id"), F.count("*").alias("n_records"))
 
 
-def stored_profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = False) -> DataFrame:
+def stored_profiles(df: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = True) -> DataFrame:
     """``profiles`` written once to the shared folder, spread evenly for the pairing that follows."""
     return materialize(profiles(df, attributes, group, id_col, blank_as_null), "profile_id")
 
 
-def direct_pairs(profs: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Every pair of profiles of a block once. Only for blocks of bounded size."""
-    carry = [c for c in profs.columns if c not in (*group, "profile_id")]
-    return pairs_within(profs, group, "profile_id", carry).withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
+def _born(c: Column) -> Column:
+    return F.substring(c, 1, 9)
 
 
-def filtered_pairs(profs: DataFrame, attribute: str, group: Sequence[str], review: float, rows_per_tile: int) -> DataFrame:
-    """Pairs of a block that may reach ``review`` on one attribute, found without pairing the block."""
-    carry = [c for c in profs.columns if c not in (*group, "profile_id")]
-    pairs = similar_candidates(
-        profs.filter(F.col(attribute).isNotNull()), list(group), "profile_id", attribute, similarity_method(attribute),
-        review, carry, rows_per_tile,
-    )
-    return pairs.withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
+def _mail(c: Column) -> Column:
+    return F.substring(F.substring_index(c, "@", 1), 1, 8)
+
+
+# The passes inside a block, in order: a birth date but for its last digit, the start of a mail name, the whole name.
+PASSES = {"dob": _born, "email": _mail, "name": lambda c: c}
 
 
 def candidate_pairs(
-    profs: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"),
-    review: float = REVIEW_THRESHOLD, direct_block: int = 2048, rows_per_tile: int = 2048,
+    profs: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), rows_per_tile: int = ROWS_PER_TILE,
+    passes: Mapping[str, Callable[[Column], Column]] = PASSES,
 ) -> DataFrame:
-    """Pairs of profiles that share a block, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
+    """Pairs of profiles that share a block and a pass in it, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
 
-    ``n_records_a * n_records_b`` record pairs stand behind a row. Blocks of up to ``direct_block`` profiles are paired
-    directly, which is linear in the table. In a larger block a weighted mean can only reach ``review`` when one
-    attribute does, so its pairs come from one similarity join per attribute; what those leave out is provably a
-    non-match and is counted by ``block_statistics`` instead of being listed. ``profs`` is read several times: give a
-    frame from ``stored_profiles``.
+    ``n_records_a * n_records_b`` record pairs stand behind a row. A block may hold any number of profiles: the passes,
+    which are the same for all blocks, decide which of them are compared, and all other pairs of the block count as
+    non-matches (``block_statistics``). ``profs`` is read several times: give a frame from ``stored_profiles``.
     """
     present = [c for c in attributes if c in profs.columns]
-    small, large = split_by_group_size(profs, group, direct_block)
-    pairs = direct_pairs(small, group)
-    if large is not None:
-        found = [filtered_pairs(large, c, group, review, rows_per_tile) for c in present]
-        pairs = pairs.unionByName(reduce(lambda a, b: a.unionByName(b), found).dropDuplicates([*group, "id_a", "id_b"]))
+    keys = [key(F.col(c)) for c, key in passes.items() if c in present]
+    carry = [c for c in profs.columns if c not in (*group, "profile_id")]
+    pairs = pass_pairs(profs, group, "profile_id", keys, carry, rows_per_tile).withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
     return pairs.withColumn("record_pairs", F.col("n_records_a") * F.col("n_records_b"))
 
 

@@ -67,7 +67,7 @@ def attach_clusters(records: DataFrame, components: DataFrame, id_col: str = "id
 
 
 def attach_profile_clusters(records: DataFrame, profs: DataFrame, components: DataFrame, attributes: Sequence[str],
-                            group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = False) -> DataFrame:
+                            group: Sequence[str] = ("tenant_id", "block_key"), id_col: str = "id", blank_as_null: bool = True) -> DataFrame:
     """Add ``cluster_id`` to records through their profile.
 
     ``group`` starts with the scope the components were computed in. Copies follow their profile. Records with none of the compared values have a score of 0 among themselves and stay

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaro_winkler_normalized, levenshtein_similarity_normalized, normalize
-from .similarity_join import JARO_WINKLER, LEVENSHTEIN
+from .pairing import JARO_WINKLER, LEVENSHTEIN
 
 # Default attribute weights, the attributes compared by edit distance, and the decision thresholds.
 DEFAULT_WEIGHTS = {"name": 0.50, "dob": 0.20, "email": 0.30}
@@ -40,8 +40,6 @@ def score_pairs(pairs: DataFrame, weights: Mapping[str, float] | None = None) ->
     side only scores 0 at full weight, one absent on both sides has no weight. Without any weight it is 0.
     """
     weights = dict(weights or DEFAULT_WEIGHTS)
-    if sum(weights.values()) <= 0:
-        weights = {k: float(v) for k, v in weights.items()}
     raw = {f"_raw_{k}": _similarity(k, _side(pairs, k, "_a"), _side(pairs, k, "_b")) for k in weights}
     scored = pairs.withColumns(raw)
     active = {k: _side(pairs, k, "_a").isNotNull() | _side(pairs, k, "_b").isNotNull() for k in weights}

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, jaro_winkler_raw
+from ..functions.text import is_blank, jaro_winkler_raw, metaphone, normalize
 from ..session import materialize
-from .similarity_join import JARO_WINKLER, candidates
+from .pairing import ROWS_PER_TILE, pass_pairs
 
 
 def dedup_exact(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str] | Column = "id") -> DataFrame:
@@ -23,14 +23,19 @@ def dedup_exact(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name",
-                    threshold: float = 0.85, direct: int = 2048) -> DataFrame:
+def name_passes(text: Column) -> list[Column]:
+    """Texts are compared that sound alike, or that share their first letter and their last word."""
+    plain = normalize(text)
+    return [metaphone(plain), F.concat(F.substring(plain, 1, 1), F.lit(" "), F.substring_index(plain, " ", -1))]
+
+
+def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name", threshold: float = 0.85,
+                    passes: Callable[[Column], list[Column]] = name_passes, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
     """First id of each (block, text) that no earlier similar text in the block removes.
 
-    A row goes when any earlier row of its block is similar, even one that goes itself. With the smallest id of every
-    distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first of its text and no
-    similar text has an earlier first row. Only distinct texts are compared: directly in blocks of up to ``direct``
-    texts, through the similarity join in larger ones.
+    A row goes when any earlier row of its block that shares a pass is similar, even one that goes itself. With the
+    smallest id of every distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first
+    of its text and no similar text has an earlier first row.
     """
     firsts = (
         df.filter(~is_blank(F.col(text_col)))
@@ -38,7 +43,7 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
         .agg(F.min(id_col).alias("_first"))
     )
     firsts = materialize(firsts, "_first")
-    pairs = candidates(firsts, list(block), "_first", "_text", JARO_WINKLER, threshold, direct)
+    pairs = pass_pairs(firsts, list(block), "_first", passes(F.col("_text")), ["_text"], rows_per_tile)
     later = (
         pairs.filter(jaro_winkler_raw(F.col("_text_a"), F.col("_text_b")) >= F.lit(threshold))
         .select(F.col("_first_b").alias("_first"))
@@ -47,10 +52,10 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
     return firsts.join(later, "_first", "left_anti").select(F.col("_first").alias(id_col))
 
 
-def dedup_fuzzy(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name",
-                threshold: float = 0.85, direct: int = 2048) -> DataFrame:
-    """Drop every row whose text is similar to that of an earlier row of its block; blank texts match nothing."""
-    keep = fuzzy_survivors(df, id_col, block, text_col, threshold, direct).withColumn("_kept", F.lit(True))
+def dedup_fuzzy(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name", threshold: float = 0.85,
+                passes: Callable[[Column], list[Column]] = name_passes, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """Drop every row whose text is similar to that of an earlier row of its block and pass; blank texts match nothing."""
+    keep = fuzzy_survivors(df, id_col, block, text_col, threshold, passes, rows_per_tile).withColumn("_kept", F.lit(True))
     return df.join(keep, id_col, "left").filter(is_blank(F.col(text_col)) | F.col("_kept")).drop("_kept")
 
 

@@ -11,11 +11,9 @@ from ..functions.text import is_blank, strip
 
 # Record columns that are bookkeeping, head columns of a golden record, and timestamp columns by rank.
 BOOKKEEPING = ("id", "raw_id", "block_key", "decision", "confidence_score", "cluster_id")
-HEAD = ("golden_id", "tenant_id", "cluster_size", "source_record_ids", "created_at")
+HEAD = ("golden_id", "tenant_id", "cluster_size", "created_at")
 TIMESTAMPS = ("updated_at", "joined_at", "staged_at")
 
-INLINE_IDS = 1000
-
 
 def attribute_columns(df: DataFrame) -> list[str]:
     """Columns that survive into a golden record, by name."""
@@ -39,13 +37,12 @@ def record_time(df: DataFrame) -> Column:
 
 
 def golden_records(records: DataFrame, tenant: str = "tenant_id", id_col: str = "id", attributes: Sequence[str] | None = None,
-                   created_at: Column | None = None, inline_ids: int = INLINE_IDS) -> DataFrame:
-    """One row per ``(tenant, cluster_id)`` with ``cluster_size``, ``source_record_ids`` and the surviving attributes.
+                   created_at: Column | None = None) -> DataFrame:
+    """One row per ``(tenant, cluster_id)`` with ``cluster_size`` and the surviving attributes.
 
     Per attribute the non-blank value of the latest record wins, then the longest text, then the smallest record id.
     All attributes come from one aggregate whose state per cluster is one value per attribute, combined on the map
-    side. ``source_record_ids`` is filled for clusters of up to ``inline_ids`` records; ``golden_members`` lists the
-    members of every cluster as rows, whatever its size.
+    side. ``golden_members`` has the members of every cluster as rows, whatever its size.
     """
     attributes = list(attributes or attribute_columns(records))
     key = [tenant, "cluster_id"]
@@ -56,17 +53,10 @@ def golden_records(records: DataFrame, tenant: str = "tenant_id", id_col: str =
         return F.max_by(F.col(c), F.when(~is_blank(F.col(c)), order)).alias(c)
 
     golden = ranked.groupBy(*key).agg(F.count("*").alias("cluster_size"), *[survivor(c) for c in attributes])
-    listed = golden.filter(F.col("cluster_size") <= inline_ids).select(*key)
-    ids = (
-        records.select(*key, F.col(id_col).cast("string").alias("_id"))
-        .join(listed, key, "left_semi")
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list("_id")).alias("source_record_ids"))
-    )
     made = created_at if created_at is not None else F.current_timestamp()
-    return golden.join(ids, key, "left").select(
+    return golden.select(
         golden_id(F.col(tenant), F.col("cluster_id")).alias("golden_id"), F.col(tenant).alias("tenant_id"), "cluster_id",
-        "cluster_size", "source_record_ids", made.alias("created_at"), *attributes,
+        "cluster_size", made.alias("created_at"), *attributes,
     )
 
 

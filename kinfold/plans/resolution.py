@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.blocking import block_statistics, direct_pairs, filtered_pairs, stored_profiles, with_block_key
+from ..operators.blocking import PASSES, block_statistics, candidate_pairs, stored_profiles, with_block_key
 from ..operators.cluster import attach_profile_clusters, connected_components
 from ..operators.compare import DEFAULT_WEIGHTS, MATCH, REVIEW, decision_summary, score_pairs, with_decision
-from ..operators.similarity_join import split_by_group_size
 from ..operators.golden import field_provenance, golden_members, golden_records
+from ..operators.pairing import ROWS_PER_TILE
 from ..session import materialize
 
 
 @dataclass(frozen=True)
 class MatchSpec:
-    """What is compared, how much it counts, and where the decisions lie."""
+    """What is compared, in which passes inside a block, how much it counts, and where the decisions lie."""
 
     weights: Mapping[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     match: float = MATCH
     review: float = REVIEW
     tenant: str = "tenant_id"
     id_col: str = "id"
-    direct_block: int = 2048
-    rows_per_tile: int = 2048
-    blank_as_null: bool = False
+    rows_per_tile: int = ROWS_PER_TILE
+    blank_as_null: bool = True
+    passes: Mapping[str, Callable[[Column], Column]] = field(default_factory=lambda: dict(PASSES))
 
     @property
     def group(self) -> list[str]:
@@ -51,31 +50,21 @@ class Resolution:
 def linked_pairs(profs: DataFrame, spec: MatchSpec = MatchSpec(), decided: DataFrame | None = None) -> DataFrame:
     """Scored pairs of profiles that reach the review threshold, with ``decision`` and ``record_pairs``.
 
-    Small blocks are paired directly. In large blocks each attribute contributes the pairs it can lift over the
-    threshold; a pair found through several attributes is kept where the first of them reaches it, which each row can
-    tell by itself. ``profs`` comes from ``stored_profiles``. Pairs in ``decided`` (``id_a``, ``id_b``) were judged before and are not proposed again.
+    ``profs`` comes from ``stored_profiles``. Pairs in ``decided`` (tenant, ``id_a``, ``id_b``) were judged before and
+    are not proposed again.
     """
-    present = [c for c in spec.weights if c in profs.columns]
-    small, large = split_by_group_size(profs, spec.group, spec.direct_block)
-    scored = [score_pairs(direct_pairs(small, spec.group), spec.weights)]
-    for i, attribute in enumerate(present if large is not None else ()):
-        pairs = score_pairs(filtered_pairs(large, attribute, spec.group, spec.review, spec.rows_per_tile), spec.weights)
-        reaches = F.col(f"score_{attribute}") >= spec.review
-        earlier = [F.col(f"score_{c}") >= spec.review for c in present[:i]]
-        scored.append(pairs.filter(reaches & ~reduce(lambda a, b: a | b, earlier, F.lit(False))))
-    linked = reduce(lambda a, b: a.unionByName(b), scored).filter(F.col("confidence_score") >= spec.review)
+    pairs = candidate_pairs(profs, list(spec.weights), spec.group, spec.rows_per_tile, spec.passes)
+    linked = score_pairs(pairs, spec.weights).filter(F.col("confidence_score") >= spec.review)
     if decided is not None:
-        linked = drop_decided(linked, decided)
-    return with_decision(linked, match=spec.match, review=spec.review).withColumn(
-        "record_pairs", F.col("n_records_a") * F.col("n_records_b")
-    )
+        linked = drop_decided(linked, decided, spec.tenant)
+    return with_decision(linked, match=spec.match, review=spec.review)
 
 
-def drop_decided(pairs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Pairs not judged before, whichever way round the judgement names them."""
+def drop_decided(pairs: DataFrame, decided: DataFrame, tenant: str = "tenant_id") -> DataFrame:
+    """Pairs not judged before in their tenant, whichever way round the judgement names them."""
     a, b = F.col("id_a").cast("string"), F.col("id_b").cast("string")
-    known = decided.select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
-    return pairs.join(known, ["id_a", "id_b"], "left_anti")
+    known = decided.select(tenant, F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
+    return pairs.join(known, [tenant, "id_a", "id_b"], "left_anti")
 
 
 def copies(profs: DataFrame, spec: MatchSpec = MatchSpec()) -> DataFrame:

@@ -60,11 +60,12 @@ def review_candidates(review: DataFrame, tenant_id: Column, created_at: Column)
 
 
 def golden_rows(golden: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """Rows of ``golden_records``: head columns, member ids as JSON, the other columns as JSON ``attributes``."""
+    """Rows of ``golden_records``: head columns, and the other columns as JSON ``attributes``. Members are rows of their own
+    (``golden_members``), so that a cluster may have any number of them."""
     attributes = [c for c in golden.columns if c not in HEAD and c != "cluster_id"]
     return golden.select(
         "golden_id", "tenant_id", F.col("cluster_size").cast("int").alias("cluster_size"),
-        F.to_json("source_record_ids").alias("source_record_ids"), _json(attributes).alias("attributes"),
+        _json(attributes).alias("attributes"),
         (created_at if created_at is not None else F.col("created_at")).alias("created_at"),
     )
 

@@ -99,7 +99,7 @@ def test_result_rows_and_events(spark):
     assert (row["record_id_a"], row["record_id_b"], row["status"]) == ("1", "2", "PENDING") and json.loads(row["payload"])["confidence_score"] == 0.75
     staged = tables.staging_records(spark.createDataFrame([(None, "x")], "id string, n string"), F.lit("t"), F.lit("s"), F.lit("b"), at).first()
     assert staged["raw_id"] == "" and json.loads(staged["data"]) == {"id": None, "n": "x"}
-    golden = spark.createDataFrame([("gr-100", "acme", "c", 1, ["r"], "Ann")], "golden_id string, tenant_id string, cluster_id string, cluster_size int, source_record_ids array<string>, name string")
+    golden = spark.createDataFrame([("gr-100", "acme", "c", 1, "Ann")], "golden_id string, tenant_id string, cluster_id string, cluster_size int, name string")
     sent = events.entity_resolved_events(golden, F.lit("Person")).first()
     assert sent["key"] == "acme:gr-100" and json.loads(sent["value"]) == {"tenant_id": "acme", "golden_id": "gr-100", "entity_type": "Person", "data": {"name": "Ann"}}
     batch = spark.createDataFrame([("acme", "s", "b")] * 3, "tenant_id string, source_id string, batch_id string")

@@ -14,7 +14,7 @@ from kinfold.plans.intake import intake
 
 from . import views as v
 from .registry import register
-from .views import CLEANED, DUCK, PARTY, cleaned, load, party, sql_amount, sql_currency, sql_date, sql_title
+from .views import SQL_CODE, CLEANED, DUCK, PARTY, cleaned, load, party, sql_amount, sql_currency, sql_date, sql_title
 
 TEXT = ["name", "email", "country", "entity_type", "dob", "joined_at", "salary"]
 
@@ -99,19 +99,22 @@ def c10(spark, folder):
 
 # ---------------------------------------------------------------- de-duplication and validation
 
-EXACT = f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS r FROM ({CLEANED})) WHERE r = 1"
-FUZZY = f"""WITH x AS ({EXACT}) SELECT * FROM x WHERE id NOT IN (SELECT b.id FROM x a JOIN x b
-ON a.country = b.country AND a.id < b.id AND a.name <> '' AND b.name <> '' AND jaro_winkler_similarity(a.name, b.name) >= 0.85)"""
+EXACT = f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, email ORDER BY id) AS r FROM ({CLEANED})) WHERE r = 1"
+_LAST = "substr(trim(lower(name)), 1, 1) || ' ' || split_part(trim(lower(name)), ' ', -1)"
+FUZZY = f"""WITH x AS ({EXACT}), y AS (SELECT id, tenant_id, country, name, {SQL_CODE} AS code, {_LAST} AS tail FROM x WHERE name <> '')
+SELECT * FROM x WHERE id NOT IN (SELECT b.id FROM y a JOIN y b ON a.tenant_id = b.tenant_id AND a.country = b.country AND a.id < b.id
+AND (a.code = b.code OR a.tail = b.tail) AND jaro_winkler_similarity(a.name, b.name) >= 0.85)"""
 
 
 @register("X1_dedup_exact", f"SELECT id, email FROM ({EXACT})")
 def x1(spark, folder):
-    return dedup.dedup_exact(cleaned(spark, folder).select("id", "email"), ["email"], "id")
+    return dedup.dedup_exact(cleaned(spark, folder).select("id", "tenant_id", "email"), ["tenant_id", "email"], "id").select("id", "email")
 
 
 @register("X2_dedup_fuzzy", f"SELECT id, name, country FROM ({FUZZY})")
 def x2(spark, folder):
-    return dedup.dedup_fuzzy(dedup.dedup_exact(cleaned(spark, folder), ["email"], "id")).select("id", "name", "country")
+    exact = dedup.dedup_exact(cleaned(spark, folder), ["tenant_id", "email"], "id")
+    return dedup.dedup_fuzzy(exact, block=["tenant_id", "country"]).select("id", "name", "country")
 
 
 @register(
@@ -120,7 +123,7 @@ def x2(spark, folder):
     SELECT (SELECT count(*) FROM ({CLEANED})) AS n, (SELECT count(*) FROM ({EXACT})) AS e, (SELECT count(*) FROM ({FUZZY})) AS f)""",
 )
 def x3(spark, folder):
-    done = intake(load(spark, folder, party))
+    done = intake(load(spark, folder, party), ["tenant_id"])
     return dedup.dedup_report(done.cleaned, done.exact, done.fuzzy)
 
 
@@ -135,7 +138,7 @@ def p6(spark, folder):
 
 @register("intake_valid_rows", f"SELECT id, name, email, joined_at, salary_amount FROM ({FUZZY}) WHERE id <> '' AND name <> '' AND contains(email, '@')")
 def intake_valid(spark, folder):
-    return intake(load(spark, folder, party)).valid.select("id", "name", "email", "joined_at", "salary_amount")
+    return intake(load(spark, folder, party), ["tenant_id"]).valid.select("id", "name", "email", "joined_at", "salary_amount")
 
 
 @register("U2_split_and_recombine", f"SELECT id, name <> '' AND contains(email, '@') AS was_valid FROM ({CLEANED})")
@@ -328,11 +331,18 @@ def scalar_text(spark, folder):
 _NAMES = "SELECT DISTINCT p_name AS n FROM part"
 
 
+def _thirds(x: str) -> str:
+    return f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))"
+
+
+
+
 @register(
     "D13_suggest_mappings",
     f"""SELECT source_column, property, score FROM (SELECT *, row_number() OVER (PARTITION BY source_column ORDER BY score DESC, property) AS r FROM (
     SELECT replace(array_to_string(list_transform(string_split(a.n, ' '), lambda w : upper(w[1]) || w[2:]), ' '), ' ', '') || '_Id' AS source_column, replace(b.n, ' ', '_') AS property,
-    round(jaro_winkler_similarity(replace(a.n, ' ', '') || 'id', replace(b.n, ' ', '')), 4) AS score FROM ({_NAMES}) a, ({_NAMES}) b)) WHERE r = 1 AND score >= 0.7""",
+    round(jaro_winkler_similarity(replace(a.n, ' ', '') || 'id', replace(b.n, ' ', '')), 4) AS score FROM ({_NAMES}) a, ({_NAMES}) b
+    WHERE len(list_intersect({_thirds("replace(a.n, ' ', '') || 'id'")}, {_thirds("replace(b.n, ' ', '')")})) > 0)) WHERE r = 1 AND score >= 0.7""",
 )
 def d13(spark, folder):
     columns = v.table(spark, folder, "part").select(F.concat(F.replace(F.initcap("p_name"), F.lit(" ")), F.lit("_Id")).alias("source_column")).distinct()

@@ -95,7 +95,7 @@ _SUMMARY = f"""SELECT tenant_id, source_id, 'b1' AS batch_id, 'valid' AS status,
 
 
 def _summary(spark, folder):
-    return out_events.batch_summary(intake(load(spark, folder, party)).valid.withColumn("batch_id", F.lit("b1")), "staged/valid", at())
+    return out_events.batch_summary(intake(load(spark, folder, party), ["tenant_id"]).valid.withColumn("batch_id", F.lit("b1")), "staged/valid", at())
 
 
 @register("A10_batch_summary", _SUMMARY)

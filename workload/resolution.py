@@ -32,19 +32,32 @@ def pairs(spark, folder):
     return blocking.candidate_pairs(profiles(spark, folder), ATTRIBUTES)
 
 
-# every record pair of every block, built one by one: the twin does not know about profiles
-REC = f"""rec AS (SELECT *, lower(trim(name)) AS nm, lower(trim(dob)) AS db, lower(trim(email)) AS em,
-  min(id) OVER (PARTITION BY tenant_id, block_key, lower(trim(name)), lower(trim(dob)), lower(trim(email))) AS pid FROM ({KEYED}))"""
-_JW = "CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({a}, {b}) END"
-_LEV = "CASE WHEN {a} = '' AND {b} = '' THEN 1.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 1.0 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
+# every record pair that shares a block and a pass, built one by one: the twin does not know about profiles
+_PLAIN = "nullif(lower(trim(name)), '') AS nm, nullif(lower(trim(dob)), '') AS db, nullif(lower(trim(email)), '') AS em"
+_KEYS = "substr(db, 1, 9) AS k1, nullif(substr(split_part(em, '@', 1), 1, 8), '') AS k2, nm AS k3"
+_MET = "(a.k1 = b.k1 OR a.k2 = b.k2 OR a.k3 = b.k3)"
+REC = f"""rec AS (SELECT *, {_KEYS}, min(id) OVER (PARTITION BY tenant_id, block_key, nm, db, em) AS pid FROM (SELECT *, {_PLAIN} FROM ({KEYED})))"""
+_JW = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 ELSE jaro_winkler_similarity({a}, {b}) END"
+_LEV = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 ELSE 1.0 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
 S_NAME, S_DOB, S_EMAIL = _JW.format(a="a.nm", b="b.nm"), _LEV.format(a="a.db", b="b.db"), _JW.format(a="a.em", b="b.em")
-SCORED = f"""{REC}, scored AS (SELECT *, round(0.5 * s_name + 0.2 * s_dob + 0.3 * s_email, 4) AS score FROM (
+
+
+def _mean(*terms: tuple[float, str, str]) -> str:
+    """Weighted mean of the scores whose value is present on one side at least."""
+    weight = " + ".join(f"CASE WHEN {on} THEN {w}::DOUBLE ELSE 0.0 END" for w, _, on in terms)
+    part = " + ".join(f"CASE WHEN {on} THEN {w}::DOUBLE * {score} ELSE 0.0 END" for w, score, on in terms)
+    return f"coalesce(round(({part}) / nullif({weight}, 0.0), 4), 0.0)"
+
+
+SCORED = f"""{REC}, scored AS (SELECT *, {_mean((0.5, "s_name", "has_name"), (0.2, "s_dob", "has_dob"), (0.3, "s_email", "has_email"))} AS score FROM (
   SELECT a.tenant_id AS tenant_id, a.block_key AS block_key, a.id AS id_a, b.id AS id_b, a.pid AS pid_a, b.pid AS pid_b,
-    {S_NAME} AS s_name, {S_DOB} AS s_dob, {S_EMAIL} AS s_email
-  FROM rec a JOIN rec b ON a.tenant_id = b.tenant_id AND a.block_key = b.block_key AND a.id < b.id)),
+    {S_NAME} AS s_name, {S_DOB} AS s_dob, {S_EMAIL} AS s_email, coalesce(a.nm, b.nm) IS NOT NULL AS has_name, coalesce(a.db, b.db) IS NOT NULL AS has_dob,
+    coalesce(a.em, b.em) IS NOT NULL AS has_email
+  FROM rec a JOIN rec b ON a.tenant_id = b.tenant_id AND a.block_key = b.block_key AND a.id < b.id AND {_MET})),
 decided AS (SELECT *, CASE WHEN score >= 0.9 THEN 'match' WHEN score >= 0.7 THEN 'review' ELSE 'non_match' END AS decision FROM scored),
 profile_pairs AS (SELECT tenant_id, least(pid_a, pid_b) AS id_a, greatest(pid_a, pid_b) AS id_b, any_value(s_name) AS s_name, any_value(s_dob) AS s_dob,
-  any_value(s_email) AS s_email, any_value(score) AS score, any_value(decision) AS decision, count(*) AS record_pairs FROM decided WHERE pid_a <> pid_b GROUP BY 1, 2, 3)"""
+  any_value(s_email) AS s_email, any_value(has_name) AS has_name, any_value(has_email) AS has_email, any_value(score) AS score, any_value(decision) AS decision,
+  count(*) AS record_pairs FROM decided WHERE pid_a <> pid_b GROUP BY 1, 2, 3)"""
 CLUSTERED = f"""{SCORED}, link AS (SELECT id_a AS x, id_b AS y FROM decided WHERE decision = 'match' UNION SELECT id_b, id_a FROM decided WHERE decision = 'match'),
 reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
 clustered AS (SELECT rec.*, least(id, coalesce(low, id)) AS cluster_id FROM rec LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY x) ON x = id)"""
@@ -57,9 +70,16 @@ def _win(c: str) -> str:
     return f"first({c} ORDER BY joined_at DESC, length({t}) DESC, id) FILTER (WHERE {c} IS NOT NULL AND {t} <> '') AS {c}"
 
 
-# numbers never differ in what they are worth here: their text length is compared as Spark writes them
+def _latest(c: str) -> str:
+    """A number: where the latest records of a cluster differ in it, the length of its text decides, so the twin writes
+    doubles the way Spark does."""
+    text = f"CASE WHEN {c} = trunc({c}) THEN {c}::BIGINT::VARCHAR || '.0' ELSE {c}::VARCHAR END"
+    return f"first({c} ORDER BY joined_at DESC, length({text}) DESC, id) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+
+
 GOLDEN = f"""{CLUSTERED}, golden AS (SELECT tenant_id, cluster_id, {GID} AS golden_id, count(*) AS cluster_size,
-  list_sort(list(id)) AS source_record_ids, {', '.join(_win(c) for c in ('name', 'email', 'country', 'dob', 'entity_type', 'joined_at', 'source_id', 'salary_currency', 'age'))}
+  {', '.join(_win(c) for c in ('name', 'email', 'country', 'dob', 'entity_type', 'joined_at', 'source_id', 'salary_currency', 'age'))},
+  {_latest('score')}, {_latest('salary_amount')}
   FROM clustered GROUP BY tenant_id, cluster_id)"""
 
 
@@ -110,7 +130,7 @@ _PAIR_TEXT = f"""WITH {SCORED}, p AS (SELECT q.id_a, q.id_b, a.nm AS name_a, b.n
 FROM profile_pairs q JOIN rec a ON a.id = q.id_a JOIN rec b ON b.id = q.id_b)"""
 
 
-@register("E1_levenshtein_distance", f"{_PAIR_TEXT} SELECT id_a, id_b, levenshtein(name_a, name_b) AS distance FROM p")
+@register("E1_levenshtein_distance", f"{_PAIR_TEXT} SELECT id_a, id_b, levenshtein(coalesce(name_a, ''), coalesce(name_b, '')) AS distance FROM p")
 def e1(spark, folder):
     return pairs(spark, folder).select("id_a", "id_b", levenshtein_distance(F.col("name_a"), F.col("name_b")).alias("distance"))
 
@@ -128,7 +148,7 @@ def e3(spark, folder):
 @register(
     "E4_weighted_scores",
     f"""WITH {SCORED} SELECT id_a, id_b, round(s_name, 4) AS score_name, round(s_email, 4) AS score_email,
-    round((0.1 * s_name + 0.9 * s_email) / (0.1 + 0.9), 4) AS confidence_score FROM profile_pairs""",
+    {_mean((0.1, "s_name", "has_name"), (0.9, "s_email", "has_email"))} AS confidence_score FROM profile_pairs""",
 )
 def e4(spark, folder):
     return compare.score_pairs(pairs(spark, folder), {"name": 0.1, "email": 0.9}).select("id_a", "id_b", "score_name", "score_email", "confidence_score")
@@ -154,7 +174,11 @@ def e7(spark, folder):
     return part(match, "match").unionByName(part(rev, "review")).unionByName(part(non, "non_match"))
 
 
-@register("A9_decision_counts", f"WITH {SCORED} SELECT decision, count(*) AS pairs FROM decided GROUP BY 1")
+@register(
+    "A9_decision_counts",
+    f"""WITH {SCORED}, found AS (SELECT decision, count(*) AS pairs FROM decided WHERE decision <> 'non_match' GROUP BY 1)
+    SELECT * FROM found UNION ALL SELECT 'non_match', (SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT count(*) AS n FROM rec GROUP BY tenant_id, block_key)) - (SELECT sum(pairs)::BIGINT FROM found)""",
+)
 def a9(spark, folder):
     records, profs = keyed(spark, folder), profiles(spark, folder)
     return decision_counts(records, profs, linked_pairs(profs, SPEC), SPEC)
@@ -176,50 +200,55 @@ def linked(spark, folder):
     return linked_pairs(profiles(spark, folder), SPEC).select("tenant_id", "id_a", "id_b", "confidence_score", "decision", "record_pairs")
 
 
-@register("E7_copies", f"WITH {SCORED} SELECT pid_a AS profile_id, any_value(score) AS confidence_score, any_value(decision) AS decision, count(*) AS record_pairs FROM decided WHERE pid_a = pid_b GROUP BY 1")
+@register(
+    "E7_copies",
+    f"""WITH {REC} SELECT pid AS profile_id, CASE WHEN any_value(coalesce(nm, db, em)) IS NULL THEN 0.0 ELSE 1.0 END AS confidence_score,
+    CASE WHEN any_value(coalesce(nm, db, em)) IS NULL THEN 'non_match' ELSE 'match' END AS decision, count(*) * (count(*) - 1) // 2 AS record_pairs FROM rec GROUP BY 1 HAVING count(*) > 1""",
+)
 def inside(spark, folder):
     return copies(profiles(spark, folder), SPEC).select("profile_id", "confidence_score", "decision", "record_pairs")
 
 
-# one large block per tenant and country, so the similarity joins do the work
-COARSE = MatchSpec(weights={"name": 0.5, "email": 0.5}, review=0.93, match=0.97, direct_block=8)
+# one large block per tenant and country, blanks and all
+COARSE = MatchSpec(weights={"name": 0.5, "email": 0.5})
 
 
 def _coarse(spark, folder):
-    from kinfold.functions.text import is_blank
-
-    people = cleaned(spark, folder).filter(~is_blank(F.col("name")) & ~is_blank(F.col("email")) & ~is_blank(F.col("country")))
-    return blocking.stored_profiles(people.withColumn("block_key", F.col("country")), ["name", "email"])
+    return blocking.stored_profiles(cleaned(spark, folder).withColumn("block_key", F.col("country")), ["name", "email"])
 
 
 @register(
     "E7_linked_pairs_large_blocks",
-    f"""WITH r AS (SELECT tenant_id, country, lower(trim(name)) AS nm, lower(trim(email)) AS em, min(id) AS id, count(*) AS n FROM ({CLEANED})
-    WHERE name <> '' AND email <> '' AND country <> '' GROUP BY 1, 2, 3, 4)
-    SELECT * FROM (SELECT a.tenant_id, a.id AS id_a, b.id AS id_b, a.n * b.n AS record_pairs,
-    round((0.5 * {S_NAME} + 0.5 * {S_EMAIL}) / (0.5 + 0.5), 4) AS confidence_score
-    FROM r a JOIN r b ON a.tenant_id = b.tenant_id AND a.country = b.country AND a.id < b.id) WHERE confidence_score >= 0.93""",
+    f"""WITH r AS (SELECT *, {_KEYS.replace("substr(db, 1, 9)", "NULL")} FROM (SELECT tenant_id, country, nm, em, NULL AS db, min(id) AS id, count(*) AS n
+      FROM (SELECT *, {_PLAIN} FROM ({CLEANED})) GROUP BY 1, 2, 3, 4))
+    SELECT tenant_id, id_a, id_b, record_pairs, {_mean((0.5, "s_name", "has_name"), (0.5, "s_email", "has_email"))} AS confidence_score FROM (
+    SELECT a.tenant_id, a.id AS id_a, b.id AS id_b, a.n * b.n AS record_pairs, {S_NAME} AS s_name, {S_EMAIL} AS s_email,
+      coalesce(a.nm, b.nm) IS NOT NULL AS has_name, coalesce(a.em, b.em) IS NOT NULL AS has_email
+    FROM r a JOIN r b ON a.tenant_id = b.tenant_id AND a.country = b.country AND a.id < b.id AND (a.k2 = b.k2 OR a.k3 = b.k3)) WHERE confidence_score >= 0.7""",
 )
 def linked_large(spark, folder):
     return linked_pairs(_coarse(spark, folder), COARSE).select("tenant_id", "id_a", "id_b", "record_pairs", "confidence_score")
 
 
-@register("R6_drop_decided", f"WITH {SCORED} SELECT tenant_id, id_a, id_b FROM profile_pairs WHERE score >= 0.7 AND s_dob <> 1.0")
+@register("R6_drop_decided", f"""WITH {SCORED}, both_tenants AS (SELECT tenant_id, id_a, id_b, s_dob FROM profile_pairs WHERE score >= 0.7
+    UNION ALL SELECT 'other', id_a, id_b, s_dob FROM profile_pairs WHERE score >= 0.7)
+    SELECT tenant_id, id_a, id_b FROM both_tenants WHERE s_dob <> 1.0 OR tenant_id = 'other'""")
 def r6(spark, folder):
     found = linked_pairs(profiles(spark, folder), SPEC)
-    decided = found.filter("score_dob = 1.0").select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))
-    return drop_decided(found, decided).select("tenant_id", "id_a", "id_b")
+    decided = found.filter("score_dob = 1.0").select("tenant_id", F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))
+    both = found.unionByName(found.withColumn("tenant_id", F.lit("other")))
+    return drop_decided(both, decided).select("tenant_id", "id_a", "id_b")
 
 
 @register(
     "V1_sql_functions",
-    f"""WITH {SCORED} SELECT q.id_a, q.id_b, round(s_name, 6) AS jw, round(s_dob, 6) AS lev, split_part(a.block_key, '_', 1) AS code
-    FROM profile_pairs q JOIN rec a ON a.id = q.id_a WHERE a.nm <> ''""",
+    f"""WITH {SCORED} SELECT q.id_a, q.id_b, round(s_name, 6) AS jw, round(s_dob, 6) AS lev, CASE WHEN a.nm IS NULL THEN '' ELSE split_part(a.block_key, '_', 1) END AS code
+    FROM profile_pairs q JOIN rec a ON a.id = q.id_a""",
 )
 def v1(spark, folder):
     register_sql_functions(spark)
-    return pairs(spark, folder).filter("name_a <> ''").selectExpr(
-        "id_a", "id_b", "round(jaro_winkler(name_a, name_b), 6) AS jw", "round(levenshtein_similarity(dob_a, dob_b), 6) AS lev", "metaphone(name_a) AS code"
+    return pairs(spark, folder).selectExpr(
+        "id_a", "id_b", "round(jaro_winkler(name_a, name_b), 6) AS jw", "round(levenshtein_similarity(dob_a, dob_b), 6) AS lev", "coalesce(metaphone(name_a), '') AS code"
     )
 
 
@@ -257,7 +286,7 @@ def g2(spark, folder):
     return clustered(spark, folder).select("tenant_id", "id", "cluster_id")
 
 
-_GOLDEN_OUT = "golden_id, cluster_id, cluster_size, name, email, country, dob, entity_type, joined_at, source_id, salary_currency, age"
+_GOLDEN_OUT = "golden_id, cluster_id, cluster_size, name, email, country, dob, entity_type, joined_at, source_id, salary_currency, age, score, salary_amount"
 
 
 @register("G3_golden_records", f"WITH RECURSIVE {GOLDEN} SELECT {_GOLDEN_OUT} FROM golden")
@@ -265,10 +294,9 @@ def g3(spark, folder):
     return golden.golden_records(clustered(spark, folder)).select(*_GOLDEN_OUT.split(", "))
 
 
-@register("G4_golden_heads", f"WITH RECURSIVE {GOLDEN} SELECT golden_id, tenant_id, cluster_size, array_to_string(source_record_ids, ',') AS source_record_ids FROM golden")
+@register("G4_golden_heads", f"WITH RECURSIVE {GOLDEN} SELECT golden_id, tenant_id, cluster_size FROM golden")
 def g4(spark, folder):
-    made = golden.golden_records(clustered(spark, folder))
-    return made.select("golden_id", "tenant_id", "cluster_size", F.array_join("source_record_ids", ",").alias("source_record_ids"))
+    return golden.golden_records(clustered(spark, folder)).select("golden_id", "tenant_id", "cluster_size")
 
 
 @register("G4_golden_members", f"WITH RECURSIVE {CLUSTERED} SELECT {GID} AS golden_id, tenant_id, id AS source_record_id FROM clustered")
@@ -297,26 +325,26 @@ def g5(spark, folder):
 
 @register(
     "K3_review_candidates",
-    f"""WITH {SCORED} SELECT sha256('acme:' || id_a || ':' || id_b) AS id, 'acme' AS tenant_id, id_a AS record_id_a, id_b AS record_id_b, score AS confidence_score,
+    f"""WITH {SCORED} SELECT sha256(tenant_id || ':' || id_a || ':' || id_b) AS id, tenant_id, id_a AS record_id_a, id_b AS record_id_b, score AS confidence_score,
     'PENDING' AS status, decision AS payload_decision FROM profile_pairs WHERE decision = 'review'""",
 )
 def k3(spark, folder):
     path = scratch_path(spark, "er_candidates")
     found = linked_pairs(profiles(spark, folder), SPEC).filter("decision = 'review'")
-    tables.write_counted(tables.review_candidates(found, F.lit("acme"), F.lit(AT).cast("timestamp")), path)
+    tables.write_counted(tables.review_candidates(found, F.col("tenant_id"), F.lit(AT).cast("timestamp")), path)
     stored = spark.read.parquet(path)
     return stored.select("id", "tenant_id", "record_id_a", "record_id_b", "confidence_score", "status", F.get_json_object("payload", "$.decision").alias("payload_decision"))
 
 
 @register(
     "K4_golden_rows",
-    f"WITH RECURSIVE {GOLDEN} SELECT golden_id, tenant_id, cluster_size, '[\"' || array_to_string(source_record_ids, '\",\"') || '\"]' AS source_record_ids, name, email, CAST(age AS VARCHAR) AS age FROM golden",
+    f"WITH RECURSIVE {GOLDEN} SELECT golden_id, tenant_id, cluster_size, name, email, CAST(age AS VARCHAR) AS age FROM golden",
 )
 def k4(spark, folder):
     path = scratch_path(spark, "golden_records")
     tables.write_counted(tables.golden_rows(golden.golden_records(clustered(spark, folder)), F.lit(AT).cast("timestamp")), path, ["tenant_id"])
     field = lambda c: F.get_json_object("attributes", f"$.{c}").alias(c)
-    return spark.read.parquet(path).select("golden_id", "tenant_id", "cluster_size", "source_record_ids", field("name"), field("email"), field("age"))
+    return spark.read.parquet(path).select("golden_id", "tenant_id", "cluster_size", field("name"), field("email"), field("age"))
 
 
 @register(
