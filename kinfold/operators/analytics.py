@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .paging import numbered
 
 _FUNCTIONS = {
     "count": F.count, "sum": F.sum, "avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max,
@@ -74,35 +75,26 @@ def timeseries(df: DataFrame, time_field: str, interval: str, metric: str = "cou
     )
 
 
-_BUCKETS = 128
-
-
 def exact_percentiles(df: DataFrame, column: str, percentiles: Sequence[float], group_by: Sequence[str] = ()) -> DataFrame:
     """``(*group_by, percentile, value)``: exact percentiles with linear interpolation, without holding a group in one task.
 
-    Equal values are counted first. Sketches of fixed size cut each group into buckets of about as many distinct values;
-    the bucket counts say in which buckets the wanted ranks lie, and only those are put in order.
+    Equal values are counted first. The distinct values are ranged over tasks, and running counts within and before each
+    range say which value stands at a wanted rank.
     """
     group = list(group_by) or ["_all"]
     rows = df if group_by else df.withColumn("_all", F.lit(0))
-    values = materialize(
-        rows.filter(F.col(column).isNotNull()).groupBy(*group, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    )
-    cuts = values.groupBy(*group).agg(F.percentile_approx("_v", [i / _BUCKETS for i in range(1, _BUCKETS)], 10000).alias("_cuts"))
-    placed = values.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    # at most one row per bucket and group from here on
-    up_to = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = placed.groupBy(*group, "_b").agg(F.sum("_c").alias("_n")).withColumn("_end", F.sum("_n").over(up_to))
-    totals = buckets.groupBy(*group).agg(F.max("_end").alias("_total"))
+    values = rows.filter(F.col(column).isNotNull()).groupBy(*group, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    running = materialize(numbered(values, group, ["_v"], "_c"))
+    totals = running.groupBy(*group).agg(F.max("_number").alias("_total"))
     asked = totals.withColumn("percentile", F.explode(F.array(*[F.lit(float(q)) for q in percentiles]))).withColumn(
         "_at", F.col("percentile") * (F.col("_total") - 1)
     )
     ranks = asked.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-    held = ranks.join(buckets, group).filter((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_n")))
-    wanted = held.select(*group, "_b", (F.col("_end") - F.col("_n")).alias("_before")).distinct()
-    inside = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = placed.join(wanted, [*group, "_b"]).withColumn("_last", F.col("_before") + F.sum("_c").over(inside))
-    hit = held.drop("_n", "_end").join(ordered, [*group, "_b"]).filter((F.col("_rank") < F.col("_last")) & (F.col("_rank") >= F.col("_last") - F.col("_c")))
+    ranks = ranks.withColumnsRenamed({c: f"_g_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    reached = (F.col("_rank") < F.col("_number")) & (F.col("_rank") >= F.col("_number") - F.col("_c"))
+    # the asked ranks are a few per group
+    hit = running.join(ranks, same).filter(reached).select(*group, "percentile", "_at", "_v")
     low, high = F.min("_v"), F.max("_v")
     share = F.first("_at") - F.floor(F.first("_at"))
     found = hit.groupBy(*group, "percentile").agg((low + (high - low) * share).alias("value"))

@@ -46,25 +46,41 @@ def neighbourhood(relationships: DataFrame, entity_id: str, depth: int = 1, rela
     return seen, inside
 
 
-def shortest_path(relationships: DataFrame, source: str, target: str, max_depth: int = 6, tenant_id: str | None = None, relationship_type: str | None = None) -> DataFrame:
-    """``(position, id)`` of a shortest path between two entities, the smallest ids among equals; empty when there is none.
+def shortest_path(relationships: DataFrame, source: str, target: str, tenant_id: str | None = None, relationship_type: str | None = None, max_depth: int | None = None) -> DataFrame:
+    """``(position, id, relationship_type, source_entity_id, target_entity_id)``: the nodes of a shortest path between two
+    entities and the edge that led to each, the smallest ids among equals; empty when there is none.
 
-    Breadth-first search that keeps one path per reached node, so its state is a row per node and not a row per path;
-    each step is written to the shared folder, and the search stops at the step that reaches the target or nothing new.
+    Breadth-first search that keeps one row per reached node, its predecessor and the edge between them; each step is
+    written to the shared folder. It ends when the target or nothing new is reached, or after ``max_depth`` steps where
+    one is given. The path is then read backwards, a row at a time.
     """
-    steps = _steps(relationships, tenant_id, relationship_type)
-    start = steps.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("distance"), F.array(F.lit(source)).alias("path"))
-    seen = start
-    for d in range(1, max_depth + 1):
-        if not seen.filter(F.col("id") == target).isEmpty():
-            break
-        frontier = seen.filter(F.col("distance") == d - 1).select(F.col("id").alias("at"), "path")
-        reached = steps.join(frontier, "at").groupBy(F.col("to").alias("id")).agg(F.min_by("path", "at").alias("path"))
-        new = reached.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), F.concat("path", F.array("id")).alias("path"))
+    edge = F.struct("relationship_type", "source_entity_id", "target_entity_id")
+    if tenant_id is not None:
+        relationships = relationships.filter(F.col("tenant_id") == tenant_id)
+    if relationship_type is not None:
+        relationships = relationships.filter(F.col("relationship_type") == relationship_type)
+    forth = relationships.select(F.col("source_entity_id").alias("at"), F.col("target_entity_id").alias("to"), edge.alias("edge"))
+    steps = forth.unionByName(forth.select(F.col("to").alias("at"), F.col("at").alias("to"), "edge"))
+    kind = dict(steps.dtypes)["edge"]
+    spark = steps.sparkSession
+    seen = spark.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("distance"), F.lit(None).cast(f"struct<at: string, edge: {kind}>").alias("via"))
+    d = 0
+    while seen.filter((F.col("id") == target) & (F.col("distance") == d)).isEmpty() and (max_depth is None or d < max_depth):
+        frontier = seen.filter(F.col("distance") == d).select(F.col("id").alias("at"))
+        d += 1
+        reached = steps.join(frontier, "at").groupBy(F.col("to").alias("id")).agg(F.min(F.struct("at", "edge")).alias("via"))
+        new = reached.join(seen, "id", "left_anti").select("id", F.lit(d).alias("distance"), "via")
         seen = materialize(seen.unionByName(new))
         if seen.filter(F.col("distance") == d).isEmpty():
             break
-    return seen.filter(F.col("id") == target).select(F.posexplode("path").alias("position", "id")).orderBy("position")
+    path, node = [], target
+    while node is not None:
+        row = seen.filter(F.col("id") == node).first()
+        if row is None:
+            break
+        path.append((row["distance"], row["id"], *(row["via"]["edge"] if row["via"] else (None, None, None))))
+        node = row["via"]["at"] if row["via"] else None
+    return spark.createDataFrame(path[::-1], "position int, id string, relationship_type string, source_entity_id string, target_entity_id string").coalesce(1)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -82,18 +98,18 @@ def same_tenant_edges(relationships: DataFrame, entities: DataFrame) -> DataFram
     return relationships
 
 
-def degree_centrality(relationships: DataFrame) -> DataFrame:
-    """Edges per entity, and their share of the other entities."""
-    ends = relationships.select(F.col("source_entity_id").alias("id"), F.lit(0).alias("into")).unionByName(
-        relationships.select(F.col("target_entity_id").alias("id"), F.lit(1).alias("into"))
+def degree_centrality(relationships: DataFrame, scope: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """Edges per entity of a tenant, and their share of the tenant's other entities."""
+    ends = relationships.select(*scope, F.col("source_entity_id").alias("id"), F.lit(0).alias("into")).unionByName(
+        relationships.select(*scope, F.col("target_entity_id").alias("id"), F.lit(1).alias("into"))
     )
-    degree = ends.groupBy("id").agg(F.count("*").alias("degree"), F.sum("into").cast("bigint").alias("in_degree"))
-    others = degree.agg(F.count("*") - 1).scalar()
-    return degree.withColumns({"out_degree": F.col("degree") - F.col("in_degree"), "_others": others}).withColumn(
-        "centrality", F.when(F.col("_others") > 0, F.col("degree") / F.nullif(F.col("_others"), F.lit(0))).otherwise(F.lit(0.0))
-    ).drop("_others")
+    degree = ends.groupBy(*scope, "id").agg(F.count("*").alias("degree"), F.sum("into").cast("bigint").alias("in_degree"))
+    others = degree.groupBy(*[F.col(c).alias(f"_s_{c}") for c in scope]).agg((F.count("*") - 1).alias("_others"))
+    same = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in scope] or [F.lit(True)]
+    share = F.when(F.col("_others") > 0, F.col("degree") / F.nullif(F.col("_others"), F.lit(0))).otherwise(F.lit(0.0))
+    return degree.withColumn("out_degree", F.col("degree") - F.col("in_degree")).join(others, same).withColumn("centrality", share).drop("_others", *[f"_s_{c}" for c in scope])
 
 
-def communities(relationships: DataFrame) -> DataFrame:
-    """``(id, cluster_id)``: the connected groups of entities."""
-    return connected_components(relationships, "source_entity_id", "target_entity_id")
+def communities(relationships: DataFrame, scope: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """``(*scope, id, cluster_id)``: the connected groups of entities of each tenant."""
+    return connected_components(relationships, "source_entity_id", "target_entity_id", scope)

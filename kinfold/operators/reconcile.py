@@ -9,28 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _hashed(df: DataFrame, name: str, id_col: str, columns: Sequence[str]) -> DataFrame:
-    return df.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(*columns).alias(f"hash_{name}"))
+def _hashed(df: DataFrame, name: str, id_col: str, columns: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    return df.select(*scope, F.col(id_col).cast("string").alias("id"), F.xxhash64(*columns).alias(f"hash_{name}"))
 
 
-def compare_stores(stores: Mapping[str, DataFrame], columns: Sequence[str], id_col: str = "id") -> DataFrame:
-    """One row per id that is missing somewhere or whose content differs: ``missing_in`` (names) and ``differs``."""
-    sides = [_hashed(df, name, id_col, columns) for name, df in stores.items()]
-    joined = reduce(lambda a, b: a.join(b, "id", "full"), sides)
+def compare_stores(stores: Mapping[str, DataFrame], columns: Sequence[str], id_col: str = "id", scope: Sequence[str] = ("tenant_id",)) -> DataFrame:
+    """One row per tenant and id that is missing somewhere or whose content differs: ``missing_in`` (names) and ``differs``."""
+    sides = [_hashed(df, name, id_col, columns, scope) for name, df in stores.items()]
+    joined = reduce(lambda a, b: a.join(b, [*scope, "id"], "full"), sides)
     hashes = [F.col(f"hash_{name}") for name in stores]
     missing = F.array_compact(F.array(*[F.when(F.col(f"hash_{n}").isNull(), F.lit(n)) for n in stores]))
     lowest, highest = F.least(*hashes), F.greatest(*hashes)
-    return joined.select("id", missing.alias("missing_in"), (lowest != highest).alias("differs")).filter(
+    return joined.select(*scope, "id", missing.alias("missing_in"), (lowest != highest).alias("differs")).filter(
         (F.size("missing_in") > 0) | F.col("differs")
     )
 
 
-def reconciliation_report(stores: Mapping[str, DataFrame], columns: Sequence[str], id_col: str = "id") -> DataFrame:
+def reconciliation_report(stores: Mapping[str, DataFrame], columns: Sequence[str], id_col: str = "id", scope: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """One row: status, rows and checksum per store, ids missing somewhere and ids that differ.
 
     The ids themselves are the rows of ``compare_stores``; the report holds their numbers, whatever their size.
     """
-    drift = compare_stores(stores, columns, id_col).agg(
+    drift = compare_stores(stores, columns, id_col, scope).agg(
         F.count_if(F.size("missing_in") > 0).alias("missing_ids"), F.count_if("differs").alias("different_ids")
     )
     for name, df in stores.items():

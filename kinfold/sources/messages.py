@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.paging import numbered
+
 # Rows per message, and the envelope in the producer's and the consumer's spelling.
 CHUNK_SIZE = 1000
 ENVELOPE = (
@@ -25,31 +27,21 @@ def read_topic(spark: SparkSession, servers: str, topic: str = "ingest.raw") ->
     )
 
 
-def _chunks(df: DataFrame, group: Sequence[str], order_by: str, size: int) -> DataFrame:
-    """Number the rows of a group into chunks of at most ``size``, ordered by ``order_by`` inside a bucket.
-
-    A group is first divided into hash buckets of about 64 chunks, so that no task ever orders a whole large source; a
-    group that fits one bucket is chunked in plain order.
-    """
-    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(64 * size)).cast("int").alias("_buckets"))
-    bucket = F.pmod(F.xxhash64(order_by), F.col("_buckets")).cast("int")
-    rank = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(order_by))
-    return (
-        df.join(sizes, list(group), "left").withColumn("_bucket", bucket).withColumn("_rank", rank)
-        .withColumn("_chunk", F.expr(f"(_rank - 1) div {size}")).drop("_buckets")
-    )
-
-
 def pack_rows(df: DataFrame, columns: Sequence[str], ingested_at: Column, tenant: str = "tenant_id", connection: str = "connection_id",
               source: str = "source", order_by: str = "id", size: int = CHUNK_SIZE) -> DataFrame:
-    """``(key, value)`` messages of up to ``size`` rows: key is the tenant, value the JSON envelope."""
+    """``(key, value)`` messages of up to ``size`` rows: key is the tenant, value the JSON envelope.
+
+    A source is cut in the order of ``order_by``, every ``size`` rows, whatever its length; rows are numbered by ranges,
+    so no task orders a whole source.
+    """
     group = [tenant, connection, source]
     row = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
-    packed = _chunks(df, group, order_by, size).groupBy(*group, "_bucket", "_chunk").agg(
+    chunked = numbered(df, group, [order_by]).withColumn("_chunk", F.expr(f"(_number - 1) div {size}"))
+    packed = chunked.groupBy(*group, "_chunk").agg(
         F.count("*").alias("totalRows"),
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col("_rank").alias("at"), row.alias("row")))), lambda x: x["row"]).alias("rows"),
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col("_number").alias("at"), row.alias("row")))), lambda x: x["row"]).alias("rows"),
     )
-    event = F.sha2(F.concat_ws(":", *group, F.col("_bucket").cast("string"), F.col("_chunk").cast("string")), 256)
+    event = F.sha2(F.concat_ws(":", *group, F.col("_chunk").cast("string")), 256)
     envelope = F.struct(
         event.alias("eventId"), F.col(tenant).alias("tenantId"), F.col(connection).alias("connectionId"), F.col(source).alias("source"),
         F.date_format(ingested_at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ingestedAt"), "totalRows", "rows",

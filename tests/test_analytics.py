@@ -73,9 +73,9 @@ def test_search_marks_the_term(spark):
 
 def test_reconciliation(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
-    assert reconcile.reconciliation_report({"pg": a, "graph": a}, ["v"]).first()["status"] == "HEALTHY"
+    assert reconcile.reconciliation_report({"pg": a, "graph": a}, ["v"], scope=[]).first()["status"] == "HEALTHY"
     b = spark.createDataFrame([(1, "x"), (2, "z")], "id int, v string")
-    row = reconcile.reconciliation_report({"pg": a, "graph": a.filter("id = 1"), "search": b}, ["v"]).first()
+    row = reconcile.reconciliation_report({"pg": a, "graph": a.filter("id = 1"), "search": b}, ["v"], scope=[]).first()
     assert (row["status"], row["missing_ids"], row["different_ids"], row["graph_count"]) == ("DRIFT_DETECTED", 1, 1, 1)
 
 
@@ -98,3 +98,47 @@ def test_exact_percentiles_need_no_group_in_one_task(spark):
     whole = analytics.statistics(df, "v").first()
     everything = [v for values in groups.values() for v in values]
     assert whole["n"] == len(everything) and whole["median"] == pytest.approx(float(np.median(everything)))
+
+
+def test_reconciliation_keeps_tenants_apart(spark):
+    a = spark.createDataFrame([("t1", 1, "x"), ("t2", 1, "y")], "tenant_id string, id int, v string")
+    b = spark.createDataFrame([("t2", 1, "y"), ("t1", 1, "z")], "tenant_id string, id int, v string")
+    assert [tuple(r) for r in reconcile.compare_stores({"pg": a, "graph": b}, ["v"]).collect()] == [("t1", "1", [], True)]
+
+
+def test_graph_keeps_tenants_apart(spark):
+    edges = spark.createDataFrame([("t1", "R", "a", "b"), ("t2", "R", "b", "c")], "tenant_id string, relationship_type string, source_entity_id string, target_entity_id string")
+    assert {(r["tenant_id"], r["id"]): r["cluster_id"] for r in graph.communities(edges).collect()} == {("t1", "a"): "a", ("t1", "b"): "a", ("t2", "b"): "b", ("t2", "c"): "b"}
+    assert {(r["tenant_id"], r["id"]): (r["degree"], r["centrality"]) for r in graph.degree_centrality(edges).collect()}[("t1", "b")] == (1, 1.0)
+
+
+def test_long_paths_are_found_with_their_edges(spark):
+    edges = spark.createDataFrame([("t", "R", f"n{i}", f"n{i + 1}") for i in range(9)], "tenant_id string, relationship_type string, source_entity_id string, target_entity_id string")
+    path = graph.shortest_path(edges, "n9", "n0").collect()
+    assert [r["id"] for r in path] == [f"n{i}" for i in range(9, -1, -1)]
+    assert [(r["source_entity_id"], r["target_entity_id"]) for r in path[1:]] == [(f"n{i}", f"n{i + 1}") for i in range(8, -1, -1)]
+    assert graph.shortest_path(edges, "n0", "n9", max_depth=3).count() == 0
+
+
+def test_page_after_walks_the_whole_table(spark):
+    rows = [(i, [None, 1, 2, 3][i % 4]) for i in range(23)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    got, last = [], None
+    while True:
+        some = (paging.page(df, 0, 5, [F.col("v").desc_nulls_last(), "id"]) if last is None else paging.page_after(df, last, [("v", False), ("id", True)], 5)).collect()
+        if not some:
+            break
+        got += [(r["id"], r["v"]) for r in some]
+        last = {"id": some[-1]["id"], "v": some[-1]["v"]}
+    assert got == want
+
+
+def test_numbers_do_not_depend_on_the_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), F.when(F.col("id") % 3 == 0, "a").alias("g"))
+    got = {(r["g"], r["id"]): r["_number"] for r in paging.numbered(df, ["g"], ["id"]).collect()}
+    want = {}
+    for g in ("a", None):
+        ids = sorted(r["id"] for r in df.filter(F.col("g").eqNullSafe(g)).collect())
+        want |= {(g, i): n + 1 for n, i in enumerate(ids)}
+    assert got == want

@@ -76,12 +76,19 @@ def test_chunks_hold_at_most_their_size(spark):
     at = F.lit("2026-01-01 00:00:00").cast("timestamp")
     sizes = lambda size: sorted(json.loads(r["value"])["totalRows"] for r in messages.pack_rows(df, ["id"], at, size=size).collect())
     assert sizes(1000) == [500, 1000, 1000]
-    small = sizes(10)  # 2500 rows are more than one bucket of 64 chunks
-    assert sum(small) == 2500 and max(small) == 10
+    assert sizes(10) == [10] * 250
     first = json.loads(messages.pack_rows(df, ["id"], at).filter("value LIKE '%00000%'").first()["value"])
     assert first["rows"][0] == {"id": "00000"} and first["ingestedAt"] == "2026-01-01T00:00:00Z"
 
 
+@pytest.mark.parametrize("rows", [64_000, 64_001])
+def test_chunks_follow_the_order_at_any_size(spark, rows):
+    df = spark.range(rows).select(F.lit("t").alias("tenant_id"), F.lit("c").alias("connection_id"), F.lit("s").alias("source"), "id").repartition(13)
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    firsts = messages.pack_rows(df, ["id"], at, size=1000).select(F.get_json_object("value", "$.rows[0].id").cast("int").alias("i")).collect()
+    assert sorted(r["i"] for r in firsts) == list(range(0, rows, 1000))
+
+
 def test_staged_batches_are_replaced_not_repeated(spark, tmp_path):
     root = str(tmp_path / "staged")
     df = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, name string")

@@ -166,6 +166,15 @@ def m4(spark, folder):
     return paging.page(runs(spark, folder), 3, 10, [F.col("started_at").desc_nulls_last(), "id"]).select("id", "status")
 
 
+@register("M4_page_after", f"SELECT id, status FROM (SELECT * FROM ({RUNS}) ORDER BY started_at DESC NULLS LAST, id LIMIT 10 OFFSET 40)")
+def m4a(spark, folder):
+    """The page after the one that ends with the fortieth row."""
+    order = [("started_at", False), ("id", True)]
+    rows = runs(spark, folder)
+    last = paging.page(rows, 39, 1, [F.col("started_at").desc_nulls_last(), "id"]).select("started_at", "id").first()
+    return paging.page_after(rows, last.asDict(), order, 10).select("id", "status")
+
+
 @register("M4_page_count", f"SELECT greatest(1, ceil(count(*) / 10.0))::BIGINT AS pages FROM ({RUNS})")
 def m4c(spark, folder):
     return paging.page_count(runs(spark, folder), 10)
@@ -243,12 +252,17 @@ def d1e(spark, folder):
 
 @register(
     "D2_shortest_path",
-    f"""WITH RECURSIVE {_BOTH}, walk(id, d) AS (SELECT 'c7', 0 UNION SELECT y, d + 1 FROM walk JOIN both_ways ON x = id WHERE d < 6)
-    SELECT min(d) + 1 AS nodes, min(d) AS last_position FROM walk WHERE id = 'c19'""",
+    f"""WITH RECURSIVE {_BOTH}, walk(id, d) AS (SELECT 'c7', 0 UNION SELECT y, d + 1 FROM walk JOIN both_ways ON x = id WHERE d < 8),
+    dist AS (SELECT id, min(d) AS d FROM walk GROUP BY 1),
+    back(id, d) AS (SELECT id, d FROM dist WHERE id = 'c19' UNION
+      SELECT * FROM (SELECT min(p.id) AS id, b.d - 1 AS d FROM back b JOIN both_ways e ON e.y = b.id JOIN dist p ON p.id = e.x AND p.d = b.d - 1 GROUP BY b.d)),
+    path AS (SELECT d AS position, id, lag(id) OVER (ORDER BY d) AS before FROM back)
+    SELECT position, id, CASE WHEN before IS NOT NULL THEN (SELECT min(relationship_type) FROM ({REL}) r
+      WHERE (r.source_entity_id = path.id AND r.target_entity_id = path.before) OR (r.target_entity_id = path.id AND r.source_entity_id = path.before)) END AS relationship_type
+    FROM path""",
 )
 def d2(spark, folder):
-    path = graph.shortest_path(relationships(spark, folder), "c7", "c19", 6, "acme")
-    return path.agg(F.count("*").alias("nodes"), F.max("position").alias("last_position"))
+    return graph.shortest_path(relationships(spark, folder), "c7", "c19", "acme").select("position", "id", "relationship_type")
 
 
 @register(
@@ -275,21 +289,23 @@ def d3e(spark, folder):
 
 @register(
     "D12_degree_centrality",
-    f"""WITH e AS (SELECT source_entity_id AS id, 0 AS i FROM ({REL}) UNION ALL SELECT target_entity_id, 1 FROM ({REL})), g AS (SELECT id, count(*) AS degree, sum(i)::BIGINT AS in_degree FROM e GROUP BY 1)
-    SELECT id, degree, in_degree, degree - in_degree AS out_degree, degree / ((SELECT count(*) FROM g) - 1) AS centrality FROM g""",
+    f"""WITH two AS (SELECT tenant_id, source_entity_id AS s, target_entity_id AS t FROM ({REL}) UNION ALL SELECT 'globex', source_entity_id, target_entity_id FROM ({REL}) WHERE relationship_type = 'PLACED'),
+    e AS (SELECT tenant_id, s AS id, 0 AS i FROM two UNION ALL SELECT tenant_id, t, 1 FROM two), g AS (SELECT tenant_id, id, count(*) AS degree, sum(i)::BIGINT AS in_degree FROM e GROUP BY 1, 2)
+    SELECT tenant_id, id, degree, in_degree, degree - in_degree AS out_degree, degree / (count(*) OVER (PARTITION BY tenant_id) - 1) AS centrality FROM g""",
 )
 def d12(spark, folder):
-    return graph.degree_centrality(relationships(spark, folder))
+    rows = relationships(spark, folder)
+    return graph.degree_centrality(rows.unionByName(rows.filter("relationship_type = 'PLACED'").withColumn("tenant_id", F.lit("globex"))))
 
 
 def _pairs(d) -> str:
-    return f"SELECT 'a' || cast(c_custkey as string) AS source_entity_id, 'a' || cast(c_custkey + 1 + c_custkey % 4 as string) AS target_entity_id FROM {d.table('customer')} WHERE c_custkey % 5 <> 0"
+    return f"SELECT CASE WHEN c_custkey % 2 = 0 THEN 'acme' ELSE 'globex' END AS tenant_id, 'a' || cast(c_custkey as string) AS source_entity_id, 'a' || cast(c_custkey + 1 + c_custkey % 4 as string) AS target_entity_id FROM {d.table('customer')} WHERE c_custkey % 5 <> 0"
 
 
 @register(
     "D12_communities",
-    f"""WITH RECURSIVE e AS (SELECT source_entity_id AS x, target_entity_id AS y FROM ({_pairs(DUCK)}) UNION SELECT target_entity_id, source_entity_id FROM ({_pairs(DUCK)})),
-    reach(x, y) AS (SELECT x, x FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y) SELECT x AS id, min(y) AS cluster_id FROM reach GROUP BY 1""",
+    f"""WITH RECURSIVE e AS (SELECT tenant_id AS t, source_entity_id AS x, target_entity_id AS y FROM ({_pairs(DUCK)}) UNION SELECT tenant_id, target_entity_id, source_entity_id FROM ({_pairs(DUCK)})),
+    reach(t, x, y) AS (SELECT t, x, x FROM e UNION SELECT r.t, r.x, e.y FROM reach r JOIN e ON e.t = r.t AND e.x = r.y) SELECT t AS tenant_id, x AS id, min(y) AS cluster_id FROM reach GROUP BY 1, 2""",
 )
 def d12c(spark, folder):
     return graph.communities(load(spark, folder, _pairs))
@@ -322,9 +338,12 @@ def d14(spark, folder):
 
 
 def _stores(spark, folder):
-    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
+    rows = table(spark, folder, "customer").select(F.lit("acme").alias("tenant_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_acctbal")
     drifted = F.when(F.col("id") % 31 == 0, F.lit("stale")).otherwise(F.col("name"))
-    return {"relational": rows, "graph": rows.filter("id % 13 <> 0"), "search": rows.filter("id % 17 <> 0").withColumn("name", drifted)}
+    # the ids of the second tenant are those of the first; nothing of it has drifted
+    other = rows.withColumns({"tenant_id": F.lit("globex"), "name": F.lit("other")})
+    sides = {"relational": rows, "graph": rows.filter("id % 13 <> 0"), "search": rows.filter("id % 17 <> 0").withColumn("name", drifted)}
+    return {name: df.unionByName(other) for name, df in sides.items()}
 
 
 _STORES = """WITH s AS (SELECT c_custkey AS id, c_custkey % 13 = 0 AS no_graph, c_custkey % 17 = 0 AS no_search, c_custkey % 17 <> 0 AND c_custkey % 31 = 0 AS stale FROM customer)"""
@@ -332,7 +351,7 @@ _STORES = """WITH s AS (SELECT c_custkey AS id, c_custkey % 13 = 0 AS no_graph,
 
 @register(
     "D6_compare_stores",
-    f"""{_STORES} SELECT cast(id AS string) AS id, concat_ws(',', CASE WHEN no_graph THEN 'graph' END, CASE WHEN no_search THEN 'search' END) AS missing_in, stale AS differs
+    f"""{_STORES} SELECT 'acme' AS tenant_id, cast(id AS string) AS id, concat_ws(',', CASE WHEN no_graph THEN 'graph' END, CASE WHEN no_search THEN 'search' END) AS missing_in, stale AS differs
     FROM s WHERE no_graph OR no_search OR stale""",
 )
 def d6(spark, folder):
@@ -342,7 +361,7 @@ def d6(spark, folder):
 
 @register(
     "D6_reconciliation_report",
-    f"""{_STORES} SELECT count(*) AS relational_count, count(*) FILTER (WHERE NOT no_graph) AS graph_count, count(*) FILTER (WHERE NOT no_search) AS search_count,
+    f"""{_STORES} SELECT 2 * count(*) AS relational_count, count(*) + count(*) FILTER (WHERE NOT no_graph) AS graph_count, count(*) + count(*) FILTER (WHERE NOT no_search) AS search_count,
     count(*) FILTER (WHERE no_graph OR no_search) AS missing_ids, count(*) FILTER (WHERE stale) AS different_ids, 'DRIFT_DETECTED' AS status FROM s""",
 )
 def d6r(spark, folder):
