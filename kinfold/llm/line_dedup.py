@@ -72,35 +72,32 @@ def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     width = 2 * tau + 1
 
     def walk(p: Column, t: Column) -> Column:
-        pc, tc = F.split(p, ""), F.split(t, "")
         m, n = F.length(p), F.length(t)
+        chars = F.struct(F.split(p, "").alias("p"), F.split(t, "").alias("t"))
+        reached = _let(chars, lambda c: last_row(c["p"], c["t"], n))
+        goal = F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), m - n + tau + 1)
+        result = lambda r: F.coalesce(*[F.when(goal.bitwiseAND(r[f"r{e}"]) != 0, F.lit(e)) for e in range(tau + 1)])
+        return F.when(F.abs(m - n) > tau, None).when(F.least(m, n) == 0, F.greatest(m, n)).otherwise(_let(reached, result))
 
+    def last_row(pc: Column, tc: Column, n: Column) -> Column:
         def step(r, j):
             here = F.get(tc, j)
             same = sum((F.when(F.get(pc, j + (k - tau)) == here, 1 << k).otherwise(0) for k in range(1, width)), F.when(F.get(pc, j - tau) == here, 1).otherwise(0))
 
             def rows(match):
-                def row(e, above):
+                done = []
+                for e in range(tau + 1):
                     value = r[f"r{e}"].bitwiseAND(match)
                     if e:
                         old = r[f"r{e - 1}"]
-                        value = value.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(above, 1))
-                    return value.bitwiseAND((1 << width) - 1)
-
-                def chain(e, done):
-                    if e > tau:
-                        return F.struct(*[x.alias(f"r{k}") for k, x in enumerate(done)])
-                    return _let(row(e, done[-1] if done else None), lambda x: chain(e + 1, [*done, x]))
-
-                return chain(0, [])
+                        value = value.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(done[-1], 1)).bitwiseAND((1 << width) - 1)
+                    done.append(value)
+                return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(done)])
 
-            return _let(same, rows)
+            return F.when(r[f"r{tau}"] == 0, r).otherwise(_let(same, rows))  # nothing comes back once no diagonal is left
 
         first = F.struct(*[F.lit(sum(1 << (tau + d) for d in range(e + 1))).alias(f"r{e}") for e in range(tau + 1)])
-        last = F.aggregate(F.sequence(F.lit(0), n - 1), first, step)
-        goal = F.element_at(F.array(*[F.lit(1 << k) for k in range(width)]), m - n + tau + 1)
-        result = lambda r: F.coalesce(*[F.when(goal.bitwiseAND(r[f"r{e}"]) != 0, F.lit(e)) for e in range(tau + 1)])
-        return F.when(F.abs(m - n) > tau, None).when(F.least(m, n) == 0, F.greatest(m, n)).otherwise(_let(last, result))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), first, step)
 
     def after_prefix(cut):
         x, y = F.substring(a, cut + 1, F.length(a)), F.substring(b, cut + 1, F.length(b))
@@ -128,22 +125,27 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     and null texts stay. Rows with equal id and text are one document: what stays of one stays of the other.
     """
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text")
-    lines = _occurrences(source, min_chars)
-    paths = {x: scratch_path(spark, x) for x in ("classes", "live", "posts", "texts", "links")}
+    lines = _occurrences(docs.select("doc_id", "text"), min_chars)
+    paths = {x: scratch_path(spark, x) for x in ("places", "postings", "posts", "texts", "links")}
+    places = materialize(lines.select("row", "doc_id", "i", "cid"), path=paths["places"])
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "i", "cid")
-    classes = materialize(lines.groupBy("cid").agg(F.min(place).alias("pos"), F.count("*").alias("times")), path=paths["classes"])
-
-    posted = lines.select("cid", "n", F.explode(_postings(F.col("line"), F.col("n"), tau)).alias("p")).select("cid", "n", "p.key", "p.probe")
+    classes = materialize(places.groupBy("cid").agg(F.min(place).alias("pos"), F.count("*").alias("times")))
+
+    # a text posts once, from its first place
+    copied = classes.filter("times > 1").select(F.col("cid").alias("c_cid"), F.col("pos.doc_id").alias("c_doc"), F.col("pos.i").alias("c_i"))
+    single = lines.join(narrow(copied), F.col("cid") == F.col("c_cid"), "left")
+    single = single.filter(F.col("c_cid").isNull() | (F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("i") == F.col("c_i"))))
+    posted = single.select("cid", F.explode(_postings(F.col("line"), F.col("n"), tau)).alias("p")).select("p.key", "cid", "p.probe")
+    posted = materialize(posted, path=paths["postings"])
     live = posted.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a <> b").select("key")
-    live = materialize(live, path=paths["live"])
-    posts = posted.join(narrow(live), "key", "left_semi").distinct()
+    posts = posted.join(narrow(materialize(live)), "key", "left_semi").distinct()
     posts = posts.join(classes.select("cid", "pos"), "cid")
     posts = materialize(posts, path=paths["posts"])
+    release(spark, paths.pop("postings"))
 
     counts = [(F.length("line") - F.length(F.replace(F.col("line"), F.lit(c)))).alias(f"c{k}") for k, c in enumerate(_LETTERS)]
     wanted = materialize(posts.select("cid").distinct())
-    texts = lines.join(narrow(wanted), "cid", "left_semi").select("cid", "line", *counts).dropDuplicates(["cid"])
+    texts = lines.join(narrow(wanted), "cid", "left_semi").select("cid", "line", "n", *counts).dropDuplicates(["cid"])
     texts = materialize(texts, path=paths["texts"])
     numbers = texts.drop("line")
 
@@ -173,7 +175,7 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     fates = classes.join(near, "cid", "left").filter("times > 1 OR near").select(
         "cid", F.col("pos.doc_id").alias("first_doc"), F.col("pos.i").alias("first_i"), F.coalesce("near", F.lit(False)).alias("near"))
     fates = materialize(fates)
-    hit = lines.select("row", "doc_id", "i", "cid").join(narrow(fates), "cid")
+    hit = places.join(narrow(fates), "cid")
     hit = hit.filter(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("i") == F.col("first_i"))))
     out = materialize(hit.groupBy("row").agg(F.collect_set("i").alias("dropped")))
     release(spark, *paths.values())
