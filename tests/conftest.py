@@ -20,15 +20,15 @@ def spark():
 def raw_batch(spark):
     """Ten raw rows that meet every cleaning rule."""
     rows = [
-        ("rec-001", "  Alice Smith  ", "Alice@Example.COM", 34, "UK", "2024-01-15", 0.85, "$1,200.50"),
-        ("rec-002", "alice smith", "alice@example.com", 34, "uk", "2024-01-15", 0.85, "€1500"),
-        ("rec-003", "Bob Jones", "bob@example.com", 28, "US", "15/03/2024", 0.72, "£80.00"),
-        ("rec-004", "  Bobby Jones", "bobby@example.com", None, "US", "2024-04-20T10:30:00Z", 0.68, "150.00"),
-        ("rec-005", "Carol White", "carol@example.com", 45, "CA", "2024-05-01", None, "$9,000"),
-        ("rec-006", None, "unknown@test.com", 29, "za", None, 0.91, None),
-        ("rec-007", "David Brown", "david@example.com", None, None, "01/06/2024", 0.77, "€3,400.25"),
-        ("rec-008", "david brown  ", "david@example.com", 31, "DE", "2024-07-10 14:22:00", 0.65, "$420"),
-        ("rec-009", "Eve Wilson", "eve@example.com", 55, "FR", "2024-08-15", 0.88, "invalid-currency"),
-        ("rec-010", "Frank Taylor", "  frank@example.com  ", 42, "  AU  ", "invalid-date", 0.73, "£2,500"),
+        ("row-01", "  Nora Lindqvist  ", "Nora.L@Mail.TEST", 41, "SE", "2023-02-28", 0.31, "$2,350.75"),
+        ("row-02", "nora lindqvist", "nora.l@mail.test", 41, "se", "2023-02-28", 0.31, "€990"),
+        ("row-03", "Tom Keller", "tom@mail.test", 22, "AT", "28/11/2023", 0.44, "£61.20"),
+        ("row-04", "  Tomm Keller", "tk@mail.test", None, "AT", "2023-12-05T07:45:00Z", 0.52, "310.00"),
+        ("row-05", "Ines Prado", "ines@mail.test", 63, "PT", "2023-06-09", None, "$7,800"),
+        ("row-06", None, "nobody@mail.test", 37, "br", None, 0.12, None),
+        ("row-07", "Yusuf Demir", "yd@mail.test", None, None, "04/09/2023", 0.93, "€1,250.40"),
+        ("row-08", "yusuf demir  ", "yd@mail.test", 52, "TR", "2023-10-21 18:05:00", 0.27, "$675"),
+        ("row-09", "Mia Okoro", "mia@mail.test", 47, "NG", "2023-03-17", 0.66, "on request"),
+        ("row-10", "Otto Brandt", "  otto@mail.test  ", 58, "  CH  ", "someday", 0.81, "£4,100"),
     ]
     return spark.createDataFrame(rows, "id string, name string, email string, age bigint, country string, joined_at string, score double, salary string")

@@ -13,20 +13,20 @@ def one(spark, value, fn):
 def test_clean_gives_the_expected_rows(raw_batch):
     rows = {r["id"]: r for r in cleaning.clean(raw_batch).collect()}
     expected = {
-        "rec-001": ("Alice Smith", 34, "UK", "2024-01-15T00:00:00+00:00", 1200.5, "USD"),
-        "rec-002": ("Alice Smith", 34, "UK", "2024-01-15T00:00:00+00:00", 1500.0, "EUR"),
-        "rec-003": ("Bob Jones", 28, "US", "2024-03-15T00:00:00+00:00", 80.0, "GBP"),
-        "rec-004": ("Bobby Jones", 0, "US", "2024-04-20T10:30:00+00:00", 150.0, "USD"),
-        "rec-005": ("Carol White", 45, "CA", "2024-05-01T00:00:00+00:00", 9000.0, "USD"),
-        "rec-006": ("", 29, "ZA", "", 0.0, "USD"),
-        "rec-007": ("David Brown", 0, "", "2024-06-01T00:00:00+00:00", 3400.25, "EUR"),
-        "rec-008": ("David Brown", 31, "DE", "2024-07-10T14:22:00+00:00", 420.0, "USD"),
-        "rec-009": ("Eve Wilson", 55, "FR", "2024-08-15T00:00:00+00:00", 0.0, "USD"),
-        "rec-010": ("Frank Taylor", 42, "AU", "invalid-date", 2500.0, "GBP"),
+        "row-01": ("Nora Lindqvist", 41, "SE", "2023-02-28T00:00:00+00:00", 2350.75, "USD"),
+        "row-02": ("Nora Lindqvist", 41, "SE", "2023-02-28T00:00:00+00:00", 990.0, "EUR"),
+        "row-03": ("Tom Keller", 22, "AT", "2023-11-28T00:00:00+00:00", 61.2, "GBP"),
+        "row-04": ("Tomm Keller", 0, "AT", "2023-12-05T07:45:00+00:00", 310.0, "USD"),
+        "row-05": ("Ines Prado", 63, "PT", "2023-06-09T00:00:00+00:00", 7800.0, "USD"),
+        "row-06": ("", 37, "BR", "", 0.0, "USD"),
+        "row-07": ("Yusuf Demir", 0, "", "2023-09-04T00:00:00+00:00", 1250.4, "EUR"),
+        "row-08": ("Yusuf Demir", 52, "TR", "2023-10-21T18:05:00+00:00", 675.0, "USD"),
+        "row-09": ("Mia Okoro", 47, "NG", "2023-03-17T00:00:00+00:00", 0.0, "USD"),
+        "row-10": ("Otto Brandt", 58, "CH", "someday", 4100.0, "GBP"),
     }
     fields = ("name", "age", "country", "joined_at", "salary_amount", "salary_currency")
     assert {k: tuple(r[f] for f in fields) for k, r in rows.items()} == expected
-    assert rows["rec-010"]["email"] == "frank@example.com" and rows["rec-005"]["score"] == 0.0
+    assert rows["row-10"]["email"] == "otto@mail.test" and rows["row-05"]["score"] == 0.0
 
 
 def test_null_count(raw_batch):
@@ -37,8 +37,8 @@ def test_intake_keeps_six_rows(raw_batch):
     done = intake(raw_batch)
     ids = lambda df: sorted(r["id"] for r in df.collect())
     assert len(ids(done.exact)) == 8 and len(ids(done.fuzzy)) == 7
-    assert ids(done.valid) == ["rec-001", "rec-003", "rec-005", "rec-007", "rec-009", "rec-010"]
-    assert ids(done.invalid) == ["rec-006"]
+    assert ids(done.valid) == ["row-01", "row-03", "row-05", "row-07", "row-09", "row-10"]
+    assert ids(done.invalid) == ["row-06"]
     report = dedup.dedup_report(done.cleaned, done.exact, done.fuzzy).first()
     assert (report["removed_exact"], report["removed_fuzzy"]) == (2, 1)
 
@@ -56,10 +56,10 @@ def test_scoped_intake_keeps_sources_apart(spark, raw_batch):
 
 
 def test_light_clean(spark):
-    rows = [("rec-001", "Alice Smith", "alice@example.com"), ("rec-002", "alice smith ", "Alice@example.com"), ("rec-003", "Bob Jones", "bob@example.com"),
-            ("rec-004", "Bobby Jones", "bobby@example.com"), ("rec-005", "Carol White", "carol@example.com")]
+    rows = [("row-01", "Lena Vogt", "lena@mail.test"), ("row-02", "lena vogt ", "Lena@mail.test"), ("row-03", "Tom Keller", "tom@mail.test"),
+            ("row-04", "Tomm Keller", "tk@mail.test"), ("row-05", "Ines Prado", "ines@mail.test")]
     out = cleaning.clean_light(spark.createDataFrame(rows, "id string, name string, email string")).collect()
-    assert [r["id"] for r in out] == ["rec-001", "rec-003", "rec-004", "rec-005"] and out[0]["name"] == "alice smith"
+    assert [r["id"] for r in out] == ["row-01", "row-03", "row-04", "row-05"] and out[0]["name"] == "lena vogt"
 
 
 def test_strip_knows_every_whitespace(spark):

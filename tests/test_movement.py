@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinfold.plans.intake import intake
 from kinfold.sinks import events, tables
 from kinfold.sources import files, jdbc, messages
+from kinfold.streaming import ingest
 from kinfold.streaming.ingest import IntakePaths, drop_repeated, intake_batch, intake_stream
 from kinfold.streaming.rollup import streaming_timeseries
 from kinfold.operators.analytics import timeseries
@@ -141,21 +142,54 @@ def test_stream_equals_batch(spark, raw_batch, tmp_path):
 def test_replay_and_later_batches(spark, raw_batch, tmp_path):
     paths = IntakePaths(str(tmp_path / "intake"))
     handle = intake_batch(paths, FIELDS)
-    half = raw_batch.filter("id <= 'rec-005'")
+    half = raw_batch.filter("id <= 'row-05'")
     handle(envelopes(half).unionByName(signal(spark)), 0)
     handle(envelopes(half).unionByName(signal(spark)), 0)
     assert spark.read.parquet(paths.raw).count() == 5 and spark.read.parquet(paths.runs).count() == 1
-    handle(envelopes(raw_batch.filter("id > 'rec-005'")), 1)
+    handle(envelopes(raw_batch.filter("id > 'row-05'")), 1)
     handle(signal(spark), 2)
     runs = {r["stream_batch"]: r["records_input"] for r in spark.read.parquet(paths.runs).collect()}
     assert runs == {0: 5, 2: 5}
 
 
-def test_failed_run_is_recorded_and_does_not_stop(spark, raw_batch, tmp_path):
+def test_failed_run_goes_to_the_dead_letters(spark, raw_batch, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "WAIT_SECONDS", 0)
     paths = IntakePaths(str(tmp_path / "intake"))
-    intake_batch(paths, ["id", "email"])(envelopes(raw_batch).unionByName(signal(spark)), 0)  # no name: cleaning cannot run
+    handle = intake_batch(paths, ["id", "email"])
+    handle(envelopes(raw_batch).unionByName(signal(spark)), 0)  # no name: cleaning cannot run
     run = spark.read.parquet(paths.runs).first()
-    assert run["status"] == "FAILED" and run["error_message"]
+    assert (run["status"], run["records_input"], run["records_failed"]) == ("FAILED", 10, 10) and run["error_message"]
+    lost = spark.read.parquet(paths.failed).collect()
+    assert sorted(json.loads(r["raw_value"])["id"] for r in lost) == [f"row-{i:02d}" for i in range(1, 11)]
+    assert {r["reason"] for r in lost} == {run["error_message"]}
+    handle(signal(spark), 1)
+    assert spark.read.schema(ingest.STAGED_SCHEMA).parquet(paths.staged).count() == 0
+
+
+def test_partial_failure_repeats_no_row(spark, raw_batch, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "WAIT_SECONDS", 0)
+    paths = IntakePaths(str(tmp_path / "intake"))
+    plain, broken = ingest.write_staged, [2]
+
+    def failing(df, root, *rest):
+        if root == paths.rejected and broken[0]:
+            broken[0] -= 1
+            raise OSError("no space")
+        return plain(df, root, *rest)
+
+    monkeypatch.setattr(ingest, "write_staged", failing)
+    intake_batch(paths, FIELDS)(envelopes(raw_batch).unionByName(signal(spark)), 0)  # fails twice, then works
+    once = sorted(r["id"] for r in spark.read.parquet(paths.staged).collect())
+    assert once == sorted(r["id"] for r in intake(raw_batch).valid.collect()) and spark.read.parquet(paths.runs).first()["status"] == "COMPLETED"
+
+    paths = IntakePaths(str(tmp_path / "second"))
+    broken[0] = 99
+    intake_batch(paths, FIELDS)(envelopes(raw_batch).unionByName(signal(spark)), 0)
+    assert spark.read.parquet(paths.runs).first()["status"] == "FAILED" and spark.read.parquet(paths.failed).count() == 10
+    assert spark.read.schema(ingest.STAGED_SCHEMA).parquet(paths.staged).count() == 0
+    broken[0] = 0
+    intake_batch(paths, FIELDS)(envelopes(raw_batch.filter("id < 'row-03'")).unionByName(signal(spark)), 1)
+    assert sorted(r["id"] for r in spark.read.parquet(paths.staged).collect()) == ["row-01"]
 
 
 def test_repeats_and_rollup(spark, tmp_path):
