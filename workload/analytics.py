@@ -402,13 +402,14 @@ def _part_names(spark, folder):
     """SELECT brand, decision, sum(n)::BIGINT AS pairs, round(sum(score * n) / sum(n), 8) AS avg_score FROM (
     SELECT brand, score, n, CASE WHEN score >= 0.9 THEN 'match' WHEN score >= 0.7 THEN 'review' ELSE 'non_match' END AS decision FROM (
     SELECT a.p_brand AS brand, round(1.0 - levenshtein(lower(a.p_name), lower(b.p_name))::DOUBLE / greatest(length(a.p_name), length(b.p_name)), 4) AS score, count(*) AS n
-    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey GROUP BY 1, 2)) WHERE decision <> 'non_match' GROUP BY 1, 2""",
+    FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey
+    AND split_part(lower(a.p_name), ' ', 1) = split_part(lower(b.p_name), ' ', 1) GROUP BY 1, 2)) WHERE decision <> 'non_match' GROUP BY 1, 2""",
 )
 def flagship(spark, folder):
-    """Per brand: how many likely duplicates among the parts of a type, and how sure are we."""
+    """Per brand: how many likely duplicates among the parts of a type that share their first word, and how sure are we."""
     from kinfold.plans.resolution import MatchSpec, copies, linked_pairs
 
-    spec = MatchSpec(weights={"code": 1.0}, tenant="brand")
+    spec = MatchSpec(weights={"code": 1.0}, tenant="brand", passes={"code": lambda c: F.substring_index(c, " ", 1)})
     profs = _part_names(spark, folder)
     head = ["brand", "decision", "confidence_score", "record_pairs"]
     both = linked_pairs(profs, spec).select(*head).unionByName(copies(profs, spec).select(*head))
