@@ -206,10 +206,8 @@ def edited_prints(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.floor((F.col("sort_id") - low) / width).cast("long"))
     # a row for each range of ids: at most one for 4,096 documents and one more
     first = rows.groupBy("bucket").agg(F.min("sort_id").alias("first_id"))
-    in_order = Window.orderBy("bucket")
-    last = first.agg(F.max("bucket").alias("last"))
-    before = first.withColumn("to", F.lag("bucket").over(in_order)).crossJoin(F.broadcast(last))
-    before = materialize(before.select("first_id", F.coalesce("to", "last").alias("to")))
+    last = first.agg(F.max("bucket")).first()[0]
+    before = materialize(first.select("first_id", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(last)).alias("to")))
     halo = rows.join(narrow(before), F.col("sort_id") == F.col("first_id")).select("doc_id", "text", "sort_id", F.col("to").alias("bucket"), F.lit(True).alias("halo"))
     spread = rows.withColumn("halo", F.lit(False)).select("doc_id", "text", "sort_id", "bucket", "halo").unionByName(halo)
     ordered = spread.repartition("bucket").sortWithinPartitions("bucket", "halo", "sort_id", "text")

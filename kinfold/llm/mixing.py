@@ -112,7 +112,7 @@ def _round(units: DataFrame) -> DataFrame:
     while True:
         buckets = -(-most // FAN)
         counts = current.groupBy("source_no").agg(F.count("*").alias("n"))
-        placed = current.join(F.broadcast(counts) if level else narrow(counts), "source_no").withColumn(
+        placed = current.join(narrow(counts), "source_no").withColumn(
             "bucket", F.pmod(F.xxhash64("unit", F.lit(level)), F.ceil(F.col("n") / FAN)))
         done = materialize(placed.groupBy("source_no", "bucket").applyInPandas(_pairing(level, buckets <= 1), "source_no int, unit long, mass double, p double"))
         settled.append(done.filter("p = 0 OR p = 1").select("unit", F.col("p").cast("int").alias("extra")))

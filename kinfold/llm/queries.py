@@ -20,6 +20,8 @@ from .registry import register, table
 from .toxicity import held_out, toxicity, train
 from .warc import archive_round_trip
 
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
 
 @register("op1_permutation_index")
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +68,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("op5_sentencepiece")
-def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("piece_bpe_32k.model")) -> DataFrame:
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of whole texts and what they decode to, as digests."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", round_trip(spark, F.col("text"), read_model(path)).alias("t")).select("doc_id", "t.*")
+    return docs.select("doc_id", round_trip(spark, F.col("text"), read_model(TOKENIZER)).alias("t")).select("doc_id", "t.*")
 
 
 @register("op2_mix_sources")
