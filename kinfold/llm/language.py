@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinfold.session import materialize
+
 from . import tokens as T
+from .sides import narrow
 from .toxicity import held_out
 
 ORDER = 4
@@ -145,10 +148,15 @@ class Languages:
 
 
 def train(docs: DataFrame) -> Languages:
-    """Statistics from a bounded sample of the documents with a language that are not held out: the same in every run."""
-    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS).select("lang", "place", "text").toArrow()
+    """Statistics from a bounded sample of the documents with a language that are not held out: the same in every run.
+
+    Documents are chosen by the hash of their id; of several texts with one id and language the smallest counts.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
+    texts = known.select("lang", "doc_id", "text").join(narrow(materialize(chosen)), ["lang", "doc_id"])
+    sample = texts.groupBy("lang", "place").agg(F.min("text").alias("text")).toArrow()
     sample = sample.sort_by([("lang", "ascending"), ("place", "ascending")])
     by_name: dict[str, list[str]] = {}
     for lang, text in zip(sample.column("lang").to_pylist(), sample.column("text").to_pylist()):

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from kinfold.session import materialize, release, scratch_path
 
+from . import tokens as T
 from .sides import narrow
 
 #: Bytes after which a task begins a new file; bytes of one read; the widest gap between ranges read together.
@@ -77,7 +78,7 @@ def _writer(root: str, date: str):
         files.create_dir(base, recursive=True)
         name, out, offset = "", None, 0
         try:
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in T.slices(whole, "html", 16 << 20)):
                 rows = []
                 for r in batch.to_pylist():
                     if out is None or offset >= FILE_BYTES:
