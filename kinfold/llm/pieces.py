@@ -14,17 +14,22 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens as T
+
 MARK = "▁"
-#: Words a Python worker keeps at once.
-_KEPT_WORDS = 500_000
+#: Words and pairs of pieces a Python worker keeps at once.
+_KEPT_WORDS = 300_000
+_KEPT_PAIRS = 300_000
 _DIGESTS = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -95,7 +100,7 @@ class Pieces:
         key = (left, right)
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= _KEPT_PAIRS:
                 self.fits.clear()
             got = self.fits[key] = self._merged(left + right) == [left, right]
         return got
@@ -199,10 +204,18 @@ def encode(spark: SparkSession, text: Column, model: bytes) -> Column:
     """``array<int>``: the ids of a text, without begin or end ids; none for a null or empty text."""
     shared = spark.sparkContext.broadcast(model)
 
+    def piece(texts: pa.Array) -> pa.Array:
+        pieces, known = _known_words(shared.value, "ids", lambda p, word: tuple(p.ids(word)))
+        ids, ends = array("i"), [0]
+        for text in texts:
+            for word in words(text.as_py() or "", pieces.dummy_prefix):
+                ids.extend(known[word])
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        pieces, known = _known_words(shared.value, "ids", lambda p, word: tuple(p.ids(word)))
-        return pa.array([[i for word in words(t or "", pieces.dummy_prefix) for i in known[word]] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        return T.by_slices(texts, piece, pa.list_(pa.int32()))
 
     return run(text)
 

@@ -260,6 +260,6 @@ def toxicity(spark: SparkSession, text: Column, model: Field) -> Column:
 
     @F.arrow_udf("struct<score: double, spans: array<struct<start: int, end: int, p: double>>>")
     def score(texts: pa.Array) -> pa.Array:
-        return T.by_slices(texts, scorer(shared.value), _RESULT)
+        return T.by_slices(texts, scorer(shared.value), _RESULT, 2 << 20)
 
     return score(text)
