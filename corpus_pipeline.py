@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.line_dedup import dedup_lines
 from kinfold.llm.mixing import mixed
 from kinfold.llm.near_dup import without_near_duplicates
-from kinfold.llm.pieces import encode, read_model
+from kinfold.llm.pieces import encoded, read_model
 from kinfold.llm.toxicity import toxicity, train
 from kinfold.session import materialize
 
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy."""
-    return docs.select("doc_id", "lang", "source", encode(spark, F.col("text"), read_model(TOKENIZER)).alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))
+    return encoded(docs, ["doc_id", "lang", "source"], read_model(TOKENIZER)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [

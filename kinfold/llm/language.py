@@ -181,7 +181,7 @@ def language(spark: SparkSession, text: Column, model: Languages) -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def guess(texts: pa.Array) -> pa.Array:
-        return T.by_slices(texts, piece, _RESULT, 2 << 20)
+        return T.by_slices(texts, piece, _RESULT)
 
     unknown = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
     if not model.names:

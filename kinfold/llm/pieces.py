@@ -15,21 +15,21 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens as T
 
 MARK = "▁"
 #: Words and pairs of pieces a Python worker keeps at once.
-_KEPT_WORDS = 300_000
-_KEPT_PAIRS = 300_000
+_KEPT_WORDS = 200_000
+_KEPT_PAIRS = 200_000
 _DIGESTS = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
@@ -163,6 +163,88 @@ class Pieces:
 _CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
+def words(text: str, dummy_prefix: bool = True) -> list[str]:
+    """The normalised text cut where no piece can cross: before each run of blank marks and around line ends."""
+    if not text:
+        return []
+    return _CUT.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK))
+
+
+@lru_cache(maxsize=2)
+def _loaded(model: bytes) -> tuple[Pieces, dict]:
+    return Pieces(model), {}
+
+
+class _Words(dict):
+    """What each word becomes, worked out when first asked for; starts anew when full. Very long words are not kept."""
+
+    def __init__(self, work: Callable[[str], tuple]):
+        self.work = work
+
+    def __missing__(self, word: str):
+        if len(word) > 100:
+            return self.work(word)
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        got = self[word] = self.work(word)
+        return got
+
+
+def _known_words(model: bytes, name: str, work: Callable[[Pieces, str], tuple]) -> tuple[Pieces, _Words]:
+    pieces, kinds = _loaded(model)
+    return pieces, kinds.setdefault(name, _Words(lambda word: work(pieces, word)))
+
+
+def read_model(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def _encoder(shared):
+    def run(texts: pa.Array) -> pa.Array:
+        pieces, known = _known_words(shared.value, "ids", lambda p, word: tuple(p.ids(word)))
+        ids, ends = array("i"), [0]
+        for text in texts:
+            for word in words(text.as_py() or "", pieces.dummy_prefix):
+                ids.extend(known[word])
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+
+    return run
+
+
+def encode(spark: SparkSession, text: Column, model: bytes) -> Column:
+    """``array<int>``: the ids of a text, without begin or end ids; none for a null or empty text."""
+    work = _encoder(spark.sparkContext.broadcast(model))
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return T.by_slices(texts, work, pa.list_(pa.int32()))
+
+    return run(text)
+
+
+def encoded(docs: DataFrame, keep: Sequence[str], model: bytes) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``ids``, handed back in small batches, which bounds memory for whole corpora."""
+    work = _encoder(docs.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in T.slices(whole):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), work(batch.column("text"))], [*keep, "ids"])
+
+    return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("ids", "array<int>"))
+
+
+def decode(self, ids: list[int]) -> str:
+        """The text of all ids of a document; the blank put before it goes."""
+        text = self.plain(ids)
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+
+_CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+
+
 def words(text: str, dummy_prefix: bool = True) -> list[str]:
     """The normalised text cut where no piece can cross: before each run of blank marks and around line ends."""
     if not text:
@@ -241,8 +323,7 @@ def round_trip(spark: SparkSession, text: Column, model: bytes) -> Column:
         ids = pieces.ids(word)
         return len(ids), ",".join(map(str, ids)), pieces.plain(ids)
 
-    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-    def run(texts: pa.Array) -> pa.Array:
+    def piece(texts: pa.Array) -> pa.Array:
         pieces, known = _known_words(shared.value, "digests", work)
         counts, ids, plain = [], [], []
         for text in texts:
@@ -255,4 +336,8 @@ def round_trip(spark: SparkSession, text: Column, model: bytes) -> Column:
             plain.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
         return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], fields=list(_DIGESTS))
 
+    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return T.by_slices(texts, piece, _DIGESTS)
+
     return run(text)

@@ -45,13 +45,13 @@ def _cuts(column: pa.Array, limit: int) -> list[tuple[int, int]]:
     return [*out, (start, len(sizes))] if start < len(sizes) else out
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds about ``limit`` bytes of text, or a single longer row."""
     for a, b in _cuts(batch.column(batch.schema.get_field_index(text)), limit):
         yield batch.slice(a, b - a)
 
 
-def by_slices(column: pa.Array, function: Callable[[pa.Array], pa.Array], kind: pa.DataType, limit: int = 4 << 20) -> pa.Array:
+def by_slices(column: pa.Array, function: Callable[[pa.Array], pa.Array], kind: pa.DataType, limit: int = 1 << 20) -> pa.Array:
     """``function`` over pieces of a string column of about ``limit`` bytes, put together again."""
     return pa.concat_arrays([pa.array([], kind), *(function(column.slice(a, b - a)) for a, b in _cuts(column, limit))])
 

@@ -26,7 +26,7 @@ _PREFIXES = (4, 5, 6)
 _RATIO = 24.0
 _TELLING = 8.0
 _ROUNDS = 40
-_CHUNK = 256
+_CHUNK = 128
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 _RESULT = pa.struct([("score", pa.float64()), ("spans", pa.list_(_SPAN))])
 
@@ -260,6 +260,6 @@ def toxicity(spark: SparkSession, text: Column, model: Field) -> Column:
 
     @F.arrow_udf("struct<score: double, spans: array<struct<start: int, end: int, p: double>>>")
     def score(texts: pa.Array) -> pa.Array:
-        return T.by_slices(texts, scorer(shared.value), _RESULT, 2 << 20)
+        return T.by_slices(texts, scorer(shared.value), _RESULT)
 
     return score(text)
