@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import tokens as T
 
@@ -233,7 +234,7 @@ def encoded(docs: DataFrame, keep: Sequence[str], model: bytes) -> DataFrame:
             for batch in T.slices(whole):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), work(batch.column("text"))], [*keep, "ids"])
 
-    return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("ids", "array<int>"))
+    return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(self, ids: list[int]) -> str:
