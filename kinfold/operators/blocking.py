@@ -60,22 +60,24 @@ def _mail(c: Column) -> Column:
     return F.substring(F.substring_index(c, "@", 1), 1, 8)
 
 
-# The passes inside a block, in order: a birth date but for its last digit, the start of a mail name, the whole name.
+# Passes for callers that give up pairs for speed: a birth date but for its last digit, the start of a mail name, the
+# whole name. Pairs that share none of them are not compared, whatever their score would be.
 PASSES = {"dob": _born, "email": _mail, "name": lambda c: c}
 
 
 def candidate_pairs(
     profs: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), rows_per_tile: int = ROWS_PER_TILE,
-    passes: Mapping[str, Callable[[Column], Column]] = PASSES,
+    passes: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
-    """Pairs of profiles that share a block and a pass in it, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
+    """All pairs of profiles of a block, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
 
-    ``n_records_a * n_records_b`` record pairs stand behind a row. A block may hold any number of profiles: the passes,
-    which are the same for all blocks, decide which of them are compared, and all other pairs of the block count as
-    non-matches (``block_statistics``). ``profs`` is read several times: give a frame from ``stored_profiles``.
+    ``n_records_a * n_records_b`` record pairs stand behind a row. A block may hold any number of profiles; a large one
+    is spread over tiles. With ``passes`` only profiles that share one are compared, and all other pairs of the block
+    count as non-matches (``block_statistics``) unseen. ``profs`` is read several times: give a frame from
+    ``stored_profiles``.
     """
     present = [c for c in attributes if c in profs.columns]
-    keys = [key(F.col(c)) for c, key in passes.items() if c in present]
+    keys = [F.lit("all")] if passes is None else [key(F.col(c)) for c, key in passes.items() if c in present]
     carry = [c for c in profs.columns if c not in (*group, "profile_id")]
     pairs = pass_pairs(profs, group, "profile_id", keys, carry, rows_per_tile).withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
     return pairs.withColumn("record_pairs", F.col("n_records_a") * F.col("n_records_b"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.blocking import PASSES, block_statistics, candidate_pairs, stored_profiles, with_block_key
+from ..operators.blocking import block_statistics, candidate_pairs, stored_profiles, with_block_key
 from ..operators.cluster import attach_profile_clusters, connected_components
 from ..operators.compare import DEFAULT_WEIGHTS, MATCH, REVIEW, decision_summary, score_pairs, with_decision
 from ..operators.golden import field_provenance, golden_members, golden_records
@@ -18,7 +18,7 @@ from ..session import materialize
 
 @dataclass(frozen=True)
 class MatchSpec:
-    """What is compared, in which passes inside a block, how much it counts, and where the decisions lie."""
+    """What is compared, how much it counts, and where the decisions lie; without ``passes`` all pairs of a block are."""
 
     weights: Mapping[str, float] = field(default_factory=lambda: dict(DEFAULT_WEIGHTS))
     match: float = MATCH
@@ -27,7 +27,7 @@ class MatchSpec:
     id_col: str = "id"
     rows_per_tile: int = ROWS_PER_TILE
     blank_as_null: bool = True
-    passes: Mapping[str, Callable[[Column], Column]] = field(default_factory=lambda: dict(PASSES))
+    passes: Mapping[str, Callable[[Column], Column]] | None = None
 
     @property
     def group(self) -> list[str]:

@@ -209,6 +209,19 @@ def test_links_do_not_depend_on_the_tiles(spark):
     assert sum(result[0][1].values()) == total
 
 
+def test_links_are_those_of_all_pairs_of_a_block(spark):
+    people = [("1", "Jon Smith", None, None), ("2", "John Smith", None, None), ("3", "Jon Smith", "1971-05-06", "john.smith@x.org"), ("4", "John Smith", "1971-11-06", "j.smith@x.org")]
+    rows = [(i, "t", n, d, m, "b") for i, n, d, m in people] + [(f"5{i:02d}", "t", n, None, None, "c") for i, n in enumerate(_names(60, 21))]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, name string, dob string, email string, block_key string")
+    profs = blocking.stored_profiles(df, ["name", "dob", "email"])
+    wanted = {("1", "2")} | {
+        (a[0], b[0]) for a, b in itertools.combinations([r for r in rows if r[5] == "c"], 2) if round(plain_jaro_winkler(a[2], b[2]), 4) >= 0.7
+    }
+    for rows_per_tile in (4, 2048):
+        found = {(r["id_a"], r["id_b"]) for r in linked_pairs(profs, MatchSpec(rows_per_tile=rows_per_tile)).collect()}
+        assert ("3", "4") in found and {p for p in found if not {"3", "4"} & set(p)} == wanted
+
+
 def test_resolve_end_to_end(spark):
     out = resolve(_people(spark))
     clusters = {r["id"]: r["cluster_id"] for r in out.clusters.collect()}
