@@ -24,17 +24,17 @@ def dedup_exact(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str
 
 
 def name_passes(text: Column) -> list[Column]:
-    """Texts are compared that sound alike, or that share their first letter and their last word."""
+    """Passes for callers that give up pairs for speed: texts that sound alike, or share first letter and last word."""
     plain = normalize(text)
     return [metaphone(plain), F.concat(F.substring(plain, 1, 1), F.lit(" "), F.substring_index(plain, " ", -1))]
 
 
 def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name", threshold: float = 0.85,
-                    passes: Callable[[Column], list[Column]] = name_passes, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+                    passes: Callable[[Column], list[Column]] | None = None, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
     """First id of each (block, text) that no earlier similar text in the block removes.
 
-    A row goes when any earlier row of its block that shares a pass is similar, even one that goes itself. With the
-    smallest id of every distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first
+    A row goes when any earlier row of its block is similar, even one that goes itself; all distinct texts of a block
+    are compared, or with ``passes`` those that share one. With the smallest id of every distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first
     of its text and no similar text has an earlier first row.
     """
     firsts = (
@@ -43,7 +43,8 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
         .agg(F.min(id_col).alias("_first"))
     )
     firsts = materialize(firsts, "_first")
-    pairs = pass_pairs(firsts, list(block), "_first", passes(F.col("_text")), ["_text"], rows_per_tile)
+    keys = [F.lit("all")] if passes is None else passes(F.col("_text"))
+    pairs = pass_pairs(firsts, list(block), "_first", keys, ["_text"], rows_per_tile)
     later = (
         pairs.filter(jaro_winkler_raw(F.col("_text_a"), F.col("_text_b")) >= F.lit(threshold))
         .select(F.col("_first_b").alias("_first"))
@@ -53,8 +54,8 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
 
 
 def dedup_fuzzy(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("country",), text_col: str = "name", threshold: float = 0.85,
-                passes: Callable[[Column], list[Column]] = name_passes, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
-    """Drop every row whose text is similar to that of an earlier row of its block and pass; blank texts match nothing."""
+                passes: Callable[[Column], list[Column]] | None = None, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """Drop every row whose text is similar to that of an earlier row of its block; blank texts match nothing."""
     keep = fuzzy_survivors(df, id_col, block, text_col, threshold, passes, rows_per_tile).withColumn("_kept", F.lit(True))
     return df.join(keep, id_col, "left").filter(is_blank(F.col(text_col)) | F.col("_kept")).drop("_kept")
 

@@ -175,6 +175,21 @@ def test_fuzzy_dedup_follows_the_rule_whatever_the_tiles(spark):
         assert kept == {r[0] for r in rows} - dropped | {"9998", "9999"}
 
 
+def test_fuzzy_dedup_compares_all_names_of_a_block(spark):
+    random.seed(8)
+    people = [f"{random.choice(['peter', 'hanna', 'tomas', 'birgit'])} {random.choice(['hansen', 'larsen', 'kowalski', 'dubois'])}" for _ in range(60)]
+    bent = []
+    for name in people:
+        i = random.choice([k for k, c in enumerate(name) if c not in "aeiou "])
+        bent.append(name[:i] + random.choice("bdfgklmnprstvz") + name[i + 1 :])
+    rows = [(f"{i:04d}", name, "A") for i, name in enumerate(["peter hansen", "peter hamsen", *people, *bent])]
+    dropped = {b[0] for a, b in itertools.combinations(rows, 2) if a[1] == b[1] or plain_jaro_winkler(a[1], b[1]) >= 0.85}
+    df = spark.createDataFrame(rows, "id string, name string, country string")
+    for rows_per_tile in (4, 2048):
+        assert {r["id"] for r in dedup_fuzzy(df, rows_per_tile=rows_per_tile).collect()} == {r[0] for r in rows} - dropped
+    assert "0001" in dropped
+
+
 def test_tenants_do_not_mix(spark):
     df = spark.createDataFrame([("t1", "1", "Ann Berg", "a@x"), ("t2", "2", "Ann Berg", "a@x"), ("t2", "3", "Ann Barg", "b@x")], "tenant_id string, id string, name string, email string").withColumn("country", F.lit("NO"))
     assert dedup_exact(df, ["tenant_id", "email"]).count() == 3
