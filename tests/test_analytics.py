@@ -142,3 +142,15 @@ def test_numbers_do_not_depend_on_the_ranges(spark):
         ids = sorted(r["id"] for r in df.filter(F.col("g").eqNullSafe(g)).collect())
         want |= {(g, i): n + 1 for n, i in enumerate(ids)}
     assert got == want
+
+
+def test_likely_duplicate_parts_may_differ_in_the_first_word(spark, tmp_path):
+    from workload.analytics import flagship
+
+    rows = [(1, "almond blue ivory peru snow", "B1", "T1"), (2, "allmond blue ivory peru snow", "B1", "T1"), (3, "Almond blue ivory peru snow", "B1", "T1"),
+            (4, "azure blue ivory peru snow", "B1", "T1"), (5, "almond blue ivory peru snow", "B1", "T2"), (6, "tan lime red", "B1", "T1")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    # 1 and 3 are equal, 2 is one edit of 28 from both, 4 is five edits of 27 from 1 and 3 and six of 28 from 2
+    near, far = round(1 - 1 / 28, 4), [round(1 - 5 / 27, 4)] * 2 + [round(1 - 6 / 28, 4)]
+    got = {r["decision"]: (r["pairs"], r["avg_score"]) for r in flagship(spark, str(tmp_path)).collect()}
+    assert got == {"match": (3, pytest.approx((1 + 2 * near) / 3, abs=1e-8)), "review": (3, pytest.approx(sum(far) / 3, abs=1e-8))}
