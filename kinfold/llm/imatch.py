@@ -1,10 +1,14 @@
 """I-Match fingerprints over randomised lexicon subsets, and their likeness.
 
-The lexicon is the terms within a band of inverse document frequency over all documents. Its size is bounded whatever
+The lexicon is the terms within a band of inverse document frequency over the distinct texts. Its size is bounded whatever
 the size of the corpus: no more terms than ``mean distinct terms / LOW`` can be in a share of ``LOW`` of the documents,
 so it is broadcast. Each subset keeps a pseudo-random share of the lexicon; the distinct terms of a text in the subset,
 sorted, are hashed. An edit leaves a hash alone if it touches no term of its subset, so subsets come in several
 densities: for a text of any length some hold only a few of its terms.
+
+A text with few terms of the lexicon is printed by all its terms in some subsets: in those whose bound is above the share
+of its terms that are in the lexicon. The bounds differ between the subsets, so of a text and its edited text, whose
+shares are near each other, most subsets take the same kind of terms.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ LOW, HIGH = 0.001, 0.1
 _SUBSETS = 16
 _SHIFTS = (1, 3, 5, 7, 9, 11)
 _PARTS = _SUBSETS * len(_SHIFTS)
+#: Share of a text's terms in the lexicon below which a subset takes all its terms; a text counts as having six at least.
+_FULL = np.arange(1, _SUBSETS + 1) / (2 * _SUBSETS)
+_FEW = 6
 _BUCKET = 4096
 _PIECE = 2 << 20
 
@@ -43,14 +50,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         names, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([h[1] for h in held])).astype(np.int64)
+        counts = np.bincount(where, np.concatenate([h[1] for h in held]))
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], ["term", "n"])
 
     for whole in batches:
         for batch in T.slices(whole):
-            names, counts = np.unique(_terms(batch.column("text"))[0], return_counts=True)
-            held.append((names, counts))
+            terms, first = _terms(batch.column("text"))
+            names, where = np.unique(terms, return_inverse=True)
+            held.append((names, np.bincount(where, np.repeat(batch.column("share").to_numpy(), np.diff(first)), len(names))))
             rows += len(names)
             if rows > 2_000_000:
                 yield flush()
@@ -60,9 +68,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms in the band, at least in two documents, counted over all rows of ``docs``."""
-    counts = docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    total = docs.count()
+    """Sorted hashes of the terms in the band, at least in two texts, counted over the distinct texts of ``docs``.
+
+    Each of ``n`` copies of a text counts as a share of ``1 / n``, so texts stay where they are.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    copies = materialize(texts.groupBy(F.xxhash64("text").alias("hash")).agg(F.count("*").alias("copies")))
+    total = copies.count()
+    repeated = narrow(copies.filter("copies > 1"))
+    shares = texts.join(repeated, F.xxhash64("text") == F.col("hash"), "left").select("text", F.coalesce(1 / F.col("copies"), F.lit(1.0)).alias("share"))
+    counts = shares.mapInArrow(_count, "term long, n double").groupBy("term").agg(F.round(F.sum("n"), 6).alias("n"))
     banded = counts.filter((F.col("n") >= max(2.0, LOW * total)) & (F.col("n") <= max(2.0, HIGH * total))).select("term").toArrow()
     return np.sort(banded.column("term").to_numpy().view(np.uint64)) if banded.num_rows else np.zeros(0, np.uint64)
 
@@ -70,7 +85,8 @@ def lexicon(docs: DataFrame) -> np.ndarray:
 def prints(texts: pa.Array, banded: np.ndarray) -> np.ndarray:
     """A row of ``_PARTS`` 24-bit hashes for each text; 0 where it has no term in a subset.
 
-    A text without a term of the lexicon is printed by all its terms, one without any term by zeros.
+    A text without a term of the lexicon is printed by all its terms, one with few of them by all its terms in some
+    subsets, one without any term by zeros.
     """
     terms, first = _terms(texts)
     n = len(first) - 1
@@ -80,13 +96,18 @@ def prints(texts: pa.Array, banded: np.ndarray) -> np.ndarray:
         inside = banded[at] == terms
     else:
         inside = np.zeros(len(terms), bool)
-    inside |= (np.bincount(doc[inside], minlength=n) == 0)[doc]
-    terms, doc = terms[inside], doc[inside]
+    share = (np.bincount(doc[inside], minlength=n) / np.maximum(np.diff(first), _FEW))[doc]
+    share[inside] = 1.0
+    some = share < _FULL[-1]
+    some |= inside
+    terms, doc, share = terms[some], doc[some], share[some]
+    inside = share == 1.0
     out = np.zeros((n, _PARTS), np.uint32)
     with np.errstate(over="ignore"):
         for j in range(_SUBSETS):
-            rank = T.mix(terms ^ np.uint64(0xA0761D6478BD642F * (j + 1) & (1 << 64) - 1))
-            value, owner = T.mix(rank + np.uint64(j)), doc
+            taken = inside | (share < _FULL[j])
+            rank = T.mix(terms[taken] ^ np.uint64(0xA0761D6478BD642F * (j + 1) & (1 << 64) - 1))
+            value, owner = T.mix(rank + np.uint64(j)), doc[taken]
             for k, shift in enumerate(_SHIFTS):
                 keep = rank < np.uint64(1 << (64 - shift))
                 rank, value, owner = rank[keep], value[keep], owner[keep]

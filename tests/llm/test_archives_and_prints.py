@@ -69,6 +69,27 @@ def test_edited_prints_of_few_rows_and_null_ids(spark):
     assert imatch.edited_prints(frame(spark, [])).count() == 0
 
 
+def test_texts_without_the_lexicon_keep_their_likeness():
+    rng = np.random.default_rng(4)
+    known = [f"w{i}" for i in range(2000)]
+    banded = np.sort(imatch._terms(pa.array([" ".join(known)]))[0])
+    hot = [[f"hot{k}x{i}" for i in range(90)] for k in range(300)]
+    following = [list(rng.choice(known, 22, replace=False)) for _ in hot]
+    own = [list(rng.choice(known, 3, replace=False)) for _ in hot]
+    of = lambda texts: imatch.prints(pa.array([" ".join(t) for t in texts]), banded)
+    edited = of([h[:68] + f for h, f in zip(hot, following)])
+    assert imatch.likeness(of(hot), edited).mean() > 0.25  # by all terms, against by 22 of 90 in the lexicon
+    near = imatch.likeness(of([o + h for h, o in zip(hot, own)]), of([o + h[:67] + f for h, o, f in zip(hot, own, following)]))
+    assert near.mean() > 0.25
+    assert imatch.likeness(of(hot), np.roll(edited, 1, axis=0)).mean() < 0.05
+
+
+def test_copies_count_once_in_the_lexicon(spark):
+    texts = ["alpha beta"] * 30 + [f"beta word{i}" for i in range(30)]
+    named = set(imatch.lexicon(frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts + ["alpha gamma"])])).tolist())
+    assert int(imatch._terms(pa.array(["alpha"]))[0][0]) in named and int(imatch._terms(pa.array(["beta"]))[0][0]) not in named
+
+
 def test_prints_by_hand():
     banded = np.sort(imatch._terms(pa.array(["alpha beta gamma"]))[0])
     a, b, c, blank = imatch.prints(pa.array(["alpha beta gamma zzz", "Gamma beta alpha beta", "alpha beta", " "]), banded)
