@@ -14,11 +14,12 @@ shares are near each other, most subsets take the same kind of terms.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.session import materialize
@@ -153,7 +154,7 @@ _RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpr
 
 
 def _edits(shared):
-    """Rows of a bucket come in order, the first document of the next bucket last; each meets the document after it."""
+    """Rows of a cell come with the largest id first, before them the document after the cell; each meets the one after it."""
 
     def finish(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
         banded = shared.value
@@ -183,24 +184,18 @@ def _edits(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple[int | None, str, str]] = []
-        waiting: list[tuple[int | None, str]] = []
-        size, current, bucket, met = 0, None, None, False
-        for batch in batches:
-            for b, halo, sort_id, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "halo", "sort_id", "doc_id", "text"))):
-                if b != bucket:
-                    bucket, current, met = b, None, False
-                if halo:
-                    if met:
+        size, current, smallest, following = 0, None, "", ""
+        for whole in batches:
+            for batch in T.slices(whole):
+                for halo, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("halo", "doc_id", "text"))):
+                    if halo:
+                        current, smallest = _HALO, text
                         continue
-                    met = True
-                if waiting and (halo or sort_id != current):
-                    done += [(i, t, text) for i, t in waiting]
-                    waiting = []
-                if not halo:
-                    waiting.append((doc_id, text))
-                    current = sort_id
+                    if current is _HALO or doc_id != current:
+                        following, smallest, current = smallest, text, doc_id
+                    done.append((doc_id, text, following))
                     size += len(text)
-                    if size > _PIECE and done:
+                    if size > _PIECE:
                         yield finish(done)
                         done, size = [], 0
         if done:
@@ -209,27 +204,79 @@ def _edits(shared):
     return run
 
 
+_HALO = object()
+
+
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest text of a task for each cell."""
+    least: dict[int, str] = {}
+    for whole in batches:
+        for batch in T.slices(whole):
+            for cell, text in zip(batch.column("cell").to_pylist(), batch.column("text").to_pylist()):
+                if cell not in least or text < least[cell]:
+                    least[cell] = text
+    if least:
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.string())], ["cell", "text"])
+
+
+def _bounds(docs: DataFrame) -> tuple[list[int], list[int]]:
+    """Where ranges of ids begin, and over how many cells each is dealt; the last range is that of the null ids.
+
+    Ranges are cut by the number of rows. An id with the rows of several ranges is a range of its own, and only such a
+    range, in which all rows have the same next document, is dealt over several cells.
+    """
+    n = docs.agg(F.count("doc_id").alias("ids"), F.count("*").alias("rows")).first()
+    cells = max(1, n["ids"] // _BUCKET)
+    cut = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(cells)], 10 * max(1000, cells)).alias("at")).first()["at"] or []
+    often = Counter(cut)
+    first = {i: 1 for i in cut}
+    for i, times in often.items():
+        if times > 1:
+            first[i] = times
+            if i < (1 << 63) - 1:
+                first.setdefault(i + 1, 1)
+    starts = sorted(first)
+    return starts, [1, *(first[i] for i in starts), max(1, (n["rows"] - n["ids"]) // _BUCKET)]
+
+
 def edited_prints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter gives way to the start of the next document.
 
     The next document is that with the next larger ``doc_id``, after the last the first; of rows with that id the one with
     the smallest text. Rows with equal ids have the same next document, rows with a null id stand together after the
-    last. Null texts are empty. Texts move once: to their range of ids, with the first document of each range also to
-    the range before.
+    last. Null texts are empty. Texts move once, to a cell of their range of ids, in which they come with the largest id
+    first: the next document is then known before a row is read. The document after a cell comes as one row before it.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon(docs))
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, high = ends["low"] or 0, ends["high"] or 0
-    width = max(1, -(-(high - low + 2) // max(1, ends["n"] // _BUCKET)))
-    sort_id = F.coalesce(F.col("doc_id"), F.lit(high + 1))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), sort_id.alias("sort_id"))
-    rows = rows.withColumn("bucket", F.floor((F.col("sort_id") - low) / width).cast("long"))
-    # a row for each range of ids: at most one for 4,096 documents and one more
-    first = rows.groupBy("bucket").agg(F.min("sort_id").alias("first_id"))
-    last = first.agg(F.max("bucket")).first()[0]
-    before = materialize(first.select("first_id", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.lit(last)).alias("to")))
-    halo = rows.join(narrow(before), F.col("sort_id") == F.col("first_id")).select("doc_id", "text", "sort_id", F.col("to").alias("bucket"), F.lit(True).alias("halo"))
-    spread = rows.withColumn("halo", F.lit(False)).select("doc_id", "text", "sort_id", "bucket", "halo").unionByName(halo)
-    ordered = spread.repartition("bucket").sortWithinPartitions("bucket", "halo", "sort_id", "text")
+    starts, salts = _bounds(docs)
+    edges, cells = np.array(starts, np.int64), np.array(salts, np.int64)
+    offset = np.concatenate(([0], np.cumsum(cells)))
+    null_range = len(cells) - 1
+
+    @F.arrow_udf("long")
+    def range_of(ids: pa.Array) -> pa.Array:
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(edges, known, "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), null_range, at))
+
+    @F.arrow_udf("long")
+    def cell_of(ranges: pa.Array, row: pa.Array) -> pa.Array:
+        k = ranges.to_numpy(zero_copy_only=False)
+        return pa.array(offset[k] + row.to_numpy(zero_copy_only=False) % cells[k])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("range", range_of("doc_id"))
+    # a row for each range: at most two for 4,096 documents and two more
+    begin = {r["range"]: r["first_id"] for r in rows.groupBy("range").agg(F.min("doc_id").alias("first_id")).collect()}
+    order = sorted(begin)
+    opens = [(k, begin[k], order[i - 1]) for i, k in enumerate(order)]
+    first = materialize(spark.createDataFrame(opens, "range long, first_id long, before long"))
+    found = rows.join(narrow(first.withColumnRenamed("range", "_range")), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    least = found.select(F.col("before").alias("cell"), "text").mapInArrow(_least, "cell long, text string").groupBy("cell").agg(F.min("text").alias("text"))
+    dealt = spark.createDataFrame([(k, int(offset[k]), int(offset[k + 1]) - 1) for k in order], "range long, low long, high long")
+    halo = least.join(F.broadcast(dealt), F.col("cell") == F.col("range")).select(
+        F.explode(F.sequence("low", "high")).alias("cell"), F.lit(True).alias("halo"), F.lit(None).cast("long").alias("doc_id"), "text"
+    )
+    spread = rows.withColumn("cell", cell_of("range", F.monotonically_increasing_id())).select("cell", F.lit(False).alias("halo"), "doc_id", "text")
+    ordered = spread.unionByName(halo).repartition("cell").sortWithinPartitions("cell", F.desc("halo"), F.desc("doc_id"), "text")
     return ordered.mapInArrow(_edits(shared), _RESULT_SQL)

@@ -69,6 +69,19 @@ def test_edited_prints_of_few_rows_and_null_ids(spark):
     assert imatch.edited_prints(frame(spark, [])).count() == 0
 
 
+def test_ids_are_cut_by_rows_and_equal_ids_dealt(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "_BUCKET", 20)
+    ids = [*range(200), 9 * 10**18, (1 << 63) - 1, -(1 << 63), *[77] * 150, *[None] * 170]
+    rows = [(i, f"text {k % 90} of {i} and more words", "en", "a", 1) for k, i in enumerate(ids)]
+    starts, salts = imatch._bounds(frame(spark, rows))
+    assert len(starts) > 8 and salts[1 + starts.index(77)] > 4 and salts[-1] > 4
+    low = {i: min(r[1] for r in rows if r[0] == i) for i in set(ids)}
+    order = [*sorted(i for i in low if i is not None), None]
+    after = {a: low[b] for a, b in zip(order, order[1:] + order[:1])}
+    want = sorted((str(r[0]), hashlib.sha256((r[1][: len(r[1]) - len(r[1]) // 4] + after[r[0]][: len(r[1]) // 4]).encode()).hexdigest()) for r in rows)
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in imatch.edited_prints(frame(spark, rows).repartition(5)).collect()) == want
+
+
 def test_texts_without_the_lexicon_keep_their_likeness():
     rng = np.random.default_rng(4)
     known = [f"w{i}" for i in range(2000)]
