@@ -91,15 +91,15 @@ def include_columns(df: DataFrame, active: Mapping[str, bool]) -> DataFrame:
 def suggest_mappings(source_columns: DataFrame, properties: DataFrame, min_score: float = 0.7) -> DataFrame:
     """Best property for every source column by Jaro-Winkler of the names (ties by property name), where one reaches ``min_score``.
 
-    Names are compared without case and signs, and only where they share three letters in a row.
+    Names are compared without case and signs, and only where they share a letter: others score 0.
     """
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
     left = source_columns.select("source_column", plain(F.col("source_column")).alias("name"))
     right = properties.select("property", plain(F.col("property")).alias("name"))
-    thirds = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
-    one = left.select("name").distinct().select(F.col("name").alias("name_a"), F.explode(thirds(F.col("name"))).alias("third"))
-    two = right.select("name").distinct().select(F.col("name").alias("name_b"), F.explode(thirds(F.col("name"))).alias("third"))
-    both = one.join(two, "third").select("name_a", "name_b").distinct()
+    letters = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.lit(1))))
+    one = left.select("name").distinct().select(F.col("name").alias("name_a"), F.explode(letters(F.col("name"))).alias("letter"))
+    two = right.select("name").distinct().select(F.col("name").alias("name_b"), F.explode(letters(F.col("name"))).alias("letter"))
+    both = one.join(two, "letter").select("name_a", "name_b").distinct()
     scored = (
         both.join(left.withColumnRenamed("name", "name_a"), "name_a")
         .join(right.withColumnRenamed("name", "name_b"), "name_b")

@@ -130,3 +130,10 @@ def test_rules_run_by_priority(spark):
         {"rule_type": "LOWERCASE", "column_name": "v", "priority": 5, "enabled": False},
     ]
     assert sorted((r["id"], r["v"]) for r in cleaning.apply_rules(df, rules).collect()) == [("1", "AB"), ("2", "none")]
+
+
+def test_short_names_are_suggested(spark):
+    columns = spark.createDataFrame([("ids",), ("qnty",), ("zz",)], "source_column string")
+    properties = spark.createDataFrame([("id",), ("qty",)], "property string")
+    got = {r["source_column"]: r["property"] for r in mapping.suggest_mappings(columns, properties).collect()}
+    assert got == {"ids": "id", "qnty": "qty"}
