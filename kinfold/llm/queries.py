@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables; the columns are those of the contracts."""
+"""The operators over their whole tables; the columns are those of the contracts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
+from .chat_format import format_conversations, read_back
 from .imatch import edited_prints
 from .language import language
 from .language import train as train_languages
@@ -17,6 +19,7 @@ from .pieces import read_model, round_trip
 from .quality import quality
 from .quality import train as train_quality
 from .registry import register, table
+from .spelling import spelling_groups, word_counts
 from .toxicity import held_out, toxicity, train
 from .warc import archive_round_trip
 
@@ -121,3 +124,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_languages(docs)
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(spark, F.col("text"), model).alias("l"))
     return found.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), "l.score")
+
+
+@register("op11_chat_format")
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says the template's own marks, formatted and read back."""
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers over whole texts, read against corpus-wide counts."""
+    found, _ = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKENIZER)
+    return found
+
+
+@register("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of whole texts, a letter taken out of some, grouped with their more frequent spellings."""
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents"), every=97))
