@@ -67,19 +67,19 @@ PASSES = {"dob": _born, "email": _mail, "name": lambda c: c}
 
 def candidate_pairs(
     profs: DataFrame, attributes: Sequence[str], group: Sequence[str] = ("tenant_id", "block_key"), rows_per_tile: int = ROWS_PER_TILE,
-    passes: Mapping[str, Callable[[Column], Column]] | None = None,
+    passes: Mapping[str, Callable[[Column], Column]] | None = None, where: Column | None = None,
 ) -> DataFrame:
     """All pairs of profiles of a block, ``id_a < id_b``, compared columns as ``_a`` / ``_b``.
 
     ``n_records_a * n_records_b`` record pairs stand behind a row. A block may hold any number of profiles; a large one
     is spread over tiles. With ``passes`` only profiles that share one are compared, and all other pairs of the block
-    count as non-matches (``block_statistics``) unseen. ``profs`` is read several times: give a frame from
-    ``stored_profiles``.
+    count as non-matches (``block_statistics``) unseen; ``where`` is a condition on a pair, checked inside the join.
+    ``profs`` is read several times: give a frame from ``stored_profiles``.
     """
     present = [c for c in attributes if c in profs.columns]
     keys = [F.lit("all")] if passes is None else [key(F.col(c)) for c, key in passes.items() if c in present]
     carry = [c for c in profs.columns if c not in (*group, "profile_id")]
-    pairs = pass_pairs(profs, group, "profile_id", keys, carry, rows_per_tile).withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
+    pairs = pass_pairs(profs, group, "profile_id", keys, carry, rows_per_tile, where).withColumnsRenamed({"profile_id_a": "id_a", "profile_id_b": "id_b"})
     return pairs.withColumn("record_pairs", F.col("n_records_a") * F.col("n_records_b"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaro_winkler_normalized, levenshtein_similarity_normalized, normalize
+from .bounds import jaro_winkler_bound, levenshtein_bound, marks, mean_bound
 from .pairing import JARO_WINKLER, LEVENSHTEIN
 
 # Default attribute weights, the attributes compared by edit distance, and the decision thresholds.
@@ -52,6 +53,27 @@ def score_pairs(pairs: DataFrame, weights: Mapping[str, float] | None = None) ->
     ).drop(*raw)
 
 
+def with_marks(profs: DataFrame, weights: Mapping[str, float]) -> DataFrame:
+    """Add the letter marks ``_m_<attribute>`` that ``may_reach`` reads; null for an absent value."""
+    return profs.withColumns({f"_m_{k}": marks(normalize(F.col(k))) for k in weights if k in profs.columns})
+
+
+def may_reach(columns: Sequence[str], weights: Mapping[str, float], least: float) -> Column:
+    """Whether a pair's confidence can reach ``least``, from the letters of both sides alone.
+
+    A condition on pairs of rows of ``with_marks``, whose columns are ``columns``. It never excludes a pair that reaches
+    the score, and needs native functions only. A value present on one side only scores 0, as in ``score_pairs``.
+    """
+    bounds = []
+    for k, weight in weights.items():
+        if k not in columns:
+            continue
+        a, b, x, y = (F.col(f"{p}{k}{s}") for p in ("_m_", "") for s in ("_a", "_b"))
+        exact = levenshtein_bound(a, b) if similarity_method(k) == LEVENSHTEIN else jaro_winkler_bound(a, b, normalize(x), normalize(y))
+        bounds.append((weight, a.isNotNull() | b.isNotNull(), exact))
+    return mean_bound(bounds) >= least - 1e-4  # scores are rounded to four places
+
+
 def decision(score: Column, match: float = MATCH, review: float = REVIEW) -> Column:
     return F.when(score >= F.lit(match), F.lit("match")).when(score >= F.lit(review), F.lit("review")).otherwise(F.lit("non_match"))
 

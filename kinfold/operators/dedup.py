@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, jaro_winkler_raw, metaphone, normalize
 from ..session import materialize
+from .bounds import jaro_winkler_candidates
 from .pairing import ROWS_PER_TILE, pass_pairs
 
 
@@ -33,9 +34,10 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
                     passes: Callable[[Column], list[Column]] | None = None, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
     """First id of each (block, text) that no earlier similar text in the block removes.
 
-    A row goes when any earlier row of its block is similar, even one that goes itself; all distinct texts of a block
-    are compared, or with ``passes`` those that share one. With the smallest id of every distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first
-    of its text and no similar text has an earlier first row.
+    A row goes when any earlier row of its block is similar, even one that goes itself. With the smallest id of every
+    distinct text at hand this needs no pairing of rows: a row stays exactly when it is the first of its text and no
+    similar text has an earlier first row. No pair of texts above the threshold is lost, and only pairs that have letters
+    enough in common are compared; with ``passes``, only those that share one.
     """
     firsts = (
         df.filter(~is_blank(F.col(text_col)))
@@ -43,13 +45,13 @@ def fuzzy_survivors(df: DataFrame, id_col: str = "id", block: Sequence[str] = ("
         .agg(F.min(id_col).alias("_first"))
     )
     firsts = materialize(firsts, "_first")
-    keys = [F.lit("all")] if passes is None else passes(F.col("_text"))
-    pairs = pass_pairs(firsts, list(block), "_first", keys, ["_text"], rows_per_tile)
-    later = (
-        pairs.filter(jaro_winkler_raw(F.col("_text_a"), F.col("_text_b")) >= F.lit(threshold))
-        .select(F.col("_first_b").alias("_first"))
-        .distinct()
-    )
+    if passes is None:
+        pairs = jaro_winkler_candidates(firsts, list(block), "_first", "_text", threshold, rows_per_tile)
+    else:
+        pairs = pass_pairs(firsts, list(block), "_first", passes(F.col("_text")), ["_text"], rows_per_tile).withColumnsRenamed(
+            {"_first_a": "id_a", "_first_b": "id_b", "_text_a": "text_a", "_text_b": "text_b"})
+    similar = pairs.filter(jaro_winkler_raw(F.col("text_a"), F.col("text_b")) >= F.lit(threshold))
+    later = similar.select(F.greatest("id_a", "id_b").alias("_first")).distinct()
     return firsts.join(later, "_first", "left_anti").select(F.col("_first").alias(id_col))
 
 

@@ -30,12 +30,12 @@ def tiled_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Colum
 
 
 def pass_pairs(df: DataFrame, group: Sequence[str], id_col: str, passes: Sequence[Column], carry: Sequence[str] = (),
-               rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+               rows_per_tile: int = ROWS_PER_TILE, where: Column | None = None) -> DataFrame:
     """Pairs of rows of a group that share the key of at least one pass, smaller id first, each once.
 
     A null or empty key meets no other. A pair that shares several keys is kept in the first of these passes, which both
-    rows can tell by themselves. Columns of ``carry`` come as ``_a`` and ``_b``. The same passes hold for groups of any
-    size, so the pairs follow from the values alone.
+    rows can tell by themselves. Columns of ``carry`` come as ``_a`` and ``_b``; ``where`` is a condition on them, checked
+    inside the join. The same passes hold for groups of any size, so the pairs follow from the values alone.
     """
     keys = F.array(*[F.nullif(p, F.lit("")) for p in passes])
     rows = df.select(*group, id_col, *carry, keys.alias("_keys")).select("*", F.posexplode("_keys").alias("_pass", "_key")).filter("_key IS NOT NULL")
@@ -43,5 +43,7 @@ def pass_pairs(df: DataFrame, group: Sequence[str], id_col: str, passes: Sequenc
     earlier = [(F.col("_pass") > i) & (F.col("_keys_a")[i] == F.col("_keys_b")[i]) for i in range(len(passes) - 1)]
     met = reduce(lambda a, b: a | b, [F.coalesce(e, F.lit(False)) for e in earlier], F.lit(False))
     on = (F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & ~met
+    if where is not None:
+        on = on & where
     pairs = tiled_join(side("_a"), side("_b"), [*group, "_pass", "_key"], on, f"{id_col}_a", f"{id_col}_b", rows_per_tile)
     return pairs.drop("_pass", "_key", "_keys_a", "_keys_b")

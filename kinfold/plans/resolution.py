@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.blocking import block_statistics, candidate_pairs, stored_profiles, with_block_key
 from ..operators.cluster import attach_profile_clusters, connected_components
-from ..operators.compare import DEFAULT_WEIGHTS, MATCH, REVIEW, decision_summary, score_pairs, with_decision
+from ..operators.compare import DEFAULT_WEIGHTS, MATCH, REVIEW, decision_summary, may_reach, score_pairs, with_decision, with_marks
 from ..operators.golden import field_provenance, golden_members, golden_records
 from ..operators.pairing import ROWS_PER_TILE
 from ..session import materialize
@@ -50,10 +50,17 @@ class Resolution:
 def linked_pairs(profs: DataFrame, spec: MatchSpec = MatchSpec(), decided: DataFrame | None = None) -> DataFrame:
     """Scored pairs of profiles that reach the review threshold, with ``decision`` and ``record_pairs``.
 
-    ``profs`` comes from ``stored_profiles``. Pairs in ``decided`` (tenant, ``id_a``, ``id_b``) were judged before and
-    are not proposed again.
+    ``profs`` comes from ``stored_profiles``. All pairs of a block are weighed by the letters they have in common, inside
+    the join; only those that may reach the threshold are scored. Pairs in ``decided`` (tenant, ``id_a``, ``id_b``) were
+    judged before and are not proposed again.
     """
-    pairs = candidate_pairs(profs, list(spec.weights), spec.group, spec.rows_per_tile, spec.passes)
+    present = [k for k in spec.weights if k in profs.columns]
+    if present:
+        marked = materialize(with_marks(profs, spec.weights), "profile_id")
+        pairs = candidate_pairs(marked, list(spec.weights), spec.group, spec.rows_per_tile, spec.passes, may_reach(profs.columns, spec.weights, spec.review))
+        pairs = pairs.drop(*[f"_m_{k}{s}" for k in present for s in ("_a", "_b")])
+    else:
+        pairs = candidate_pairs(profs, list(spec.weights), spec.group, spec.rows_per_tile, spec.passes)
     linked = score_pairs(pairs, spec.weights).filter(F.col("confidence_score") >= spec.review)
     if decided is not None:
         linked = drop_decided(linked, decided, spec.tenant)

@@ -135,21 +135,21 @@ def test_stream_equals_batch(spark, raw_batch, tmp_path):
     got = sorted(r["id"] for r in spark.read.parquet(paths.staged).collect())
     assert got == sorted(r["id"] for r in intake(raw_batch).valid.collect())
     run = spark.read.parquet(paths.runs).first()
-    assert (run["status"], run["records_input"], run["records_output"], run["records_failed"]) == ("COMPLETED", 10, 6, 1)
+    assert (run["status"], run["records_input"], run["records_output"], run["records_failed"]) == ("COMPLETED", 12, 7, 3)
     assert spark.read.parquet(paths.dead).count() == 1
 
 
 def test_replay_and_later_batches(spark, raw_batch, tmp_path):
     paths = IntakePaths(str(tmp_path / "intake"))
     handle = intake_batch(paths, FIELDS)
-    half = raw_batch.filter("id <= 'row-05'")
+    half = raw_batch.filter("id <= 'm05'")
     handle(envelopes(half).unionByName(signal(spark)), 0)
     handle(envelopes(half).unionByName(signal(spark)), 0)
     assert spark.read.parquet(paths.raw).count() == 5 and spark.read.parquet(paths.runs).count() == 1
-    handle(envelopes(raw_batch.filter("id > 'row-05'")), 1)
+    handle(envelopes(raw_batch.filter("id > 'm05'")), 1)
     handle(signal(spark), 2)
     runs = {r["stream_batch"]: r["records_input"] for r in spark.read.parquet(paths.runs).collect()}
-    assert runs == {0: 5, 2: 5}
+    assert runs == {0: 5, 2: 7}
 
 
 def test_failed_run_goes_to_the_dead_letters(spark, raw_batch, tmp_path, monkeypatch):
@@ -158,9 +158,9 @@ def test_failed_run_goes_to_the_dead_letters(spark, raw_batch, tmp_path, monkeyp
     handle = intake_batch(paths, ["id", "email"])
     handle(envelopes(raw_batch).unionByName(signal(spark)), 0)  # no name: cleaning cannot run
     run = spark.read.parquet(paths.runs).first()
-    assert (run["status"], run["records_input"], run["records_failed"]) == ("FAILED", 10, 10) and run["error_message"]
+    assert (run["status"], run["records_input"], run["records_failed"]) == ("FAILED", 12, 12) and run["error_message"]
     lost = spark.read.parquet(paths.failed).collect()
-    assert sorted(json.loads(r["raw_value"])["id"] for r in lost) == [f"row-{i:02d}" for i in range(1, 11)]
+    assert sorted(json.loads(r["raw_value"])["id"] for r in lost) == [f"m{i:02d}" for i in range(1, 13)]
     assert {r["reason"] for r in lost} == {run["error_message"]}
     handle(signal(spark), 1)
     assert spark.read.schema(ingest.STAGED_SCHEMA).parquet(paths.staged).count() == 0
@@ -185,11 +185,11 @@ def test_partial_failure_repeats_no_row(spark, raw_batch, tmp_path, monkeypatch)
     paths = IntakePaths(str(tmp_path / "second"))
     broken[0] = 99
     intake_batch(paths, FIELDS)(envelopes(raw_batch).unionByName(signal(spark)), 0)
-    assert spark.read.parquet(paths.runs).first()["status"] == "FAILED" and spark.read.parquet(paths.failed).count() == 10
+    assert spark.read.parquet(paths.runs).first()["status"] == "FAILED" and spark.read.parquet(paths.failed).count() == 12
     assert spark.read.schema(ingest.STAGED_SCHEMA).parquet(paths.staged).count() == 0
     broken[0] = 0
-    intake_batch(paths, FIELDS)(envelopes(raw_batch.filter("id < 'row-03'")).unionByName(signal(spark)), 1)
-    assert sorted(r["id"] for r in spark.read.parquet(paths.staged).collect()) == ["row-01"]
+    intake_batch(paths, FIELDS)(envelopes(raw_batch.filter("id IN ('m04', 'm05')")).unionByName(signal(spark)), 1)
+    assert sorted(r["id"] for r in spark.read.parquet(paths.staged).collect()) == ["m04"]
 
 
 def test_repeats_and_rollup(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.functions import jaro
 from kinfold.functions.text import jaro_winkler, levenshtein_distance, levenshtein_similarity, metaphone
 from kinfold.operators import blocking, cluster, compare, golden, pairing
-from kinfold.operators.dedup import dedup_exact, dedup_fuzzy
+from kinfold.operators.dedup import dedup_exact, dedup_fuzzy, name_passes
 from kinfold.plans.resolution import MatchSpec, decision_counts, drop_decided, linked_pairs, resolve
 from kinfold.session import materialize
 
@@ -55,15 +55,29 @@ def test_batches_follow_the_definition(a, b):
     assert got == pytest.approx([1.0 if a == b else plain_jaro_winkler(a, b), 1.0, 0.0])
 
 
-def test_block_keys(spark):
-    rows = [
-        (0, "Meier", "DE", "Person"), (1, "Maier", "DE", "Person"), (2, "\tLena Vogt ", " de", "person  "), (3, "Lena Vogt", "DE", "Person"), (4, None, "PL", "Firm"),
-        (5, " \t ", "PL", "Firm"), (6, "D'Arcy-Lane.", "FR", "Person"), (7, "DArcyLane", "FR", "Person"), (8, "4711", "DE", "Person"), (9, "Lena", None, None),
-    ]
-    df = spark.createDataFrame(rows, "id int, name string, country string, entity_type string")
-    keys = [r["block_key"] for r in blocking.with_block_key(df).orderBy("id").collect()]
-    assert keys[0] == keys[1] and keys[2] == keys[3] and keys[4] == keys[5] == "EMPTY_PL_Firm" and keys[6] == keys[7]
-    assert keys[8] == "EMPTY_DE_Person" and keys[9].endswith("_GLOBAL_DEFAULT") and keys[3].endswith("_DE_Person")
+def test_block_keys_follow_from_the_letters_of_a_name(spark):
+    """Case, blanks and signs around and inside a name change no key; the country and the type always do."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(120):
+        name = " ".join("".join(rng.choice("abdeiklmnoprstu") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(1, 2)))
+        noisy = "".join(rng.choice((c, c.upper())) + rng.choice(("", "", "-", "'", "7")) for c in name)
+        rows.append((i, rng.choice(["", "  ", "\t"]) + noisy + rng.choice(["", " ", "\n"]), name, rng.choice(["se", "it"]), rng.choice(["person", "org unit"])))
+    df = spark.createDataFrame(rows, "i int, noisy string, plain string, land string, kind string")
+    of = lambda n, c, t: blocking.block_key(F.col(n), c, t)
+    land, kind, none = F.col("land"), F.col("kind"), F.lit(None).cast("string")
+    keys = df.select(
+        of("plain", land, kind).alias("a"), of("noisy", F.concat(F.lit(" "), F.upper(land)), F.concat(F.upper(kind), F.lit(" "))).alias("b"),
+        of("plain", F.lit("xx"), kind).alias("c"), of("plain", none, F.lit(" ")).alias("d"), metaphone(F.col("plain")).alias("code"), "land", "kind").collect()
+    assert len({r.a for r in keys}) > 60
+    for r in keys:
+        assert r.a == r.b == f"{r.code}_{r.land.upper()}_{r.kind.title()}" and r.a != r.c and r.d == f"{r.code}_GLOBAL_DEFAULT"
+
+
+def test_names_without_letters_share_the_empty_block(spark):
+    rows = [(n,) for n in (None, "", "\t \n", "0", "42-17", "...", "日本")]
+    keys = spark.createDataFrame(rows, "n string").select(blocking.block_key(F.col("n"), F.lit("jp"), F.lit("thing")).alias("k")).distinct().collect()
+    assert [r.k for r in keys] == ["EMPTY_JP_Thing"]
 
 
 def test_phonetic_codes(spark):
@@ -76,14 +90,16 @@ def test_phonetic_codes(spark):
     assert {a for a, _ in alike} - {"Thilo"} <= same and not {a for a, _ in apart} & same, found
 
 
-def test_blocking_reduction_counts_pairs_of_blocks(spark):
-    df = spark.range(60).select(
-        F.lit("t").alias("tenant_id"), F.format_string("p%02d", "id").alias("id"), F.concat(F.lit("Gruppe"), F.col("id") % 6).alias("name"), F.concat(F.lit("L"), F.col("id") % 6).alias("country")
-    )
-    row = blocking.blocking_reduction(blocking.with_block_key(df)).first()
-    assert row["pairs"] == 6 * 45 and row["reduction_ratio"] == pytest.approx(1 - 270 / 1770)
-    edge = spark.createDataFrame([(0, 0), (1, 0), (10, 0)], "n bigint, p bigint").select(blocking.reduction_ratio(F.col("n"), F.col("p"))).collect()
-    assert [r[0] for r in edge] == [1.0, 1.0, 1.0]
+def test_blocking_reduction_is_one_minus_pairs_within_blocks(spark):
+    rng = random.Random(32)
+    rows = [(rng.choice("tuv"), str(i), rng.choice("abcdefgh")) for i in range(130)] + [("lone", "x", "a")]
+    found = {r["tenant_id"]: r for r in blocking.blocking_reduction(spark.createDataFrame(rows, "tenant_id string, id string, block_key string")).collect()}
+    for tenant, row in found.items():
+        own = [r for r in rows if r[0] == tenant]
+        all_pairs = list(itertools.combinations(own, 2))
+        inside = sum(a[2] == b[2] for a, b in all_pairs)
+        assert (row["records"], row["pairs"]) == (len(own), inside)
+        assert row["reduction_ratio"] == pytest.approx(1 - inside / len(all_pairs) if all_pairs else 1.0)
 
 
 def test_pair_scores(spark):
@@ -94,13 +110,17 @@ def test_pair_scores(spark):
     assert scores[1] < 0.6 and scores[2] == 0.0 and scores[3] == pytest.approx(0.5 / 0.7, abs=1e-4)
 
 
-def test_decisions(spark):
-    df = spark.createDataFrame([(s,) for s in (0.95, 0.90, 0.89, 0.70, 0.69, 0.10)], "confidence_score double")
-    assert [r["decision"] for r in compare.with_decision(df).collect()] == ["match", "match", "review", "review", "non_match", "non_match"]
-    assert [d.count() for d in compare.classify_pairs(df, match=0.8, review=0.5)] == [3, 2, 1]
-    assert [d.count() for d in compare.classify_pairs(df.limit(0))] == [0, 0, 0]
+def test_decisions_change_at_the_bounds(spark):
+    for match, review in ((compare.MATCH, compare.REVIEW), (0.5, 0.25), (1.0, 0.0)):
+        scores = [0.0, 1.0, match, review, match - 1e-4, match + 1e-4, review - 1e-4, review + 1e-4, (match + review) / 2]
+        df = spark.createDataFrame([(s,) for s in scores], "confidence_score double")
+        parts = dict(zip(("match", "review", "non_match"), compare.classify_pairs(df, match=match, review=review)))
+        for r in compare.with_decision(df, match=match, review=review).collect():
+            assert r["decision"] == ("match" if r["confidence_score"] >= match else "review" if r["confidence_score"] >= review else "non_match")
+        assert sorted(r[0] for d in parts.values() for r in d.collect()) == sorted(scores)
+        assert all(d.filter(F.col("decision") != name).isEmpty() for name, d in parts.items())
     with pytest.raises(ValueError):
-        compare.classify_pairs(df.withColumnRenamed("confidence_score", "other"))
+        compare.classify_pairs(spark.createDataFrame([(1.0,)], "other double"))
 
 
 def _components(edges):
@@ -159,7 +179,7 @@ def test_passes_pair_what_shares_a_key_whatever_the_tiles(spark):
     assert found.columns == ["g", "id_a", "one_a", "id_b", "one_b"]
 
 
-def test_fuzzy_dedup_follows_the_rule_whatever_the_tiles(spark):
+def test_fuzzy_dedup_by_passes_whatever_the_tiles(spark):
     firsts, lasts = _names(12, 9), _names(20, 5)
     random.seed(2)
     rows = [(f"{i:04d}", f"{random.choice(firsts)} {random.choice(lasts)}", random.choice("AB")) for i in range(300)]
@@ -171,7 +191,7 @@ def test_fuzzy_dedup_follows_the_rule_whatever_the_tiles(spark):
     }
     df = spark.createDataFrame([*rows, ("9998", "", "A"), ("9999", None, "A")], "id string, name string, country string")
     for rows_per_tile in (4, 2048):
-        kept = {r["id"] for r in dedup_fuzzy(df, rows_per_tile=rows_per_tile).collect()}
+        kept = {r["id"] for r in dedup_fuzzy(df, passes=name_passes, rows_per_tile=rows_per_tile).collect()}
         assert kept == {r[0] for r in rows} - dropped | {"9998", "9999"}
 
 

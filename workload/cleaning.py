@@ -14,7 +14,7 @@ from kinfold.plans.intake import intake
 
 from . import views as v
 from .registry import register
-from .views import SQL_CODE, CLEANED, DUCK, PARTY, cleaned, load, party, sql_amount, sql_currency, sql_date, sql_title
+from .views import CLEANED, DUCK, PARTY, cleaned, load, party, sql_amount, sql_currency, sql_date, sql_title
 
 TEXT = ["name", "email", "country", "entity_type", "dob", "joined_at", "salary"]
 
@@ -100,10 +100,9 @@ def c10(spark, folder):
 # ---------------------------------------------------------------- de-duplication and validation
 
 EXACT = f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, email ORDER BY id) AS r FROM ({CLEANED})) WHERE r = 1"
-_LAST = "substr(trim(lower(name)), 1, 1) || ' ' || split_part(trim(lower(name)), ' ', -1)"
-FUZZY = f"""WITH x AS ({EXACT}), y AS (SELECT id, tenant_id, country, name, {SQL_CODE} AS code, {_LAST} AS tail FROM x WHERE name <> '')
+FUZZY = f"""WITH x AS ({EXACT}), y AS (SELECT id, tenant_id, country, name FROM x WHERE name <> '')
 SELECT * FROM x WHERE id NOT IN (SELECT b.id FROM y a JOIN y b ON a.tenant_id = b.tenant_id AND a.country = b.country AND a.id < b.id
-AND (a.code = b.code OR a.tail = b.tail) AND jaro_winkler_similarity(a.name, b.name) >= 0.85)"""
+AND jaro_winkler_similarity(a.name, b.name) >= 0.85)"""
 
 
 @register("X1_dedup_exact", f"SELECT id, email FROM ({EXACT})")

@@ -15,7 +15,7 @@ from kinfold.streaming.rollup import streaming_timeseries
 from . import views as v
 from .cleaning import FUZZY
 from .registry import register
-from .views import SQL_CODE, CLEANED, DUCK, PARTY, cleaned, load, party, table
+from .views import CLEANED, DUCK, PARTY, cleaned, load, party, table
 
 AT = "2026-01-01 00:00:00"
 TEXT = ["id", "name", "email", "country", "entity_type", "dob", "joined_at", "salary"]
@@ -228,9 +228,9 @@ def _run_intake(spark, folder):
 
 
 _PER_SOURCE = f"""x AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, source_id, email ORDER BY id) AS r FROM ({CLEANED})) WHERE r = 1),
-y AS (SELECT *, {SQL_CODE} AS code, substr(trim(lower(name)), 1, 1) || ' ' || split_part(trim(lower(name)), ' ', -1) AS tail FROM x WHERE name <> ''),
+y AS (SELECT * FROM x WHERE name <> ''),
 kept AS (SELECT * FROM x WHERE id NOT IN (SELECT b.id FROM y a JOIN y b ON a.tenant_id = b.tenant_id AND a.source_id = b.source_id AND a.country = b.country AND a.id < b.id
-AND (a.code = b.code OR a.tail = b.tail) AND jaro_winkler_similarity(a.name, b.name) >= 0.85)),
+AND jaro_winkler_similarity(a.name, b.name) >= 0.85)),
 judged AS (SELECT *, name <> '' AND contains(email, '@') AS ok FROM kept)"""
 
 

@@ -32,11 +32,9 @@ def pairs(spark, folder):
     return blocking.candidate_pairs(profiles(spark, folder), ATTRIBUTES)
 
 
-# every record pair that shares a block and a pass, built one by one: the twin does not know about profiles
+# every record pair that shares a block, built one by one: the twin does not know about profiles
 _PLAIN = "nullif(lower(trim(name)), '') AS nm, nullif(lower(trim(dob)), '') AS db, nullif(lower(trim(email)), '') AS em"
-_KEYS = "substr(db, 1, 9) AS k1, nullif(substr(split_part(em, '@', 1), 1, 8), '') AS k2, nm AS k3"
-_MET = "(a.k1 = b.k1 OR a.k2 = b.k2 OR a.k3 = b.k3)"
-REC = f"""rec AS (SELECT *, {_KEYS}, min(id) OVER (PARTITION BY tenant_id, block_key, nm, db, em) AS pid FROM (SELECT *, {_PLAIN} FROM ({KEYED})))"""
+REC = f"""rec AS (SELECT *, min(id) OVER (PARTITION BY tenant_id, block_key, nm, db, em) AS pid FROM (SELECT *, {_PLAIN} FROM ({KEYED})))"""
 _JW = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 ELSE jaro_winkler_similarity({a}, {b}) END"
 _LEV = "CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 ELSE 1.0 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
 S_NAME, S_DOB, S_EMAIL = _JW.format(a="a.nm", b="b.nm"), _LEV.format(a="a.db", b="b.db"), _JW.format(a="a.em", b="b.em")
@@ -53,7 +51,7 @@ SCORED = f"""{REC}, scored AS (SELECT *, {_mean((0.5, "s_name", "has_name"), (0.
   SELECT a.tenant_id AS tenant_id, a.block_key AS block_key, a.id AS id_a, b.id AS id_b, a.pid AS pid_a, b.pid AS pid_b,
     {S_NAME} AS s_name, {S_DOB} AS s_dob, {S_EMAIL} AS s_email, coalesce(a.nm, b.nm) IS NOT NULL AS has_name, coalesce(a.db, b.db) IS NOT NULL AS has_dob,
     coalesce(a.em, b.em) IS NOT NULL AS has_email
-  FROM rec a JOIN rec b ON a.tenant_id = b.tenant_id AND a.block_key = b.block_key AND a.id < b.id AND {_MET})),
+  FROM rec a JOIN rec b ON a.tenant_id = b.tenant_id AND a.block_key = b.block_key AND a.id < b.id)),
 decided AS (SELECT *, CASE WHEN score >= 0.9 THEN 'match' WHEN score >= 0.7 THEN 'review' ELSE 'non_match' END AS decision FROM scored),
 profile_pairs AS (SELECT tenant_id, least(pid_a, pid_b) AS id_a, greatest(pid_a, pid_b) AS id_b, any_value(s_name) AS s_name, any_value(s_dob) AS s_dob,
   any_value(s_email) AS s_email, any_value(has_name) AS has_name, any_value(has_email) AS has_email, any_value(score) AS score, any_value(decision) AS decision,
@@ -219,12 +217,11 @@ def _coarse(spark, folder):
 
 @register(
     "E7_linked_pairs_large_blocks",
-    f"""WITH r AS (SELECT *, {_KEYS.replace("substr(db, 1, 9)", "NULL")} FROM (SELECT tenant_id, country, nm, em, NULL AS db, min(id) AS id, count(*) AS n
-      FROM (SELECT *, {_PLAIN} FROM ({CLEANED})) GROUP BY 1, 2, 3, 4))
+    f"""WITH r AS (SELECT tenant_id, country, nm, em, min(id) AS id, count(*) AS n FROM (SELECT *, {_PLAIN} FROM ({CLEANED})) GROUP BY 1, 2, 3, 4)
     SELECT tenant_id, id_a, id_b, record_pairs, {_mean((0.5, "s_name", "has_name"), (0.5, "s_email", "has_email"))} AS confidence_score FROM (
     SELECT a.tenant_id, a.id AS id_a, b.id AS id_b, a.n * b.n AS record_pairs, {S_NAME} AS s_name, {S_EMAIL} AS s_email,
       coalesce(a.nm, b.nm) IS NOT NULL AS has_name, coalesce(a.em, b.em) IS NOT NULL AS has_email
-    FROM r a JOIN r b ON a.tenant_id = b.tenant_id AND a.country = b.country AND a.id < b.id AND (a.k2 = b.k2 OR a.k3 = b.k3)) WHERE confidence_score >= 0.7""",
+    FROM r a JOIN r b ON a.tenant_id = b.tenant_id AND a.country = b.country AND a.id < b.id) WHERE confidence_score >= 0.7""",
 )
 def linked_large(spark, folder):
     return linked_pairs(_coarse(spark, folder), COARSE).select("tenant_id", "id_a", "id_b", "record_pairs", "confidence_score")
