@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import parse_date
 from ..functions.text import jaro_winkler, normalize, strip
+from ..session import materialize
+from .bounds import jaro_winkler_candidates
 
 # Types a property can have and the Spark type a cast to it gives.
 PROPERTY_TYPES = {
@@ -88,25 +90,45 @@ def include_columns(df: DataFrame, active: Mapping[str, bool]) -> DataFrame:
     return df.select(*[c for c in df.columns if active.get(c, True)])
 
 
+def _scored_names(source_columns: DataFrame, properties: DataFrame, min_score: float) -> DataFrame:
+    """``(source_column, property, score)`` of all pairs that reach ``min_score``, found by the letters names share."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
+    left = materialize(source_columns.select("source_column", plain(F.col("source_column")).alias("name")).filter("name <> ''"))
+    right = materialize(properties.select("property", plain(F.col("property")).alias("name")).filter("name <> ''"))
+    names = materialize(left.select("name").unionByName(right.select("name")).distinct())
+    pairs = jaro_winkler_candidates(names, [], "name", "name", min_score - 5e-5).select("id_a", "id_b").distinct()
+    score = F.round(jaro_winkler(F.col("name_a"), F.col("name_b")), 4)
+    both = pairs.toDF("name_a", "name_b").unionByName(pairs.toDF("name_b", "name_a")).unionByName(names.select(F.col("name").alias("name_a"), F.col("name").alias("name_b")))
+    met = both.join(left.select("name").distinct().toDF("name_a"), "name_a", "left_semi").join(right.select("name").distinct().toDF("name_b"), "name_b", "left_semi")
+    scored = met.withColumn("score", score).filter(F.col("score") >= min_score)
+    return scored.join(left.withColumnRenamed("name", "name_a"), "name_a").join(right.withColumnRenamed("name", "name_b"), "name_b").select("source_column", "property", "score")
+
+
 def suggest_mappings(source_columns: DataFrame, properties: DataFrame, min_score: float = 0.7) -> DataFrame:
     """Best property for every source column by Jaro-Winkler of the names (ties by property name), where one reaches ``min_score``.
 
-    Names are compared without case and signs, and only where they share a letter: others score 0.
+    Names are compared without case and signs; a name without letters and digits has no suggestion. Several columns may
+    get the same property: see ``assign_mappings``.
     """
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
-    left = source_columns.select("source_column", plain(F.col("source_column")).alias("name"))
-    right = properties.select("property", plain(F.col("property")).alias("name"))
-    letters = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, F.lit(1))))
-    one = left.select("name").distinct().select(F.col("name").alias("name_a"), F.explode(letters(F.col("name"))).alias("letter"))
-    two = right.select("name").distinct().select(F.col("name").alias("name_b"), F.explode(letters(F.col("name"))).alias("letter"))
-    both = one.join(two, "letter").select("name_a", "name_b").distinct()
-    scored = (
-        both.join(left.withColumnRenamed("name", "name_a"), "name_a")
-        .join(right.withColumnRenamed("name", "name_b"), "name_b")
-        .withColumn("score", F.round(jaro_winkler(F.col("name_a"), F.col("name_b")), 4))
-        .filter(F.col("score") >= min_score)
-    )
     best = F.min(F.struct((-F.col("score")).alias("low"), "property")).alias("_b")
-    return scored.groupBy("source_column").agg(best).select(
+    return _scored_names(source_columns, properties, min_score).groupBy("source_column").agg(best).select(
         "source_column", F.col("_b.property").alias("property"), (-F.col("_b.low")).alias("score")
     )
+
+
+def assign_mappings(source_columns: DataFrame, properties: DataFrame, min_score: float = 0.7) -> DataFrame:
+    """``(source_column, property, score)``: each column and each property at most once, the best pairs first.
+
+    Equal to taking pairs by falling score, then column and property name, and skipping what is taken: in a round every
+    pair that is the best one left for its column and for its property is taken, which a pair taken earlier cannot
+    change. Rounds go on until no pair is left; repeated rows count once.
+    """
+    left = materialize(_scored_names(source_columns, properties, min_score).distinct())
+    taken = left.limit(0)
+    order = F.struct((-F.col("score")).alias("low"), "source_column", "property")
+    while not left.isEmpty():
+        picks = [left.groupBy(side).agg(F.min(order).alias("_b")).select("_b.*") for side in ("source_column", "property")]
+        both = materialize(picks[0].join(picks[1], ["low", "source_column", "property"], "left_semi").select("source_column", "property", (-F.col("low")).alias("score")))
+        taken = taken.unionByName(both)
+        left = materialize(left.join(both, "source_column", "left_anti").join(both, "property", "left_anti"))
+    return taken

@@ -79,7 +79,7 @@ def _open_rows(signals: DataFrame, paths: IntakePaths, columns: Sequence[str], b
     asked = materialize(asked.withColumn("batch_id", F.concat(F.lit("from-"), (F.col("_since") + 1).cast("string"))))
     first = asked.agg(F.min("_since")).first()[0]
     raw = _table(signals, paths.raw, _raw_schema(columns)).filter((F.col("stream_batch") <= batch) & (F.col("stream_batch") > (-1 if first is None else first)))
-    return raw.join(F.broadcast(asked), SCOPE).filter(F.col("stream_batch") > F.col("_since")).drop("_since")
+    return raw.join(asked, SCOPE).filter(F.col("stream_batch") > F.col("_since")).drop("_since")
 
 
 def _stage(piece: DataFrame, signals: DataFrame, paths: IntakePaths, batch: int) -> None:

@@ -154,3 +154,70 @@ def test_likely_duplicate_parts_may_differ_in_the_first_word(spark, tmp_path):
     near, far = round(1 - 1 / 28, 4), [round(1 - 5 / 27, 4)] * 2 + [round(1 - 6 / 28, 4)]
     got = {r["decision"]: (r["pairs"], r["avg_score"]) for r in flagship(spark, str(tmp_path)).collect()}
     assert got == {"match": (3, pytest.approx((1 + 2 * near) / 3, abs=1e-8)), "review": (3, pytest.approx(sum(far) / 3, abs=1e-8))}
+
+
+def test_stores_are_compared_by_buckets(spark):
+    """The rows are those of a full comparison, whatever the buckets; repeats, moved nulls and null ids are told apart."""
+    import random
+
+    rng = random.Random(3)
+    base = [(rng.choice(["t", "u"]), i, rng.choice([None, "a", "b"]), rng.choice([None, "a", "b"])) for i in range(300)]
+    other = [r for r in base if r[1] % 41] + [("t", 900, "a", "a")]
+    other = [(t, i, b, a) if i % 37 == 0 else (t, i, a, b) for t, i, a, b in other]
+    schema = "tenant_id string, id int, v string, w string"
+    one, two = spark.createDataFrame(base, schema).withColumn("_bucket", F.lit("clash")), spark.createDataFrame(other, schema).withColumn("_bucket", F.lit(0))
+    left, right = {r[:2]: r[2:] for r in base}, {r[:2]: r[2:] for r in other}
+    wanted = {(*k, ("two",) if k not in right else ("one",) if k not in left else (), k in left and k in right) for k in left.keys() | right.keys() if left.get(k) != right.get(k)}
+    for buckets in (1, 16, 1 << 16):
+        found = reconcile.compare_stores({"one": one, "two": two}, ["v", "w"], buckets=buckets).collect()
+        assert {(r.tenant_id, int(r.id), tuple(r.missing_in), bool(r.differs)) for r in found} == wanted
+    assert reconcile.compare_stores({"one": one, "two": one, "three": one}, ["v", "w"]).count() == 0
+    twice = one.unionByName(one.limit(1)).unionByName(one.limit(1))
+    checksums = reconcile.reconciliation_report({"one": one, "two": twice}, ["v", "w"]).first()
+    assert checksums["one_checksum"] != checksums["two_checksum"]
+    nobody = spark.createDataFrame([("t", None, "a", "a")], schema)
+    assert reconcile.compare_stores({"one": nobody, "two": nobody.limit(0)}, ["v", "w"]).count() == 1
+    assert reconcile.compare_stores({"one": nobody.limit(0), "two": nobody.limit(0)}, ["v", "w"]).count() == 0
+
+
+def plain_communities(edges, rounds):
+    from collections import defaultdict
+
+    weight = defaultdict(float)
+    for a, b, w in edges:
+        if a is not None and b is not None and w and w > 0 and a != b:
+            weight[a, b] += w
+            weight[b, a] += w
+    label = {x: x for a, b, w in edges if a is not None and b is not None and w and w > 0 for x in (a, b)}
+    for _ in range(rounds):
+        new = {}
+        for x in label:
+            sums = defaultdict(float)
+            sums[label[x]] += 1
+            for (a, b), w in weight.items():
+                if a == x:
+                    sums[label[b]] += w
+            new[x] = min(sums, key=lambda c: (-round(sums[c], 9), c))
+        if new == label:
+            break
+        label = new
+    return label
+
+
+def test_label_communities(spark):
+    import itertools
+    import random
+
+    cliques = [(a, b, 1.0) for group in ("abcd", "wxyz") for a, b in itertools.combinations(group, 2)]
+    schema = "source_entity_id string, target_entity_id string, w double"
+    df = spark.createDataFrame([*cliques, ("d", "w", 1.0)], schema)
+    assert {r.id: r.community for r in graph.label_communities(df, scope=[]).collect()} == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("wxyz", "w")}
+    rng = random.Random(4)
+    edges = [(f"{rng.randrange(40):02d}", f"{rng.randrange(40):02d}", rng.choice([1.0, 2.0, 0.5, None, 0.0])) for _ in range(90)]
+    edges += [("hub", f"{i:02d}", 0.25) for i in range(40)] + [("self", "self", 1.0), (None, "01", 1.0), ("01", None, 1.0), edges[0], edges[0]]
+    df = spark.createDataFrame(edges, schema)
+    for rounds in (1, 3, 20):
+        assert {r.id: r.community for r in graph.label_communities(df, scope=[], weight="w", rounds=rounds).collect()} == plain_communities(edges, rounds)
+    two = df.withColumn("tenant_id", F.lit("t")).unionByName(df.withColumn("tenant_id", F.lit("u")))
+    assert graph.label_communities(two, weight="w", rounds=2).count() == 2 * len(plain_communities(edges, 2))
+    assert graph.label_communities(df.limit(0), scope=[]).count() == 0

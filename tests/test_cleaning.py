@@ -140,3 +140,28 @@ def test_short_names_are_suggested(spark):
     properties = spark.createDataFrame([("id",), ("qty",)], "property string")
     got = {r["source_column"]: r["property"] for r in mapping.suggest_mappings(columns, properties).collect()}
     assert got == {"ids": "id", "qnty": "qty"}
+
+
+def test_assignment_is_greedy_over_all_pairs(spark):
+    import random
+
+    from .test_resolution import plain_jaro_winkler
+
+    rng = random.Random(14)
+    words = ["cust", "name", "mail", "order", "date", "ship", "id", "qty", "total", "line"]
+    columns = sorted({rng.choice(["_", "", "X"]).join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(40)})
+    properties = sorted({"_".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(30)} | {"id", "ids", "__"})
+    plain = lambda t: "".join(c for c in t.lower() if c.isalnum())
+    scored = sorted((-round(1.0 if plain(a) == plain(b) else plain_jaro_winkler(plain(a), plain(b)), 4), a, b) for a in columns for b in properties if plain(a) and plain(b))
+    wanted, seen = set(), set()
+    for low, a, b in scored:
+        if -low >= 0.7 and ("c", a) not in seen and ("p", b) not in seen:
+            wanted.add((a, b, -low))
+            seen |= {("c", a), ("p", b)}
+    one = spark.createDataFrame([(c,) for c in columns + columns[:3] + [None, ""]], "source_column string").withColumn("name", F.lit("clash"))
+    two = spark.createDataFrame([(p,) for p in properties], "property string")
+    assert {(r.source_column, r.property, round(r.score, 4)) for r in mapping.assign_mappings(one, two).collect()} == wanted
+    best = {a: min(s for s in scored if s[1] == a) for a in columns if plain(a)}
+    suggested = {(r.source_column, r.property) for r in mapping.suggest_mappings(one, two).collect()}
+    assert suggested == {(s[1], s[2]) for s in best.values() if -s[0] >= 0.7}
+    assert mapping.assign_mappings(one.limit(0), two).count() == 0

@@ -311,6 +311,21 @@ def d12c(spark, folder):
     return graph.communities(load(spark, folder, _pairs))
 
 
+def _propagated(rounds: int) -> str:
+    """Rounds of label propagation written out one by one."""
+    steps = [f"e AS (SELECT t, x, y, sum(w) AS w FROM (SELECT tenant_id AS t, source_entity_id AS x, target_entity_id AS y, 1 AS w FROM ({_pairs(DUCK)}) UNION ALL SELECT tenant_id, target_entity_id, source_entity_id, 1 FROM ({_pairs(DUCK)})) WHERE x <> y GROUP BY 1, 2, 3)",
+             "l0 AS (SELECT DISTINCT t, x, x AS c FROM e)"]
+    for k in range(rounds):
+        steps.append(f"""l{k + 1} AS (SELECT t, x, first(c ORDER BY w DESC, c) AS c FROM (SELECT t, x, c, sum(w) AS w FROM (
+            SELECT e.t, e.x, l.c, e.w FROM e JOIN l{k} l ON l.t = e.t AND l.x = e.y UNION ALL SELECT t, x, c, 1 FROM l{k}) GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+    return f"WITH {', '.join(steps)} SELECT t AS tenant_id, x AS id, c AS community FROM l{rounds}"
+
+
+@register("D12_label_communities", _propagated(4))
+def d12l(spark, folder):
+    return graph.label_communities(load(spark, folder, _pairs), rounds=4)
+
+
 # ---------------------------------------------------------------- search and reconciliation
 
 

@@ -330,20 +330,25 @@ def scalar_text(spark, folder):
 _NAMES = "SELECT DISTINCT p_name AS n FROM part"
 
 
-def _thirds(x: str) -> str:
-    return f"list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))"
-
-
-
-
 @register(
     "D13_suggest_mappings",
     f"""SELECT source_column, property, score FROM (SELECT *, row_number() OVER (PARTITION BY source_column ORDER BY score DESC, property) AS r FROM (
     SELECT replace(array_to_string(list_transform(string_split(a.n, ' '), lambda w : upper(w[1]) || w[2:]), ' '), ' ', '') || '_Id' AS source_column, replace(b.n, ' ', '_') AS property,
-    round(jaro_winkler_similarity(replace(a.n, ' ', '') || 'id', replace(b.n, ' ', '')), 4) AS score FROM ({_NAMES}) a, ({_NAMES}) b
-    WHERE len(list_intersect({_thirds("replace(a.n, ' ', '') || 'id'")}, {_thirds("replace(b.n, ' ', '')")})) > 0)) WHERE r = 1 AND score >= 0.7""",
+    round(jaro_winkler_similarity(replace(a.n, ' ', '') || 'id', replace(b.n, ' ', '')), 4) AS score FROM ({_NAMES}) a, ({_NAMES}) b)) WHERE r = 1 AND score >= 0.7""",
 )
 def d13(spark, folder):
     columns = v.table(spark, folder, "part").select(F.concat(F.replace(F.initcap("p_name"), F.lit(" ")), F.lit("_Id")).alias("source_column")).distinct()
     properties = v.table(spark, folder, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("property")).distinct()
     return mapping.suggest_mappings(columns, properties)
+
+
+@register(
+    "D13_assign_mappings",
+    f"""WITH RECURSIVE x AS (SELECT DISTINCT upper(replace(n, ' ', '')) AS source_column FROM ({_NAMES})), y AS (SELECT DISTINCT replace(n, ' ', '_') || '_' AS property FROM ({_NAMES}))
+    SELECT source_column, property, 1.0::DOUBLE AS score FROM x JOIN y ON lower(source_column) = replace(property, '_', '')""",
+)
+def d13a(spark, folder):
+    names = v.table(spark, folder, "part").select("p_name").distinct()
+    columns = names.select(F.upper(F.replace("p_name", F.lit(" "))).alias("source_column")).distinct()
+    properties = names.select(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_")).alias("property")).distinct()
+    return mapping.assign_mappings(columns, properties, 0.9)
