@@ -3,16 +3,19 @@
 A word is the vector of how many of its letters fall into each of sixteen groups. One inserted letter adds one to one
 count, one deleted letter takes one away, one replaced letter does both at most. So the words near a word lie at the
 leaves of a trie over successive counts that a depth-first search reaches with a budget of one surplus and one deficit;
-the words of the leaves it reaches are verified letter by letter.
+the words of the leaves it reaches are verified letter by letter. Nearness goes both ways, so a search spends its surplus
+before its deficit and meets each pair once: from the shorter word, or from the one with fewer letters in the first group
+in which both differ, or from the smaller of two words with equal counts.
 
 The trie is dealt over tasks by its upper part: a prefix of counts with many words below it is split at the next count,
 until each tile holds a bounded number. A word is looked up in every tile the search reaches, and each tile hands back
-how many near words it has and the most frequent one, never the pairs.
+how many near words a word has there and the most frequent one, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,9 @@ from ..session import materialize
 
 LETTERS = "A-Za-zÀ-ÿ"
 GROUPS = 16
-#: Words of a tile; a split prefix has more.
-TILE = 4096
+#: Words of a tile, and of a leaf above the last count; a split prefix has more.
+TILE = 8192
+LEAF = 3
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FOUND = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("form_n", pa.int64()), ("form", pa.string())])
 
@@ -72,40 +76,58 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Trie:
-    """Words by the counts of their letter groups: inner nodes are dicts from count to node, leaves lists of places."""
+    """Words by the counts of their letter groups: inner nodes are dicts from count to node, leaves lists of places.
 
-    def __init__(self, words: list[str], n: list[int]):
-        self.words, self.n, self.root = words, n, {}
-        for place, counts in enumerate(vectors(words).tolist()):
-            node = self.root
-            for count in counts[:-1]:
-                node = node.setdefault(count, {})
-            node.setdefault(counts[-1], []).append(place)
+    A node with few words is a leaf at once, since checking them costs less than going on.
+    """
+
+    def __init__(self, words: list[str], leaf: int = LEAF):
+        self.words, self.leaf = words, leaf
+        self.counts = vectors(words).tolist()
+        self.root = self._node(list(range(len(words))), 0)
+
+    def _node(self, places: list[int], depth: int) -> dict | list:
+        if depth == GROUPS or len(places) <= self.leaf:
+            return places
+        parts: dict[int, list[int]] = {}
+        for place in places:
+            parts.setdefault(self.counts[place][depth], []).append(place)
+        return {count: self._node(below, depth + 1) for count, below in parts.items()}
 
     def near(self, word: str, counts: list[int]) -> list[int]:
-        """Places of the words one edit away."""
+        """Places of the words one edit away that this side of the pair has to find."""
         found, stack = [], [(self.root, 0, 1, 1)]
+        head, tail = word[:len(word) // 2], word[len(word) // 2:]  # one edit leaves one of them as it is
         while stack:
             node, depth, surplus, deficit = stack.pop()
-            if depth == GROUPS:
-                found.extend(p for p in node if one_edit(word, self.words[p]))
+            if type(node) is list:
+                for place in node:
+                    other = self.words[place]
+                    if (other.startswith(head) or other.endswith(tail)) and _finds(word, counts, other, self.counts[place]) and one_edit(word, other):
+                        found.append(place)
                 continue
             own = counts[depth]
-            if own in node:
-                stack.append((node[own], depth + 1, surplus, deficit))
-            if surplus and own + 1 in node:
-                stack.append((node[own + 1], depth + 1, 0, deficit))
-            if deficit and own - 1 in node:
-                stack.append((node[own - 1], depth + 1, surplus, 0))
+            below = node.get(own)
+            if below is not None:
+                stack.append((below, depth + 1, surplus, deficit))
+            if surplus:
+                below = node.get(own + 1)
+                if below is not None:
+                    stack.append((below, depth + 1, 0, 1))
+            elif deficit:
+                below = node.get(own - 1)
+                if below is not None:
+                    stack.append((below, depth + 1, 0, 0))
         return found
 
 
-def _key(counts: list[int]) -> str:
-    return ".".join(map(str, counts))
+def _finds(word: str, counts: list[int], other: str, others: list[int]) -> bool:
+    """Whether the search from ``word`` is the one that meets ``other``: a word one letter longer, or as long and after it."""
+    return len(other) == len(word) + 1 or (len(other) == len(word) and (others, other) > (counts, word))
 
 
 def _prefixes(words: pa.Array) -> pa.Array:
-    own = [[_key(c[:d]) for d in range(GROUPS + 1)] for c in vectors(words.to_pylist()).tolist()]
+    own = [list(accumulate((f"{c}." for c in counts), initial="")) for counts in vectors(words.to_pylist()).tolist()]
     return pa.array(own, pa.list_(pa.string()))
 
 
@@ -121,19 +143,18 @@ def _crowded(words: DataFrame, tile: int) -> dict[str, int]:
 
 def _tiles(crowded: dict[str, int], counts: list[int], budget: int, tile: int) -> list[tuple[str, int]]:
     """Tiles a search from ``counts`` reaches with ``budget`` surplus and deficit, and into how many parts each is cut."""
-    found, stack = [], [([], budget, budget)]
+    found, stack = [], [("", 0, budget, budget)]
     while stack:
-        path, surplus, deficit = stack.pop()
-        key = _key(path)
-        if key not in crowded or len(path) == GROUPS:
+        key, depth, surplus, deficit = stack.pop()
+        if key not in crowded or depth == GROUPS:
             found.append((key, -(-crowded.get(key, 1) // tile)))
             continue
-        own = counts[len(path)]
-        stack.append(([*path, own], surplus, deficit))
+        own = counts[depth]
+        stack.append((f"{key}{own}.", depth + 1, surplus, deficit))
         if surplus:
-            stack.append(([*path, own + 1], 0, deficit))
-        if deficit and own:
-            stack.append(([*path, own - 1], surplus, 0))
+            stack.append((f"{key}{own + 1}.", depth + 1, 0, deficit))
+        elif deficit and own:
+            stack.append((f"{key}{own - 1}.", depth + 1, 0, 0))
     return found
 
 
@@ -149,34 +170,60 @@ def _placed(shared, tile: int):
                 (home, parts), = _tiles(shared.value, counts, 0, tile)
                 rows.append((f"{home}/{sum(map(ord, word)) * 31 % parts if parts > 1 else 0}", False, word, count))
                 rows += [(f"{key}/{part}", True, word, count) for key, parts in _tiles(shared.value, counts, 1, tile) for part in range(parts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            if rows:
+                yield _rows(rows, schema)
 
     return run
 
 
+class _Tile:
+    """The words of a tile, and for each how many near words asked here and the most frequent of them."""
+
+    def __init__(self, held: list[tuple[str, int]]):
+        self.trie = Trie([w for w, _ in held])
+        self.n = [n for _, n in held]
+        self.near, self.best = [0] * len(held), [(0, "")] * len(held)
+
+    def ask(self, word: str, n: int, counts: list[int]) -> tuple | None:
+        """What ``word`` finds; the words found take note of it."""
+        found, best = self.trie.near(word, counts), None
+        for place in found:
+            self.near[place] += 1
+            self.best[place] = min(self.best[place], (-n, word))
+            own = (-self.n[place], self.trie.words[place])
+            best = own if best is None else min(best, own)
+        return (word, len(found), -best[0], best[1]) if best else None
+
+    def noted(self) -> list[tuple]:
+        return [(word, near, -best[0], best[1]) for word, near, best in zip(self.trie.words, self.near, self.best) if near]
+
+
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by tile, its own words first; they make the trie, and the words that ask pass by."""
-    tile, held, trie = None, [], None
+    tile, held, made = None, [], None
     for batch in batches:
         tiles, asks, words, n = (batch.column(c).to_pylist() for c in ("tile", "asks", "word", "n"))
         counts = vectors(words).tolist()
-        rows = []
+        rows: list[tuple] = []
         for i, word in enumerate(words):
             if tiles[i] != tile:
-                tile, held, trie = tiles[i], [], None
+                rows += made.noted() if made else []
+                tile, held, made = tiles[i], [], None
             if not asks[i]:
                 held.append((word, n[i]))
-                continue
-            if not held:
-                continue
-            if trie is None:
-                trie = Trie([w for w, _ in held], [c for _, c in held])
-            near = trie.near(word, counts[i])
-            if near:
-                most = max(trie.n[p] for p in near)
-                rows.append((word, len(near), most, min(trie.words[p] for p in near if trie.n[p] == most)))
+            elif held:
+                made = made or _Tile(held)
+                found = made.ask(word, n[i], counts[i])
+                if found:
+                    rows.append(found)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
+            yield _rows(rows, _FOUND)
+    if made and (rows := made.noted()):
+        yield _rows(rows, _FOUND)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def near_words(words: DataFrame, tile: int = TILE) -> DataFrame:
