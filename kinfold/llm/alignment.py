@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,23 +42,47 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: How byte-level vocabularies cut a text before merging: fixed by the format.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_WHITE = re.compile(r"\s{500}")
+
+
 class ByteLevel:
-    """A byte-level tokenizer file of the ``tokenizers`` library; strings of special tokens are plain text."""
+    """A byte-level tokenizer file of the ``tokenizers`` library; strings of special tokens are plain text.
+
+    Where ids rise in the order of the merges, as they do in vocabularies stored as ranks, ``tiktoken`` works out the same
+    ids in a quarter of the time. Other files go through ``tokenizers``, and so do texts with long runs of white space,
+    which ``tiktoken`` cannot cut.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        signs = byte_signs()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        signs, made = byte_signs(), json.loads(definition)
+        model, cut = made["model"], made["pre_tokenizer"]
+        vocabulary = model["vocab"] | {t["content"]: t["id"] for t in made["added_tokens"]}
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.bytes[i] = bytes(signs[c] for c in piece) if all(c in signs for c in piece) else piece.encode()
         self.size = np.array([len(b) for b in self.bytes], np.int64)
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        plain = not odd and made["normalizer"] is None and (cut["type"], cut["add_prefix_space"], cut["use_regex"]) == ("ByteLevel", False, True)
+        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.encode_special_tokens = True
+        self.ranked = None
+        if plain and set(model["vocab"]) == {*signs, *merges} and all(model["vocab"][m] == 256 + i for i, m in enumerate(merges)):
+            import tiktoken
+
+            ranks = {self.bytes[i]: i for i in model["vocab"].values()}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._plain(t) if self.ranked is None or _WHITE.search(t) else self.ranked.encode_ordinary(t) for t in texts]
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class Marked:
@@ -88,7 +113,7 @@ def read_tokenizers(byte_level: str, marked: str) -> tuple[str, bytes]:
 
 @lru_cache(maxsize=2)
 def _loaded(definition: str, model: bytes) -> tuple[ByteLevel, Marked]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return ByteLevel(definition), Marked(model)
 
 
@@ -101,16 +126,25 @@ def groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
     at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
     at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
     common = sorted(at_a.keys() & at_b.keys())
-    return [at_a[e] for e in common], [at_b[e] for e in common]
+    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
-def _digest(a: list[int], b: list[int], to_a: list[int], to_b: list[int]) -> str:
-    found, i, j = [], 0, 0
-    names_a, names_b = list(map(str, a)), list(map(str, b))
-    for k, m in zip(to_a, to_b):
-        found.append(f"{names_a[i]}|{names_b[j]}" if k - i == 1 == m - j else f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}")
-        i, j = k, m
-    return hashlib.sha256(";".join(found).encode()).hexdigest()
+def spelt(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, sizes: tuple[int, int]) -> str:
+    """``a1,a2|b1;a3|b2,b3``: ids of each side, group by group. ``sizes`` are those of the vocabularies."""
+    many_a, many_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[to_a - 1] = last_b[to_b - 1] = 1
+    code = np.empty(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.repeat(to_b - many_b, many_a)] = 2 * a + last_a
+    code[np.arange(len(b)) + np.repeat(to_a, many_b)] = 2 * (b + sizes[0]) + last_b
+    names = _names(*sizes)
+    return "".join(map(names.__getitem__, code.tolist()))[:-1]
+
+
+@lru_cache(maxsize=2)
+def _names(first: int, second: int) -> list[str]:
+    """The ids of both vocabularies as they stand inside and at the end of their side of a group."""
+    return [f"{i}{mark}" for i in range(first) for mark in ",|"] + [f"{i}{mark}" for i in range(second) for mark in ",;"]
 
 
 def linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +190,12 @@ def linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) ->
 def _aligner(shared):
     def one(text: str, a: list[int], b: list[int], first: ByteLevel, second: Marked):
         whole = (" " + text).encode()
-        if not text or b"".join([first.bytes[i] for i in a]) != whole or b"".join([second.bytes[i] for i in b]) != whole:
+        if not text or b"".join(map(first.bytes.__getitem__, a)) != whole or b"".join(map(second.bytes.__getitem__, b)) != whole:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
         to_a, to_b = groups(np.cumsum(first.size[ids_a]).tolist(), np.cumsum(second.size[ids_b]).tolist())
-        digest = _digest(a, b, to_a, to_b)
         ends_a, ends_b = np.array(to_a, np.int64), np.array(to_b, np.int64)
+        digest = hashlib.sha256(spelt(ids_a, ids_b, ends_a, ends_b, (len(first.bytes), len(second.bytes))).encode()).hexdigest()
         n_links = int((np.diff(ends_a, prepend=0) * np.diff(ends_b, prepend=0)).sum())
         return len(a), len(b), len(to_a), n_links, digest, *linked(ids_a, ids_b, ends_a, ends_b)
 

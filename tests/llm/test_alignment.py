@@ -99,3 +99,10 @@ def test_links_of_large_groups(monkeypatch):
             i, j = k, m
         pairs, times = A.linked(a, b, to_a, to_b)
         assert dict(zip(pairs.tolist(), times.tolist())) == dict(want) and len(pairs) == len(want)
+
+
+def test_long_runs_of_white_space():
+    first, _ = A._loaded(*A.read_tokenizers(BYTES, PIECES))
+    plain = Tokenizer.from_file(BYTES)
+    for text in (" " * 20_000, "a" + "\n" * 3000 + " b", "ab" * 5000, " \t" * 700):
+        assert first.ids([text])[0] == plain.encode(text, add_special_tokens=False).ids
