@@ -3,7 +3,7 @@
 Labels exist for documents only, so training tokens are labelled from them: in toxic documents, a token one of whose
 features (the word, its first four, five or six bytes) is bound to toxic documents by a log-likelihood ratio counts as
 toxic, all others as clean. The field has one weight for every feature that tells the two kinds of document apart, and a
-transition matrix, fitted by gradient steps on the exact likelihood. Scoring runs forward-backward over every token of a text; tokens with a marginal of at
+transition matrix, fitted by gradient steps on the exact likelihood of one batch of documents after another. Scoring runs forward-backward over every token of a text; tokens with a marginal of at
 least one half are the offending offsets, and the document's score is the chance that any of them is toxic.
 """
 
@@ -13,19 +13,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
 
-#: The most labelled documents one model learns from, and the longest of them in characters.
-SAMPLE_DOCS = 4000
+#: The most documents of each label one model learns from, the longest of them and all of a label in characters.
+SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
-_FIT_DOCS = 500
+SAMPLE_TOTAL = 4_000_000
+_BATCH = 1 << 19
 _PREFIXES = (4, 5, 6)
 _RATIO = 24.0
 _TELLING = 8.0
-_ROUNDS = 40
+_ROUNDS = 8
 _CHUNK = 128
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 _RESULT = pa.struct([("score", pa.float64()), ("spans", pa.list_(_SPAN))])
@@ -129,8 +130,9 @@ def _bound_to_toxic(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) ->
     share = t / n
     bound, telling = np.zeros(len(doc), bool), []
     for k in range(features.shape[1]):
-        names, where = np.unique(features[:, k], return_inverse=True)
-        pairs = np.unique(where.astype(np.int64) * n + doc)
+        names = np.unique(features[:, k])
+        where = np.searchsorted(names, features[:, k]).astype(np.int32)
+        pairs = np.unique(where * np.int64(n) + doc)
         name, holder = pairs // n, pairs % n
         all_docs = np.bincount(name, minlength=len(names))
         toxic_docs = np.bincount(name, weights=toxic[holder], minlength=len(names))
@@ -159,51 +161,72 @@ def without_copies(words: np.ndarray, first: np.ndarray, size: int = 3, marks: i
 
 
 def fit(texts: pa.Array, toxic: np.ndarray) -> Field:
-    """A field learnt from labelled documents; one that marks nothing where either label is missing."""
-    model = Field()
-    _, _, doc, first, _, features = _tokens(texts)
-    fresh = without_copies(features[:, 0], first)
+    """A field learnt from labelled documents; one that marks nothing where either label is missing.
+
+    Hashes are made a batch at a time and replaced by 32-bit places among the telling features, so memory holds four
+    numbers a token and the messages of one batch.
+    """
+    model, parts, sizes = Field(), [], []
+    for a, b in T._cuts(texts, _BATCH):
+        _, _, _, first, _, hashed = _tokens(texts.slice(a, b - a))
+        parts.append(hashed)
+        sizes.append(np.diff(first))
+    if not parts:
+        return model
+    features, sizes = np.concatenate(parts), np.concatenate(sizes)
+    parts.clear()
+    fresh = without_copies(features[:, 0], np.concatenate(([0], np.cumsum(sizes))))
     toxic = toxic[fresh]
     if not toxic.any() or toxic.all():
         return model
-    features, first = features[fresh[doc]], np.concatenate(([0], np.cumsum(np.diff(first)[fresh])))
-    doc = np.repeat(np.arange(len(toxic)), np.diff(first))
+    features, sizes = features[np.repeat(fresh, sizes)], sizes[fresh]
+    doc = np.repeat(np.arange(len(toxic), dtype=np.int32), sizes)
     bound, model.names = _bound_to_toxic(features, doc, toxic)
     model.weights = np.zeros(len(model.names) + 1)
-    chosen = np.where(toxic, np.cumsum(toxic) <= _FIT_DOCS, np.cumsum(~toxic) <= _FIT_DOCS)
-    keep = chosen[doc]
-    label, features = (bound & toxic[doc])[keep].astype(np.int64), features[keep]
-    first = np.concatenate(([0], np.cumsum(np.diff(first)[chosen])))
+    label = (bound & toxic[doc]).astype(np.int8)
     if not label.any():
         return model
-    where = _slots(model.names, features)
+    where = np.concatenate([_slots(model.names, features[a: a + _BATCH]).astype(np.int32) for a in range(0, len(features), _BATCH)])
+    del features
+    _climb(model, where, label, np.concatenate(([0], np.cumsum(sizes))))
+    return model
+
+
+def _climb(model: Field, where: np.ndarray, label: np.ndarray, first: np.ndarray) -> None:
+    """Gradient steps on the likelihood of ``label``, over batches of whole documents."""
+    cuts = np.unique(np.searchsorted(first, np.arange(0, first[-1], _BATCH // 4)).tolist() + [len(first) - 1])
+    total = np.zeros(len(model.weights))
+    scale = {"bias": 0.0, "start": np.zeros(2), "moves": np.zeros((2, 2))}
+    for _ in range(_ROUNDS):
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if first[a] == first[b]:
+                continue
+            at, truth, begin = where[first[a]: first[b]], label[first[a]: first[b]], first[a: b + 1] - first[a]
+            steps = _gradient(model, at, truth, begin)
+            total += steps["weights"] ** 2
+            model.weights += 0.8 * steps.pop("weights") / np.sqrt(total + 1e-6)
+            for name, step in steps.items():
+                scale[name] = scale[name] + step * step
+                setattr(model, name, getattr(model, name) + 0.3 * step / np.sqrt(scale[name] + 1e-6))
+
+
+def _gradient(model: Field, where: np.ndarray, label: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """What the labels of a batch hold beyond what the model expects, for each of its parameters."""
     head = np.zeros(len(label), bool)
     head[first[:-1][np.diff(first) > 0]] = True
     inner = np.flatnonzero(~head)
-    seen_moves = np.zeros((2, 2))
-    np.add.at(seen_moves, (label[inner - 1], label[inner]), 1)
-    seen_start = np.bincount(label[head], minlength=2)
-    w, total = model.weights, np.zeros(len(model.weights))
-    scale = {"bias": 0.0, "start": np.zeros(2), "moves": np.zeros((2, 2))}
-    for _ in range(_ROUNDS):
-        odds = w[where].sum(axis=1) + model.bias
-        alpha, beta = forward_backward(odds, first, model.start, model.moves)
-        both = alpha * beta
-        m = both[:, 1] / both.sum(axis=1)
-        off = label - m
-        g = sum(np.bincount(where[:, k], off, minlength=len(w)) for k in range(where.shape[1])) - 1e-3 * w
-        g[-1] = 0
-        total += g * g
-        w += 0.8 * g / np.sqrt(total + 1e-6)
-        edge = alpha[inner - 1][:, :, None] * np.exp(model.moves)[None] * (np.stack([np.ones(len(inner)), np.exp(np.clip(odds[inner], -60, 60))], 1) * beta[inner])[:, None, :]
-        gm = seen_moves - (edge / edge.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        begin = both[head] / both[head].sum(axis=1, keepdims=True)
-        gs = seen_start - begin.sum(axis=0)
-        gb = off.sum()
-        for name, g1 in (("bias", gb), ("start", gs), ("moves", gm)):
-            scale[name] = scale[name] + g1 * g1
-            setattr(model, name, getattr(model, name) + 0.3 * g1 / np.sqrt(scale[name] + 1e-6))
-    return model
+    odds = model.weights[where].sum(axis=1) + model.bias
+    alpha, beta = forward_backward(odds, first, model.start, model.moves)
+    both = alpha * beta
+    off = label - both[:, 1] / both.sum(axis=1)
+    weights = sum(np.bincount(where[:, k], off, minlength=len(model.weights)) for k in range(where.shape[1])) - 1e-3 * model.weights
+    weights[-1] = 0
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label[inner - 1], label[inner]), 1)
+    gain = np.stack([np.ones(len(inner)), np.exp(np.clip(odds[inner], -60, 60))], 1)
+    edge = alpha[inner - 1][:, :, None] * np.exp(model.moves)[None] * (gain * beta[inner])[:, None, :]
+    start = np.bincount(label[head], minlength=2) - (both[head] / both[head].sum(axis=1, keepdims=True)).sum(axis=0)
+    return {"weights": weights, "bias": off.sum(), "start": start, "moves": seen - (edge / edge.sum(axis=(1, 2), keepdims=True)).sum(axis=0)}
 
 
 def scorer(model: Field):
@@ -249,9 +272,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, c
     return text, found.column("label").to_numpy().astype(bool) if found.num_rows else np.zeros(0, bool)
 
 
+def balanced_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, chars: int, total: int) -> tuple[pa.Array, np.ndarray]:
+    """At most ``size`` texts of each label, none of more than ``chars`` characters nor all of a label of more than
+    ``total``, with their labels in an order that mixes them: the same in every run.
+
+    Only documents that are there, labelled, not held out and short enough take places, by the hash of their id. An id
+    with several labels counts with the largest, an id with several texts with the smallest.
+    """
+    known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_label"))
+    there = docs.select("doc_id", F.length("text").alias("_chars")).filter(F.col("_chars") <= chars).groupBy("doc_id").agg(F.max("_chars").alias("_chars"))
+    order = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = known.join(there, "doc_id").withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= size)
+    chosen = first.withColumn("_upto", F.sum("_chars").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_upto") <= total)
+    chosen = chosen.select("doc_id", "_label", "_place")  # two numbers for each of at most two times ``size`` documents
+    found = docs.select("doc_id", "text").filter(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
+    found = found.groupBy("doc_id", "_place").agg(F.min("text").alias("text"), F.max("_label").alias("label")).toArrow()
+    found = found.sort_by([("_place", "ascending"), ("label", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    text = found.column("text").combine_chunks() if found.num_rows else pa.array([], pa.string())
+    return text, found.column("label").to_numpy().astype(bool) if found.num_rows else np.zeros(0, bool)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """The field fitted on a bounded sample of labelled documents."""
-    return fit(*labelled_sample(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_CHARS))
+    """The field fitted on a bounded sample of labelled documents of either label.
+
+    Ties in the order of hashes go to the smaller id. Other columns of ``docs`` and ``labels`` are ignored.
+    """
+    return fit(*balanced_sample(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL))
 
 
 def toxicity(spark: SparkSession, text: Column, model: Field) -> Column:
