@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -28,12 +27,35 @@ from pyspark.sql.types import ArrayType, IntegerType
 from . import tokens as T
 
 MARK = "▁"
-#: Words and pairs of pieces a Python worker keeps at once.
-_KEPT_WORDS = 200_000
-_KEPT_PAIRS = 200_000
+#: Words (of ids, of digests) and pairs of pieces a Python worker keeps, and twice as many at most.
+_KEPT_WORDS = {"ids": 150_000, "digests": 400_000}
+_KEPT_PAIRS = 150_000
 _DIGESTS = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+class _Recent(dict):
+    """What each key becomes, worked out when first asked for, in two generations.
+
+    When the younger one is full it becomes the older and that one goes; a key found in the older moves over. So what is
+    asked for again and again stays, and neither holds more than ``size`` keys. Very long keys are not kept.
+    """
+
+    def __init__(self, work: Callable, size: int):
+        self.work, self.size, self.older = work, size, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.work(key)
+            if len(key) > 100:
+                return got
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Pieces:
     """The vocabulary of one SentencePiece model file of merge type, without pieces its merges cannot make."""
 
@@ -57,8 +79,7 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.id):
             raise ValueError("a piece crosses from a character to a blank mark, or holds a line end")
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.parts: dict[str, tuple[str, str] | None] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.compatible = _Recent(self._fit, _KEPT_PAIRS)
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
             if len(piece) == 1 or self._merged(piece) == [piece]:
@@ -96,15 +117,9 @@ class Pieces:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether ``left`` and ``right`` can stand side by side."""
-        key = (left, right)
-        got = self.fits.get(key)
-        if got is None:
-            if len(self.fits) >= _KEPT_PAIRS:
-                self.fits.clear()
-            got = self.fits[key] = self._merged(left + right) == [left, right]
-        return got
+    def _fit(self, pair: tuple[str, str]) -> bool:
+        """Whether two pieces can stand side by side."""
+        return self._merged(pair[0] + pair[1]) == [*pair]
 
     def tokens(self, word: str) -> list[str]:
         """The pieces of a run of characters; one outside the vocabulary stands as itself.
@@ -122,7 +137,7 @@ class Pieces:
             piece = longest[k - 1]
             while piece is not None:
                 before = last[k - len(piece)]
-                if not before or self.compatible(before, piece):
+                if not before or self.compatible[before, piece]:
                     break
                 piece = self.next_suffix[piece]
             last[k] = piece if piece is not None else word[k - 1]
@@ -176,24 +191,9 @@ def _loaded(model: bytes) -> tuple[Pieces, dict]:
     return Pieces(model), {}
 
 
-class _Words(dict):
-    """What each word becomes, worked out when first asked for; starts anew when full. Very long words are not kept."""
-
-    def __init__(self, work: Callable[[str], tuple]):
-        self.work = work
-
-    def __missing__(self, word: str):
-        if len(word) > 100:
-            return self.work(word)
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        got = self[word] = self.work(word)
-        return got
-
-
-def _known_words(model: bytes, name: str, work: Callable[[Pieces, str], tuple]) -> tuple[Pieces, _Words]:
+def _known_words(model: bytes, name: str, work: Callable[[Pieces, str], object]) -> tuple[Pieces, _Recent]:
     pieces, kinds = _loaded(model)
-    return pieces, kinds.setdefault(name, _Words(lambda word: work(pieces, word)))
+    return pieces, kinds.setdefault(name, _Recent(lambda word: work(pieces, word), _KEPT_WORDS[name]))
 
 
 def read_model(path: str) -> bytes:
@@ -203,13 +203,10 @@ def read_model(path: str) -> bytes:
 
 def _encoder(shared):
     def run(texts: pa.Array) -> pa.Array:
-        pieces, known = _known_words(shared.value, "ids", lambda p, word: tuple(p.ids(word)))
-        ids, ends = array("i"), [0]
-        for text in texts:
-            for word in words(text.as_py() or "", pieces.dummy_prefix):
-                ids.extend(known[word])
-            ends.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+        pieces, known = _known_words(shared.value, "ids", lambda p, word: np.array(p.ids(word), np.int32).tobytes())
+        found = [b"".join([known[word] for word in words(text.as_py() or "", pieces.dummy_prefix)]) for text in texts]
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
     return run
 
@@ -237,72 +234,6 @@ def encoded(docs: DataFrame, keep: Sequence[str], model: bytes) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
 
 
-def decode(self, ids: list[int]) -> str:
-        """The text of all ids of a document; the blank put before it goes."""
-        text = self.plain(ids)
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
-
-
-_CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-
-
-def words(text: str, dummy_prefix: bool = True) -> list[str]:
-    """The normalised text cut where no piece can cross: before each run of blank marks and around line ends."""
-    if not text:
-        return []
-    return _CUT.findall((MARK if dummy_prefix else "") + text.replace(" ", MARK))
-
-
-@lru_cache(maxsize=2)
-def _loaded(model: bytes) -> tuple[Pieces, dict]:
-    return Pieces(model), {}
-
-
-class _Words(dict):
-    """What each word becomes, worked out when first asked for; starts anew when full. Very long words are not kept."""
-
-    def __init__(self, work: Callable[[str], tuple]):
-        self.work = work
-
-    def __missing__(self, word: str):
-        if len(word) > 100:
-            return self.work(word)
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        got = self[word] = self.work(word)
-        return got
-
-
-def _known_words(model: bytes, name: str, work: Callable[[Pieces, str], tuple]) -> tuple[Pieces, _Words]:
-    pieces, kinds = _loaded(model)
-    return pieces, kinds.setdefault(name, _Words(lambda word: work(pieces, word)))
-
-
-def read_model(path: str) -> bytes:
-    with open(path, "rb") as file:
-        return file.read()
-
-
-def encode(spark: SparkSession, text: Column, model: bytes) -> Column:
-    """``array<int>``: the ids of a text, without begin or end ids; none for a null or empty text."""
-    shared = spark.sparkContext.broadcast(model)
-
-    def piece(texts: pa.Array) -> pa.Array:
-        pieces, known = _known_words(shared.value, "ids", lambda p, word: tuple(p.ids(word)))
-        ids, ends = array("i"), [0]
-        for text in texts:
-            for word in words(text.as_py() or "", pieces.dummy_prefix):
-                ids.extend(known[word])
-            ends.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
-
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
-        return T.by_slices(texts, piece, pa.list_(pa.int32()))
-
-    return run(text)
-
-
 def decode(spark: SparkSession, ids: Column, model: bytes) -> Column:
     """The text of an array of ids; null stays null."""
     shared = spark.sparkContext.broadcast(model)

@@ -48,3 +48,20 @@ def test_columns(spark, library):
         assert r.e == ids and r.back == library.decode(ids)
         assert tuple(r.t) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
     assert df.limit(0).select(round_trip(spark, F.col("text"), model)).count() == 0
+
+
+def test_a_full_table_keeps_what_is_asked_for_again():
+    from kinfold.llm.pieces import _Recent
+
+    asked = []
+    table = _Recent(lambda key: asked.append(key) or len(key), 3)
+    for k in range(40):
+        assert table["often"] == 5 and table[f"rare {k}"] == len(f"rare {k}") and len(table) <= 3 and len(table.older) <= 3
+    assert asked.count("often") == 1
+    assert table["x" * 200] == 200 and "x" * 200 not in table
+
+
+def test_small_tables_change_no_id(library, pieces, monkeypatch):
+    monkeypatch.setattr(pieces.compatible, "size", 5)
+    for text in texts()[:300]:
+        assert [i for w in words(text) for i in pieces.ids(w)] == library.encode(text)
