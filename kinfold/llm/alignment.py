@@ -78,11 +78,18 @@ class ByteLevel:
             ranks = {self.bytes[i]: i for i in model["vocab"].values()}
             self.ranked = tiktoken.Encoding("ranks", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [self._plain(t) if self.ranked is None or _WHITE.search(t) else self.ranked.encode_ordinary(t) for t in texts]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [(self._plain(t) if self.ranked is None or _WHITE.search(t) else self.ranked.encode_to_numpy(t)).astype(np.int64) for t in texts]
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
-    def _plain(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def spells(self, ids: np.ndarray, whole: bytes) -> bool:
+        """Whether the ids make up these bytes. Ranks have every single byte and cut a text without leaving any out, so
+        there the length tells."""
+        if self.ranked is not None:
+            return int(self.size[ids].sum()) == len(whole)
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())) == whole
 
 
 class Marked:
@@ -175,9 +182,11 @@ def linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) ->
         place = np.arange(int(here.sum())) - np.repeat(np.cumsum(here) - here, here)
         at_a = to_a[group] - many_a[group] + place // many_b[group]
         at_b = to_b[group] - many_b[group] + place % many_b[group]
-        found, n = np.unique((a[at_a] << 32) | b[at_b], return_counts=True)
-        pairs.append(found)
-        times.append(n)
+        found = (a[at_a] << 32) | b[at_b]
+        found.sort()
+        new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        pairs.append(found[new])
+        times.append(np.diff(new, append=len(found)))
         start = end
     if len(pairs) == 2:
         return pairs[1], times[1]
@@ -188,11 +197,11 @@ def linked(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) ->
 
 
 def _aligner(shared):
-    def one(text: str, a: list[int], b: list[int], first: ByteLevel, second: Marked):
+    def one(text: str, a: np.ndarray, b: list[int], first: ByteLevel, second: Marked):
         whole = (" " + text).encode()
-        if not text or b"".join(map(first.bytes.__getitem__, a)) != whole or b"".join(map(second.bytes.__getitem__, b)) != whole:
+        if not text or not first.spells(a, whole) or b"".join(map(second.bytes.__getitem__, b)) != whole:
             return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        ids_a, ids_b = a, np.array(b, np.int64)
         to_a, to_b = groups(np.cumsum(first.size[ids_a]).tolist(), np.cumsum(second.size[ids_b]).tolist())
         ends_a, ends_b = np.array(to_a, np.int64), np.array(to_b, np.int64)
         digest = hashlib.sha256(spelt(ids_a, ids_b, ends_a, ends_b, (len(first.bytes), len(second.bytes))).encode()).hexdigest()
