@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,14 @@ def filter_results(df: DataFrame, entity_type: str | None = None, source: str |
     return df
 
 
+def words(text: Column) -> Column:
+    """The runs of letters and digits of a text in lower case, in order; null for null."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
 def token_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, token, weight)``: TF-IDF of the words of a text, each vector of length 1."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    counts = df.select(F.col(id_col).alias("id"), F.explode(words).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    counts = df.select(F.col(id_col).alias("id"), F.explode(words(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     total = df.agg(F.count("*")).scalar()
     idf = counts.groupBy("token").agg(F.count("*").alias("_df")).withColumn("_n", total).select(
         "token", (F.log((F.col("_n") + 1.0) / (F.col("_df") + 1.0)) + 1.0).alias("_idf")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import jaro_winkler, levenshtein_distance, levenshtein_similarity, metaphone, register_sql_functions
-from kinfold.operators import blocking, cluster, compare, golden, review
+from kinfold.operators import blocking, cluster, compare, golden, matching, review
 from kinfold.plans.resolution import MatchSpec, assign_clusters, copies, decision_counts, drop_decided, linked_pairs
 from kinfold.session import scratch_path
 from kinfold.sinks import events as out_events
@@ -262,6 +262,39 @@ def d11(spark, folder):
     return tfidf_cosine(pairs(spark, folder).select("id_a", "id_b"), token_weights(profs, "profile_id", "name"))
 
 
+_BAGS = f"""bag AS (SELECT id, tenant_id, list_sort(list_filter(regexp_split_to_array(lower(name || ' ' || email), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM ({CLEANED})),
+member AS (SELECT id, tenant_id, w, CASE WHEN len(w) > 0 THEN min(id) OVER (PARTITION BY tenant_id, w) ELSE id END AS class_id FROM bag),
+tok AS (SELECT id, tenant_id, token, count(*)::DOUBLE AS tf FROM (SELECT id, tenant_id, unnest(w) AS token FROM member WHERE id = class_id) GROUP BY 1, 2, 3),
+idf AS (SELECT token, ln(((SELECT count(*) FROM member WHERE id = class_id) + 1.0) / (count(*) + 1.0)) + 1.0 AS v FROM tok GROUP BY 1),
+vec AS (SELECT id, tenant_id, token, tf * v / sqrt(sum(tf * v * tf * v) OVER (PARTITION BY id)) AS v FROM tok JOIN idf USING (token)),
+linked AS (SELECT a.id AS id_a, b.id AS id_b, round(sum(a.v * b.v), 4) AS cosine FROM vec a JOIN vec b ON a.tenant_id = b.tenant_id AND a.token = b.token AND a.id < b.id
+  GROUP BY 1, 2 HAVING round(sum(a.v * b.v), 4) >= 0.7)"""
+
+
+def names_and_mails(spark, folder):
+    texts = cleaned(spark, folder).withColumn("text", F.concat_ws(" ", "name", "email"))
+    return matching.cosine_join(texts, "id", "text", 0.7, ["tenant_id"])
+
+
+@register("D11_cosine_join", f"WITH {_BAGS} SELECT id_a, id_b, cosine FROM linked")
+def cosine_join(spark, folder):
+    return names_and_mails(spark, folder)[0]
+
+
+@register("D11_cosine_links", f"""WITH {_BAGS}, ends AS (SELECT id_a AS class_id FROM linked UNION ALL SELECT id_b FROM linked)
+SELECT id, class_id, (SELECT count(*) FROM ends e WHERE e.class_id = member.class_id) AS n_links FROM member""")
+def cosine_links(spark, folder):
+    return matching.link_counts(*names_and_mails(spark, folder))
+
+
+@register("D11_identifier_links", f"""WITH held AS (SELECT tenant_id, 'email' AS identifier, id, email AS value FROM ({CLEANED}) WHERE email <> ''
+  UNION ALL SELECT tenant_id, 'name', id, lower(name) FROM ({CLEANED}) WHERE trim(name) <> ''),
+first AS (SELECT *, min(id) OVER (PARTITION BY tenant_id, identifier, value) AS id_a, count(*) OVER (PARTITION BY tenant_id, identifier, value) AS holders FROM held)
+SELECT tenant_id, identifier, id_a, id AS id_b, holders FROM first WHERE holders > 1 AND id <> id_a""")
+def identifier_links(spark, folder):
+    return matching.identifier_links(cleaned(spark, folder), ["email", "name"])
+
+
 # ---------------------------------------------------------------- clusters, golden records, provenance
 
 
