@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.parse import parse_currency
 from kinfold.functions.text import normalize, strip, title_case
-from kinfold.operators import cleaning, dedup, infer, mapping, quality
+from kinfold.operators import anomaly, cleaning, dedup, infer, mapping, quality
 from kinfold.operators.analytics import equality_filter, tenant_scope
 from kinfold.plans.intake import intake
 
@@ -199,6 +199,23 @@ def d9i(spark, folder):
     return quality.flag_outliers(v.table(spark, folder, "events"), "value", ["event_type"], "iqr").select("event_id", "is_outlier")
 
 
+@register(
+    "D9_anomalies_by_hour",
+    """WITH p AS (SELECT event_type, (floor(epoch(ts) / 21600) * 21600)::BIGINT AS start, count(*)::DOUBLE AS value FROM events GROUP BY 1, 2),
+    q AS (SELECT *, start // 86400 AS season, start % 86400 AS place FROM p),
+    b AS (SELECT a.event_type, a.start, a.value, x.value AS seen FROM q a LEFT JOIN q x ON x.event_type = a.event_type AND x.place = a.place AND x.season BETWEEN a.season - 14 AND a.season - 1),
+    m AS (SELECT *, median(seen) OVER (PARTITION BY event_type, start) AS expected FROM b),
+    f AS (SELECT event_type, start, any_value(value) AS value, count(seen) AS n_before, any_value(expected) AS expected, abs(any_value(value) - any_value(expected)) AS away,
+      coalesce(nullif(median(abs(seen - expected)) * 1.4826, 0.0), nullif(avg(abs(seen - expected)) * 1.253314, 0.0)) AS spread FROM m GROUP BY 1, 2)
+    SELECT event_type, make_timestamp(start * 1000000) AS timestamp, value, n_before, expected, round(away / spread, 4) AS deviation,
+      n_before >= 5 AND coalesce(away / spread > 3.5, away > 0, false) AS is_anomaly FROM f""",
+)
+def d9a(spark, folder):
+    events = v.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = anomaly.anomalies(events, "ts", "6h", "count", ["event_type"], "1d", 14)
+    return found.withColumns({"timestamp": F.col("timestamp").cast("timestamp_ntz"), "deviation": F.round("deviation", 4)})
+
+
 # ---------------------------------------------------------------- inference
 
 INFER_COLUMNS = ["flag", "whole", "number", "moment", "day", "free", "void", "mixed"]

@@ -9,6 +9,7 @@ from kinfold.session import scratch_path
 from kinfold.sinks import events as out_events
 from kinfold.sinks import tables
 from kinfold.sources import files, messages
+from kinfold.streaming.completeness import REPORT, batch_completeness
 from kinfold.streaming.ingest import IntakePaths, drop_repeated, intake_stream
 from kinfold.streaming.rollup import streaming_timeseries
 
@@ -251,6 +252,29 @@ def t3r(spark, folder):
     return spark.read.parquet(paths.runs).select("tenant_id", "source_id", "status", "records_input", "records_output", "records_failed")
 
 
+@register(
+    "T3_batch_completeness",
+    """SELECT 't' || (user_id % 3) AS tenant_id, 'c' || (user_id % 5) AS source_id, count(*) + user_id % 5 % 2 AS expected, count(*) AS received, user_id % 5 % 2 AS missing,
+    CASE WHEN user_id % 5 % 2 = 0 THEN 'COMPLETE' ELSE 'SHORT' END AS status FROM events GROUP BY user_id % 3, user_id % 5""",
+)
+def t3c(spark, folder):
+    """Every event is a message; each source says how many it has sent, every other source one more than it has."""
+    rows = table(spark, folder, "events").select(
+        F.concat(F.lit("t"), F.col("user_id") % 3).alias("tenant_id"), F.concat(F.lit("c"), F.col("user_id") % 5).alias("source_id"), (F.col("user_id") % 5 % 2).alias("lost"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("string").alias("id"))
+    envelope = lambda df, *fields: df.select(F.col("tenant_id").alias("key"), F.to_json(F.struct("tenant_id", "source_id", *fields)).alias("value"), "at")
+    sent = envelope(rows, F.array(F.struct("id")).alias("rows"))
+    told = rows.groupBy("tenant_id", "source_id").agg((F.count("*") + F.max("lost")).alias("row_count"), F.max("at").alias("at"))
+    told = envelope(told, "row_count", F.lit(True).alias("batch_complete"))
+    # a message from a year later moves the watermark past all signals
+    clock = rows.agg(F.max("at").alias("at")).select(F.lit("clock").alias("tenant_id"), F.lit("clock").alias("source_id"), (F.col("at") + F.expr("INTERVAL 1 YEAR")).alias("at"))
+    clock = envelope(clock, F.array(F.struct(F.lit("0").alias("id"))).alias("rows"))
+    out = scratch_path(spark, "complete")
+    decoded = messages.decode(_stream(spark, sent.unionByName(told).unionByName(clock), "counted"), ["at"])
+    found = batch_completeness(decoded, "at", "10 minutes", "60 days")
+    _drain(found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint"))
+    return spark.read.schema(REPORT).parquet(f"{out}/rows")
+
+
 @register("K10_dead_letter_table", f"SELECT '{{broken' AS raw_value, 'value is not a JSON envelope' AS reason WHERE (SELECT count(*) FROM ({PARTY})) > 0")
 def k10(spark, folder):
     return spark.read.parquet(_run_intake(spark, folder).dead).select("raw_value", "reason")
