@@ -221,3 +221,62 @@ def test_label_communities(spark):
     two = df.withColumn("tenant_id", F.lit("t")).unionByName(df.withColumn("tenant_id", F.lit("u")))
     assert graph.label_communities(two, weight="w", rounds=2).count() == 2 * len(plain_communities(edges, 2))
     assert graph.label_communities(df.limit(0), scope=[]).count() == 0
+
+
+def plain_levels(pairs, start):
+    """Distance of every node reached from ``start``."""
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    far, level = {start: 0}, [start]
+    while level:
+        level = sorted({y for x in level for y in around.get(x, ())} - set(far))
+        far.update({y: max(far.values()) + 1 for y in level})
+    return far, around
+
+
+def plain_path(pairs, source, target):
+    """A shortest path, the smallest predecessor taken at every step back from the target."""
+    far, around = plain_levels(pairs, source)
+    if target not in far:
+        return []
+    path = [target]
+    while path[-1] != source:
+        path.append(min(x for x in around[path[-1]] if far.get(x) == far[path[-1]] - 1))
+    return path[::-1]
+
+
+def test_searches_over_an_adjacency_agree_with_a_plain_search(spark):
+    import random
+
+    random.seed(31)
+    pairs = [(f"n{random.randrange(60)}", f"n{random.randrange(60)}") for _ in range(75)]
+    pairs += [("hub", f"n{i}") for i in range(0, 60, 9)] + [("far1", "far2"), ("n3", "n3")] + pairs[:6]
+    rel = edges(spark, *pairs, ("n1", None), (None, "n2"))
+    near = graph.adjacency(rel, parts=8)
+    for source, target in [("n1", "n40"), ("n59", "n2"), ("n7", "far1"), ("far1", "far2"), ("n5", "n33")]:
+        wanted = plain_path(pairs, source, target)
+        got = graph.shortest_path(rel, source, target, near=near).collect()
+        assert [r.id for r in got] == wanted and [r.position for r in got] == list(range(len(wanted)))
+        assert all({a.id, b.id} == {b.source_entity_id, b.target_entity_id} for a, b in zip(got, got[1:]))
+    far, _ = plain_levels(pairs, "n1")
+    within = {k: d for k, d in far.items() if d <= 3}
+    for given in (near, None):
+        nodes, inside = graph.neighbourhood(rel, "n1", 3, near=given)
+        assert {r.id: r.distance for r in nodes.collect()} == within
+        assert sorted((r.source_entity_id, r.target_entity_id) for r in inside.collect()) == sorted(p for p in pairs if set(p) <= set(within))
+    assert graph.neighbourhood(rel.limit(0), "n1", 2)[0].count() == 1 and graph.shortest_path(rel.limit(0), "n1", "n2").count() == 0
+
+
+def test_a_step_reads_the_folders_of_its_frontier(spark, tmp_path):
+    rel = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(400)])
+    made = graph.adjacency(rel, parts=16, path=str(tmp_path / "near"))
+    near = graph.Adjacency(spark.read.parquet(str(tmp_path / "near")), made.parts)
+    level = spark.createDataFrame([("n7",)], "id string")
+    sizes, _ = graph._sizes(near, level)
+    step = near.around(level, sizes)
+    assert sorted(r.to for r in step.collect()) == ["n6", "n8"] and len(sizes) == 1
+    plan = step._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [(part" in plan
+    assert len({f.split("part=")[1].split("/")[0] for f in near.steps.inputFiles()}) == 16

@@ -239,7 +239,8 @@ _NEAR = f"""{_BOTH}, walk(id, d) AS (SELECT 'c7', 0 UNION SELECT y, d + 1 FROM w
 
 @register("D1_neighbourhood_nodes", f"WITH RECURSIVE {_NEAR} SELECT * FROM near")
 def d1(spark, folder):
-    return graph.neighbourhood(relationships(spark, folder), "c7", 3, tenant_id="acme")[0]
+    edges = relationships(spark, folder)
+    return graph.neighbourhood(edges, "c7", 3, tenant_id="acme", near=graph.adjacency(edges))[0]
 
 
 @register(
