@@ -110,29 +110,32 @@ def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Every line long enough to count, with its row, its number from 0 and a 64-bit hash of its text."""
+    """Every line with a letter or digit, with its row, its number from 0, a 64-bit hash of its text, and whether it has
+    the characters to be compared by edits."""
     row = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text").alias("row")
     lines = docs.filter("text IS NOT NULL").select(row, "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    lines = lines.withColumn("n", F.length("line")).filter(F.col("n") >= min_chars)
-    return lines.withColumn("cid", F.xxhash64("line"))
+    lines = lines.withColumn("n", F.length("line")).withColumn("long", F.col("n") >= min_chars)
+    return lines.filter(F.col("long") | F.col("line").rlike("[\\p{L}\\p{N}]")).withColumn("cid", F.xxhash64("line"))
 
 
 def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(row, dropped)``: the numbers of the lines that go, for each row of ``docs`` that loses any.
 
-    Lines are in order of ``doc_id`` (null last) and number. A line of ``min_chars`` characters or more goes if an earlier
-    line has the same text, or if the first line with its text has any earlier line within ``tau`` edits. Shorter lines
-    and null texts stay. Rows with equal id and text are one document: what stays of one stays of the other.
+    Lines are in order of ``doc_id`` (null last) and number. A line goes if an earlier line has the same text, or, with
+    ``min_chars`` characters or more, if the first line with its text has any earlier line of that length within ``tau``
+    edits. Shorter lines without a letter or digit (blanks, braces, rules), which give a text its layout, and null texts
+    stay. Rows with equal id and text are one document: what stays of one stays of the other.
     """
     spark = docs.sparkSession
     lines = _occurrences(docs.select("doc_id", "text"), min_chars)
     paths = {x: scratch_path(spark, x) for x in ("places", "postings", "posts", "texts", "links")}
-    places = materialize(lines.select("row", "doc_id", "i", "cid"), path=paths["places"])
+    places = materialize(lines.select("row", "doc_id", "i", "cid", "long"), path=paths["places"])
+    lines = lines.filter("long")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "i", "cid")
-    classes = materialize(places.groupBy("cid").agg(F.min(place).alias("pos"), F.count("*").alias("times")))
+    classes = materialize(places.groupBy("cid").agg(F.min(place).alias("pos"), F.count("*").alias("times"), F.min("long").alias("long")))
 
     # a text posts once, from its first place
-    copied = classes.filter("times > 1").select(F.col("cid").alias("c_cid"), F.col("pos.doc_id").alias("c_doc"), F.col("pos.i").alias("c_i"))
+    copied = classes.filter("times > 1 AND long").select(F.col("cid").alias("c_cid"), F.col("pos.doc_id").alias("c_doc"), F.col("pos.i").alias("c_i"))
     single = lines.join(narrow(copied), F.col("cid") == F.col("c_cid"), "left")
     single = single.filter(F.col("c_cid").isNull() | (F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("i") == F.col("c_i"))))
     posted = single.select("cid", F.explode(_postings(F.col("line"), F.col("n"), tau)).alias("p")).select("p.key", "cid", "p.probe")

@@ -44,18 +44,20 @@ def test_banded_distance(spark, tau):
 
 
 def expected(rows, tau=2, least=16):
-    places = sorted({(d is None, d or 0, i, line) for d, t in rows if t is not None for i, line in enumerate(t.split("\n")) if len(line) >= least})
+    counts = lambda line: len(line) >= least or any(c.isalnum() for c in line)
+    places = sorted({(d is None, d or 0, i, line) for d, t in rows if t is not None for i, line in enumerate(t.split("\n")) if counts(line)})
     first = {}
     for p in places:
         first.setdefault(p[3], p[:3])
-    near = {x for x in first if any(first[m] < first[x] and abs(len(m) - len(x)) <= tau and distance(x, m) <= tau for m in first if m != x)}
+    long = [m for m in first if len(m) >= least]
+    near = {x for x in long if any(first[m] < first[x] and abs(len(m) - len(x)) <= tau and distance(x, m) <= tau for m in long if m != x)}
     out = []
     for d, t in rows:
         if t is None:
             out.append((d, None))
             continue
         lines = t.split("\n")
-        out.append((d, "\n".join(x for i, x in enumerate(lines) if len(x) < least or (x not in near and first[x] == (d is None, d or 0, i)))))
+        out.append((d, "\n".join(x for i, x in enumerate(lines) if not counts(x) or (x not in near and first[x] == (d is None, d or 0, i)))))
     return sorted(out, key=repr)
 
 
@@ -81,6 +83,13 @@ def test_dense_group_of_unlike_lines(spark):
     assert sorted(((r.doc_id, r.text) for r in found.collect()), key=repr) == expected(rows)
 
 
+def test_short_lines_go_by_their_exact_text_and_layout_stays(spark):
+    rows = [(1, "Home\n}\n\nContact"), (2, "home\nHome\n}\n\n---"), (3, "Contact\n---\n确认"), (4, "确认\nContacts\nHome"), (5, "Home"), (5, "Home"), (None, "}\nContact")]
+    found = sorted(((r.doc_id, r.text) for r in dedup_lines(spark.createDataFrame([(*r, "", "") for r in rows], SCHEMA)).collect()), key=repr)
+    assert found == expected(rows)
+    assert (2, "home\n}\n\n---") in found and (4, "Contacts") in found and found.count((5, "")) == 2 and (None, "}") in found
+
+
 def test_empty_table_and_nothing_repeated(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     row = dedup_lines(spark.createDataFrame([(1, "a line of its own, long enough", "x", "y")], SCHEMA)).first()
