@@ -22,9 +22,10 @@ from .sides import narrow
 from .toxicity import held_out
 
 ORDER = 4
-#: Labelled documents per language that the statistics come from, and the longest of them in characters.
+#: Labelled documents per language that the statistics come from, and the characters that are learnt of one.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000
+_SALTS = 256
 _SLOTS = 21
 _RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
@@ -150,13 +151,21 @@ class Languages:
 def train(docs: DataFrame) -> Languages:
     """Statistics from a bounded sample of the documents with a language that are not held out: the same in every run.
 
-    Documents are chosen by the hash of their id; of several texts with one id and language the smallest counts.
+    Documents are chosen by the hash of their id, ``SAMPLE_DOCS`` a language. Those of up to ``SAMPLE_CHARS`` characters
+    come first; a language that has too few of them is filled up with longer ones, of which the first ``SAMPLE_CHARS``
+    characters are learnt. Of several texts with one id and language a short one counts before a long one, then the
+    smallest. Columns beyond ``doc_id``, ``lang`` and ``text`` are never read; without any such document no language is
+    learnt.
     """
-    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_DOCS)
-    texts = known.select("lang", "doc_id", "text").join(narrow(materialize(chosen)), ["lang", "doc_id"])
-    sample = texts.groupBy("lang", "place").agg(F.min("text").alias("text")).toArrow()
+    known = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    known = known.select("lang", "doc_id", "text", (F.length("text") > SAMPLE_CHARS).alias("long"))
+    ids = known.groupBy("lang", "doc_id").agg(F.min("long").alias("long")).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(_SALTS)))
+    order = [F.col("long"), F.xxhash64("doc_id"), F.col("doc_id")]
+    # ranked by salt first: no task meets the candidates of all tasks for one language
+    first = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= SAMPLE_DOCS)
+    chosen = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= SAMPLE_DOCS).drop("salt")
+    texts = known.join(narrow(materialize(chosen)), ["lang", "doc_id", "long"])
+    sample = texts.groupBy("lang", "place").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).toArrow()
     sample = sample.sort_by([("lang", "ascending"), ("place", "ascending")])
     by_name: dict[str, list[str]] = {}
     for lang, text in zip(sample.column("lang").to_pylist(), sample.column("text").to_pylist()):

@@ -134,3 +134,15 @@ def test_language_accuracy_and_und(spark):
     assert sum(r.lang == r.l.lang for r in scored) / len(scored) > 0.95
     odd = spark.createDataFrame([(None,), ("",), ("12 34 !",)], "text string").select(L.language(spark, F.col("text"), model).alias("l")).collect()
     assert all(r.l.lang == "und" and r.l.score == 0 for r in odd)
+
+
+def test_a_language_with_long_texts_only_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE_CHARS", 300)
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 6)
+    rows = [(i, "aa", "the cat and the dog sat there " * (2 if i % 2 else 20), "x") for i in range(40)] + [(None, "aa", None, "x"), (3, None, "the", "x")]
+    rows += [(100 + i, "bb", "der hund und die katze schlafen " * 30, "x") for i in range(40)] + [(900, "cc", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, place string")
+    model = L.train(docs)
+    assert sorted(model.names) == ["aa", "bb"]
+    guess = spark.createDataFrame([("the dog and the cat",), ("und der hund schlafen",)], "text string").select(L.language(spark, F.col("text"), model).alias("l")).collect()
+    assert [r.l.lang for r in guess] == ["aa", "bb"]
