@@ -12,7 +12,7 @@ def build_session(app_name: str = "kinfold", master: str | None = None, shuffle_
     """A session with the settings the operators are tuned for.
 
     Adaptive execution splits skewed join partitions and turns a join into a broadcast only after it has seen the
-    real size of the side; nothing in the library forces a broadcast.
+    real size of the side; the library forces one only for sides of a fixed bound.
     """
     builder = (
         SparkSession.builder.appName(app_name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinfold.operators import analytics, graph, monitoring, paging, reconcile, search
+from kinfold.operators import analytics, graph, monitoring, paging, reconcile, rollups, search
 from kinfold.sources.jdbc import discover_columns, discover_tables, search_tables
 
 from . import views as v
@@ -93,6 +93,18 @@ def a4w(spark, folder):
     return rounded(analytics.timeseries(entities(spark, folder), "created_at", "1w", "avg:value"), "value")
 
 
+@register(
+    "A4_stored_rollup_day",
+    f"""SELECT entity_type, date_trunc('day', created_at)::TIMESTAMP AS timestamp, count(value) AS n, round(sum(value), 2) / count(value) AS mean, round(stddev_samp(value), 4) AS stddev,
+    min(value) AS least, max(value) AS most FROM ({ENT}) WHERE value IS NOT NULL AND created_at IS NOT NULL GROUP BY 1, 2""",
+)
+def a4r(spark, folder):
+    hours = rollups.rollup(entities(spark, folder), "created_at", "1h", "value", ["entity_type"])
+    days = rollups.summary(rollups.merged(hours, "1d", ["entity_type"]), (), ["entity_type"])
+    # values have two decimals: so has their sum, and a mean of it is no matter of the order of addition
+    return rounded(days, "stddev").withColumn("mean", F.round(F.col("mean") * F.col("n"), 2) / F.col("n"))
+
+
 # ---------------------------------------------------------------- monitoring
 
 
