@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import levenshtein_similarity
-from kinfold.operators import blocking, bounds, compare
+from kinfold.operators import blocking, bounds, compare, dedup
 from kinfold.operators.dedup import dedup_fuzzy
 from kinfold.plans.resolution import MatchSpec, linked_pairs
 
@@ -89,3 +89,20 @@ def test_links_are_all_pairs_that_reach_the_score(spark, weights):
         every = compare.score_pairs(blocking.candidate_pairs(profs, list(weights)), weights).filter(F.col("confidence_score") >= review)
         key = lambda r: (r.id_a, r.id_b, r.confidence_score, r.record_pairs)
         assert sorted(map(key, linked_pairs(profs, spec).collect())) == sorted(map(key, every.collect()))
+
+
+def test_no_text_is_held_against_all_earlier_ones_once_an_early_one_removes_it(spark, monkeypatch):
+    """Of a block of near copies only the few that no early text removes reach the join with all earlier texts."""
+    asked = []
+    plain = dedup.jaro_winkler_candidates
+
+    def seen(df, group, id_col, text_col, threshold, rows_per_tile, some):
+        asked.append(some.count())
+        return plain(df, group, id_col, text_col, threshold, rows_per_tile, some)
+
+    monkeypatch.setattr(dedup, "jaro_winkler_candidates", seen)
+    rows = [(f"{i:04d}", f"{head} person {chr(97 + i % 26)}{chr(97 + i // 26)}", "A") for i, head in enumerate(["anna", "hugo"] * 300)]
+    df = spark.createDataFrame(rows, "id string, name string, country string")
+    kept = {r["id"] for r in dedup_fuzzy(df).collect()}
+    assert kept == {b[0] for i, b in enumerate(rows) if not any(plain_jaro_winkler(a[1], b[1]) >= 0.85 for a in rows[:i])}
+    assert asked[0] < 20
