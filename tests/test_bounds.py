@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import levenshtein_similarity
 from kinfold.operators import blocking, bounds, compare, dedup
 from kinfold.operators.dedup import dedup_fuzzy
-from kinfold.plans.resolution import MatchSpec, linked_pairs
+from kinfold.plans.resolution import MatchSpec, linked_pairs, matched_pairs
 
 from .test_resolution import plain_jaro_winkler
 
@@ -106,3 +106,16 @@ def test_no_text_is_held_against_all_earlier_ones_once_an_early_one_removes_it(s
     kept = {r["id"] for r in dedup_fuzzy(df).collect()}
     assert kept == {b[0] for i, b in enumerate(rows) if not any(plain_jaro_winkler(a[1], b[1]) >= 0.85 for a in rows[:i])}
     assert asked[0] < 20
+
+
+def test_only_pairs_that_may_match_are_scored_for_matches(spark):
+    """Pairs for review grow with the square of a block without names; clusters do not need them."""
+    rows = [(f"{i:03d}", "t", None, f"19{10 + i % 80}-0{1 + i % 9}-1{i % 10}", f"{chr(98 + i % 20)}a{chr(98 + i % 7)}a@example.com", "EMPTY_X") for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, name string, dob string, email string, block_key string")
+    profs = blocking.stored_profiles(df, ["name", "dob", "email"])
+    every = linked_pairs(profs).filter("decision = 'match'")
+    key = lambda r: (r.id_a, r.id_b, r.confidence_score, r.decision, r.record_pairs)
+    assert sorted(map(key, matched_pairs(profs).collect())) == sorted(map(key, every.collect()))
+    marked = compare.with_marks(profs, compare.DEFAULT_WEIGHTS)
+    met = lambda least: blocking.candidate_pairs(marked, list(compare.DEFAULT_WEIGHTS), where=compare.may_reach(profs.columns, compare.DEFAULT_WEIGHTS, least)).count()
+    assert 5 * met(0.9) < met(0.7)
