@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .analytics import percentile_columns
 from .mapping import PROPERTY_TYPES
 
@@ -76,5 +77,6 @@ def flag_outliers(df: DataFrame, column: str, group: Sequence[str] = (), method:
     else:
         raise ValueError(f"unknown outlier method {method!r}")
     names = [c for c in figures.columns if c not in group]
+    figures = materialize(figures) if group else figures  # of known size: few groups are broadcast and the rows stay where they are
     stated = df.join(figures, list(group), "left") if group else df.withColumns({c: figures.select(c).scalar() for c in names})
     return stated.withColumn("is_outlier", F.coalesce(flag, F.lit(False))).drop(*names)

@@ -165,3 +165,12 @@ def test_assignment_is_greedy_over_all_pairs(spark):
     suggested = {(r.source_column, r.property) for r in mapping.suggest_mappings(one, two).collect()}
     assert suggested == {(s[1], s[2]) for s in best.values() if -s[0] >= 0.7}
     assert mapping.assign_mappings(one.limit(0), two).count() == 0
+
+
+def test_outliers_of_few_groups_leave_the_rows_where_they_are(spark):
+    from kinfold.operators.quality import flag_outliers
+
+    rows = [(i, "ab"[i % 2], float(i % 7)) for i in range(200)] + [(999, "a", 500.0), (1000, None, 1.0)]
+    found = flag_outliers(spark.createDataFrame(rows, "id int, g string, x double"), "x", ["g"])
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in found.filter("is_outlier").collect()} == {999} and found.count() == 202
