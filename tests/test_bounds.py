@@ -1,11 +1,16 @@
 """Joins that compare only what letter counts allow, against all pairs."""
 
+import contextlib
+import io
 import itertools
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions import jaro
 from kinfold.functions.text import levenshtein_similarity
 from kinfold.operators import blocking, bounds, compare, dedup
 from kinfold.operators.dedup import dedup_fuzzy
@@ -119,3 +124,62 @@ def test_only_pairs_that_may_match_are_scored_for_matches(spark):
     marked = compare.with_marks(profs, compare.DEFAULT_WEIGHTS)
     met = lambda least: blocking.candidate_pairs(marked, list(compare.DEFAULT_WEIGHTS), where=compare.may_reach(profs.columns, compare.DEFAULT_WEIGHTS, least)).count()
     assert 5 * met(0.9) < met(0.7)
+
+
+def _generated(df) -> list[int]:
+    """Sizes of the largest methods of the code Spark makes for a frame."""
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled")
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            df.explain("codegen")
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+
+
+def test_the_join_on_letters_is_compiled(spark):
+    """The JVM only interprets methods of more than 8000 bytes, which makes each pair of a block many times dearer."""
+    rows = [(f"{i:03d}", "t", f"n{i}", "1990-01-02", f"n{i}@example.com", "b") for i in range(20)]
+    profs = blocking.stored_profiles(spark.createDataFrame(rows, "id string, tenant_id string, name string, dob string, email string, block_key string"), ["name", "dob", "email"])
+    sizes = _generated(linked_pairs(profs))
+    assert sizes and max(sizes) < 8000
+
+
+def test_values_of_profiles_are_not_normalised_again_for_each_pair(spark):
+    rows = [(f"{i:03d}", "t", f" N{i}", "1990-01-02", None, "b") for i in range(5)]
+    profs = blocking.stored_profiles(spark.createDataFrame(rows, "id string, tenant_id string, name string, dob string, email string, block_key string"), ["name", "dob", "email"])
+    met = blocking.candidate_pairs(profs, ["name", "dob", "email"])
+    plain, again = compare.score_pairs(met, normalized=True), compare.score_pairs(met)
+    key = lambda r: (r.id_a, r.id_b, r.score_name, r.score_dob, r.score_email, r.confidence_score)
+    assert sorted(map(key, plain.collect())) == sorted(map(key, again.collect()))
+    for frame in (plain, linked_pairs(profs)):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            frame.explain()
+        assert "trim" not in text.getvalue().lower()
+
+
+def test_letter_bounds_of_columns_are_never_below_the_similarity(spark):
+    rng = random.Random(6)
+    some = [*texts(rng, 60), "日本語ペ", "日本語本", "가나다힣", "가나다라"]
+    rows = [(a, b) for a, b in itertools.product(some, some)][::3]
+    df = bounds.marked(spark.createDataFrame(rows, "a string, b string"), {"_x": F.col("a"), "_y": F.col("b")})
+    x, y = bounds.mark_columns("_x"), bounds.mark_columns("_y")
+    for r in df.select("a", "b", bounds.jaro_winkler_upto(x, y).alias("jw"), bounds.levenshtein_upto(x, y).alias("lev"), F.levenshtein("a", "b").alias("d")).collect():
+        assert (1.0 if r.a == r.b else plain_jaro_winkler(r.a, r.b)) <= r.jw + 1e-9
+        assert 1 - r.d / max(len(r.a), len(r.b)) <= r.lev + 1e-9
+
+
+def test_a_text_that_meets_many_is_prepared_once(monkeypatch):
+    """Batches of pairs repeat few texts; what a text alone decides is not worked out for each pair."""
+    rng, seen = random.Random(7), []
+    some = [*texts(rng, 60)[:-4], "", "a" * 64, "b" * 33, "éa" * 31]
+    rows = [(a, b) for a in some[:40] for b in some]
+    plain = jaro._characters
+    monkeypatch.setattr(jaro, "_characters", lambda a, b, longest: seen.append(len(a) + len(b)) or plain(a, b, longest))
+    found = jaro.jaro_winkler_arrow(*(pa.array(side, pa.string()) for side in zip(*rows))).to_pylist()
+    assert sum(seen) <= 2 * len(some)
+    for (a, b), score in zip(rows, found):
+        assert score == pytest.approx(1.0 if a == b else plain_jaro_winkler(a, b) if a and b else 0.0, abs=1e-12)
