@@ -59,16 +59,21 @@ def token_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return raw.join(norm, "id").select("id", "token", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def tfidf_cosine(pairs: DataFrame, weights: DataFrame, id_a: str = "id_a", id_b: str = "id_b") -> DataFrame:
+def with_vectors(df: DataFrame, weights: DataFrame, id_col: str = "id", output: str = "vector") -> DataFrame:
+    """Add the words of each row and their ``token_weights`` as a map; null for a text without words."""
+    vectors = weights.groupBy(F.col("id").alias("_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias(output))
+    return df.join(vectors, F.col(id_col) == F.col("_id"), "left").drop("_id")
+
+
+def tfidf_cosine(pairs: DataFrame, weights: DataFrame | None = None, id_a: str = "id_a", id_b: str = "id_b") -> DataFrame:
     """Add ``tfidf_cosine`` to given pairs; pairs without a common word score 0.
 
-    Only the given pairs are scored, so a word that occurs everywhere costs a row per pair and not a row per pair of
-    texts that contain it.
+    Only the given pairs are scored, so a word that occurs everywhere costs a step per pair and not a row per pair of
+    texts that contain it. Pairs of rows of ``with_vectors`` bring ``vector_a`` and ``vector_b`` along, which are dropped:
+    no pair is sent anywhere. To other pairs the vectors of both sides are joined.
     """
-    side = lambda s: weights.select(F.col("id").alias(f"id_{s}"), "token", F.col("weight").alias(f"_w{s}"))
-    named = pairs.select(F.col(id_a).alias("id_a"), F.col(id_b).alias("id_b")).distinct()
-    dots = named.join(side("a"), "id_a").join(side("b"), ["id_b", "token"]).groupBy("id_a", "id_b").agg(
-        F.sum(F.col("_wa") * F.col("_wb")).alias("_dot")
-    )
-    keys = dots.select(F.col("id_a").alias(id_a), F.col("id_b").alias(id_b), "_dot")
-    return pairs.join(keys, [id_a, id_b], "left").withColumn("tfidf_cosine", F.round(F.coalesce("_dot", F.lit(0.0)), 4)).drop("_dot")
+    if weights is not None:
+        pairs = with_vectors(with_vectors(pairs, weights, id_a, "vector_a"), weights, id_b, "vector_b")
+    a, b = F.col("vector_a"), F.col("vector_b")
+    dot = F.aggregate(F.map_entries(a), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+    return pairs.withColumn("tfidf_cosine", F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.round(dot, 4))).drop("vector_a", "vector_b")

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import jaro
 from kinfold.functions.text import levenshtein_similarity
-from kinfold.operators import blocking, bounds, compare, dedup
+from kinfold.operators import blocking, bounds, compare, dedup, search
 from kinfold.operators.dedup import dedup_fuzzy
 from kinfold.plans.resolution import MatchSpec, linked_pairs, matched_pairs
+from kinfold.session import materialize
 
 from .test_resolution import plain_jaro_winkler
 
@@ -183,3 +184,21 @@ def test_a_text_that_meets_many_is_prepared_once(monkeypatch):
     assert sum(seen) <= 2 * len(some)
     for (a, b), score in zip(rows, found):
         assert score == pytest.approx(1.0 if a == b else plain_jaro_winkler(a, b) if a and b else 0.0, abs=1e-12)
+
+
+def test_cosine_of_pairs_that_bring_their_vectors_moves_no_pair(spark):
+    rows = [(f"{i:02d}", "t", t, "b") for i, t in enumerate(["anna maria berg", "berg anna", "hugo", "", None, "anna anna", "Hugo"])]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, name string, block_key string")
+    profs = blocking.stored_profiles(df, ["name"])
+    weights = search.token_weights(profs, "profile_id", "name")
+    vectors = materialize(search.with_vectors(profs, weights, "profile_id").drop("name"))
+    met = blocking.candidate_pairs(vectors, ["vector"])
+    brought = search.tfidf_cosine(met)
+    key = lambda r: (r.id_a, r.id_b, r.tfidf_cosine)
+    joined = search.tfidf_cosine(blocking.candidate_pairs(profs, ["name"]).select("id_a", "id_b"), weights).collect()
+    assert sorted(map(key, brought.collect())) == sorted(map(key, joined)) and len(joined) == 10
+    held = {(w.id, w.token): w.weight for w in weights.collect()}
+    for r in joined:
+        assert r.tfidf_cosine == round(sum(w * held.get((r.id_b, t), 0.0) for (i, t), w in held.items() if i == r.id_a), 4)
+    shuffles = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(search.tfidf_cosine(met)) == shuffles(met)
