@@ -222,15 +222,19 @@ def encode(spark: SparkSession, text: Column, model: bytes) -> Column:
     return run(text)
 
 
-def encoded(docs: DataFrame, keep: Sequence[str], model: bytes) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``ids``, handed back in small batches, which bounds memory for whole corpora."""
-    work = _encoder(docs.sparkSession.sparkContext.broadcast(model))
-
+def _in_slices(work: Callable[[pa.Array], pa.Array], keep: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in T.slices(whole):
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), work(batch.column("text"))], [*keep, "ids"])
+                T.give_back()
+
+    return run
+
 
+def encoded(docs: DataFrame, keep: Sequence[str], model: bytes) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``ids``, handed back in small batches, which bounds memory for whole corpora."""
+    run = _in_slices(_encoder(docs.sparkSession.sparkContext.broadcast(model)), keep)
     return docs.select(*keep, "text").mapInArrow(run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
 
 

@@ -1,10 +1,12 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from kinfold.llm import pieces as module
 from kinfold.llm.pieces import Pieces, decode, encode, read_model, round_trip, words
 
 from .cases import documents, frame
@@ -65,3 +67,14 @@ def test_small_tables_change_no_id(library, pieces, monkeypatch):
     monkeypatch.setattr(pieces.compatible, "size", 5)
     for text in texts()[:300]:
         assert [i for w in words(text) for i in pieces.ids(w)] == library.encode(text)
+
+
+def test_memory_is_handed_back_after_each_slice(monkeypatch):
+    """A worker that keeps what a slice needed stays large for all later stages."""
+    done = []
+    monkeypatch.setattr(module.T, "give_back", lambda: done.append(len(done)))
+    work = lambda texts: pa.array([[len(t.as_py())] for t in texts], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a" * 700_000, "b" * 700_000, "c"])], ["doc_id", "text"])
+    out = list(module._in_slices(work, ["doc_id"])(iter([batch])))
+    assert [r for b in out for r in b.to_pylist()] == [{"doc_id": 1, "ids": [700_000]}, {"doc_id": 2, "ids": [700_000]}, {"doc_id": 3, "ids": [1]}]
+    assert len(done) == len(out) == 2
