@@ -8,9 +8,9 @@ last: two documents with ``need`` common values out of ``m`` shared ones must me
 counting the collisions of the packed signatures.
 
 No list or group is paired in full into rows. Lists are cut into tiles, so the largest list is spread over many tasks,
-and a tile returns a spanning forest of its colliding documents: clusters, at most a row per document and tile. The
-documents of a cluster then meet with their whole sets, again tile by tile, and a tile returns a spanning forest of the
-true links. The first tile of a cluster meets all others first; where that already joins the cluster, it is done.
+and a tile returns its colliding documents as stars: clusters, at most a row per document and tile. The documents of a
+cluster then meet with their whole sets, again tile by tile, and a tile returns what its true links connect as stars
+around the smallest id, which are components already where no two tiles meet. The first tile of a cluster meets all others first; where that already joins the cluster, it is done.
 """
 
 from __future__ import annotations
@@ -116,9 +116,9 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
         yield from cut(pa.concat_tables(held).combine_chunks(), True)
 
 
-def _forest(near: np.ndarray, inner: bool) -> Iterator[tuple[int, int]]:
-    """A spanning forest of a graph: of a square matrix (``inner``), or of a matrix between two sides, whose columns are
-    numbered after its rows."""
+def _stars(near: np.ndarray, inner: bool, node: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The components of a graph as stars: the smallest ``node`` of each with every other. The graph is a square matrix
+    (``inner``), or a matrix between two sides, whose columns are numbered after its rows."""
     if inner:
         links = near | near.T
     else:
@@ -129,12 +129,15 @@ def _forest(near: np.ndarray, inner: bool) -> Iterator[tuple[int, int]]:
     while open_.any():
         front = [int(np.argmax(open_))]
         open_[front[0]] = False
+        held = list(front)
         while front:
-            x = front.pop()
-            new = np.flatnonzero(links[x] & open_)
+            new = np.flatnonzero(links[front.pop()] & open_)
             open_[new] = False
             front.extend(new.tolist())
-            yield from ((x, y) for y in new.tolist())
+            held.extend(new.tolist())
+        ids = node[held]
+        least = ids.min()
+        yield from ((least, x) for x in ids if x != least)
 
 
 def _fits_size(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -197,7 +200,7 @@ def _sides(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray]:
 
 
 def _may_link(need: int, percent: int):
-    """Spanning forests, list by list and tile by tile, of the documents that collide often enough."""
+    """Stars, list by list and tile by tile, of the documents that collide often enough."""
 
     def pairs(batches):
         for table in _groups(batches, ["key", "i", "j"]):
@@ -210,13 +213,13 @@ def _may_link(need: int, percent: int):
             if inner:
                 np.fill_diagonal(near, False)
             node = cid if inner else np.concatenate((cid[a], cid[b]))
-            yield from ((node[x], node[y]) for x, y in _forest(near, inner))
+            yield from _stars(near, inner, node)
 
     return lambda batches: _emitted(pairs(batches))
 
 
 def _do_link(percent: int):
-    """Spanning forests, tile by tile of a cluster, of the documents whose whole sets are similar enough."""
+    """Stars, tile by tile of a cluster, of the documents whose whole sets are similar enough."""
 
     def pairs(batches):
         for table in _groups(batches, ["cluster", "i", "j"]):
@@ -234,7 +237,7 @@ def _do_link(percent: int):
                 np.fill_diagonal(near, False)
             near &= comp[a][:, None] != comp[b][None, :]
             node = cid if inner else np.concatenate((cid[a], cid[b]))
-            yield from ((node[x], node[y]) for x, y in _forest(near, inner))
+            yield from _stars(near, inner, node)
 
     return lambda batches: _emitted(pairs(batches))
 
@@ -252,8 +255,8 @@ def _pairs(cells: DataFrame, group: str, finder) -> DataFrame:
 
 
 def _components(links: DataFrame) -> DataFrame:
-    found = connected_components(links, "a", "b")
-    return found.select(F.col("id").cast("long").alias("cid"), F.col("cluster_id").cast("long").alias("comp"))
+    found = connected_components(links, "a", "b", as_text=False)
+    return found.select(F.col("id").alias("cid"), F.col("cluster_id").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -301,12 +304,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     cells = _cells(sets.withColumn("comp", F.col("cid")), "cluster", "comp", "shingles").filter("i = j OR i = 0")
     links = materialize(_pairs(cells, "cluster", _do_link(percent)))
     comps = materialize(_components(links))
-    tiled = sets.filter("tiles > 2").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    parted = tiled.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
-    cells = _cells(tiled.join(parted, "cluster", "left_semi"), "cluster", "comp", "shingles").filter("i < j AND i > 0")
-    more = materialize(_pairs(cells, "cluster", _do_link(percent)))
-    if not more.isEmpty():
-        comps = _components(links.unionByName(more))
+    many = sets.filter("tiles > 2")
+    if not many.isEmpty():
+        tiled = many.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        parted = tiled.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
+        cells = _cells(tiled.join(parted, "cluster", "left_semi"), "cluster", "comp", "shingles").filter("i < j AND i > 0")
+        more = materialize(_pairs(cells, "cluster", _do_link(percent)))
+        if not more.isEmpty():
+            comps = _components(links.unionByName(more))
 
     ids = signed.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"))
     ids = ids.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

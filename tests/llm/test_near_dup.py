@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from kinfold.llm.near_dup import collisions_needed, near_duplicates, without_near_duplicates
@@ -72,3 +73,33 @@ def test_empty_table(spark):
 
 def test_collisions_needed_falls_with_the_chance_allowed():
     assert collisions_needed(160, 85) < 136 and collisions_needed(160, 85, 1e-3) > collisions_needed(160, 85, 1e-9)
+
+
+def test_components_of_a_tile_are_stars_around_the_smallest_id():
+    from kinfold.llm.near_dup import _stars
+
+    chain = np.zeros((5, 5), bool)
+    chain[[0, 1, 2], [1, 2, 3]] = True
+    assert sorted(_stars(chain, True, np.array([9, 5, -2, 7, 1]))) == [(-2, 5), (-2, 7), (-2, 9)]
+    between = np.array([[True, False], [True, False]])
+    assert sorted(_stars(between, False, np.array([4, 8, 6, 3]))) == [(4, 6), (4, 8)]
+
+
+def test_few_rounds_and_frames_where_tiles_hold_whole_clusters(spark, monkeypatch):
+    """Every frame written costs the driver plans, threads and garbage; the components of whole sets need no rounds."""
+    from kinfold.llm import near_dup
+    from kinfold.operators import cluster
+
+    written = []
+    for module in (near_dup, cluster):
+        monkeypatch.setattr(module, "materialize", lambda df, *a, write=module.materialize, at=module.__name__, **k: (written.append((at, df.dtypes)), write(df, *a, **k))[1])
+    rng = random.Random(7)
+    words = sentence(rng, 80).split()
+    rows = [(i, " ".join(words[i:i + 60]), "en", "a", 1) for i in range(12)]  # a chain: neighbours alike, ends not
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(frame(spark, rows), 3, 85).collect()), key=repr)
+    assert got == expected(rows, 3, 85)
+    rounds = [types for at, types in written if at == "kinfold.operators.cluster"]
+    assert all(types == [("u", "bigint"), ("v", "bigint")] for types in rounds)
+    own = [k for k, (at, _) in enumerate(written) if at == "kinfold.llm.near_dup"]
+    assert len(own) == 10
+    assert own[8] - own[7] == 2  # the links of whole sets are components as they are

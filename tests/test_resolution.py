@@ -152,6 +152,13 @@ def test_equal_ids_of_two_tenants_stay_apart(spark):
     assert found == {("t1", "1"): "1", ("t1", "2"): "1", ("t2", "2"): "2", ("t2", "3"): "2"}
 
 
+def test_numbers_stay_numbers_unless_taken_as_text(spark):
+    edges = spark.createDataFrame([(10, 9), (10, 11), (-3, 2), (None, 5)], "a bigint, b bigint")
+    found = cluster.connected_components(edges, "a", "b", as_text=False)
+    assert found.dtypes == [("id", "bigint"), ("cluster_id", "bigint")]
+    assert sorted(map(tuple, found.collect())) == [(-3, -3), (2, -3), (9, 9), (10, 9), (11, 9)]
+
+
 def test_singletons_stay_clusters(spark):
     records = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
     comps = cluster.connected_components(spark.createDataFrame([("1", "2"), ("1", "9")], "id_a string, id_b string"))
