@@ -128,32 +128,31 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
     """
     spark = docs.sparkSession
     lines = _occurrences(docs.select("doc_id", "text"), min_chars)
-    paths = {x: scratch_path(spark, x) for x in ("places", "postings", "posts", "texts", "links")}
+    paths = {x: scratch_path(spark, x) for x in ("places", "postings", "posts", "texts", "rows", "links")}
     places = materialize(lines.select("row", "doc_id", "i", "cid", "long"), path=paths["places"])
     lines = lines.filter("long")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "i", "cid")
     classes = materialize(places.groupBy("cid").agg(F.min(place).alias("pos"), F.count("*").alias("times"), F.min("long").alias("long")))
 
-    # a text posts once, from its first place
+    # a text posts once, from its first place, which so is the place of its class
     copied = classes.filter("times > 1 AND long").select(F.col("cid").alias("c_cid"), F.col("pos.doc_id").alias("c_doc"), F.col("pos.i").alias("c_i"))
     single = lines.join(narrow(copied), F.col("cid") == F.col("c_cid"), "left")
     single = single.filter(F.col("c_cid").isNull() | (F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("i") == F.col("c_i"))))
-    posted = single.select("cid", F.explode(_postings(F.col("line"), F.col("n"), tau)).alias("p")).select("p.key", "cid", "p.probe")
+    posted = single.select("cid", place.alias("pos"), F.explode(_postings(F.col("line"), F.col("n"), tau)).alias("p")).select("p.key", "cid", "p.probe", "pos")
     posted = materialize(posted, path=paths["postings"])
     live = posted.groupBy("key").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a <> b").select("key")
-    posts = posted.join(narrow(materialize(live)), "key", "left_semi").distinct()
-    posts = posts.join(classes.select("cid", "pos"), "cid")
-    posts = materialize(posts, path=paths["posts"])
+    posts = materialize(posted.join(narrow(materialize(live)), "key", "left_semi").distinct(), path=paths["posts"])
     release(spark, paths.pop("postings"))
 
     counts = [(F.length("line") - F.length(F.replace(F.col("line"), F.lit(c)))).alias(f"c{k}") for k, c in enumerate(_LETTERS)]
     wanted = materialize(posts.select("cid").distinct())
     texts = lines.join(narrow(wanted), "cid", "left_semi").select("cid", "line", "n", *counts).dropDuplicates(["cid"])
     texts = materialize(texts, path=paths["texts"])
-    numbers = texts.drop("line")
+    rows = materialize(posts.join(texts.drop("line"), "cid"), path=paths["rows"])
+    release(spark, paths.pop("posts"))
 
-    def side(prefix: str) -> DataFrame:
-        return numbers.select(*[F.col(c).alias(f"{prefix}_{c}") for c in numbers.columns])
+    def side(prefix: str, frame: DataFrame) -> DataFrame:
+        return frame.select(*[F.col(c).alias(f"{prefix}_{c}") for c in frame.columns])
 
     close = sum((F.abs(F.col(f"l_c{k}") - F.col(f"r_c{k}")) for k in range(1, len(_LETTERS))), F.abs(F.col("l_c0") - F.col("r_c0"))) <= 2 * tau
 
@@ -163,15 +162,14 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -
         checked = pairs.join(one, "l_cid").join(two, "r_cid")
         return checked.filter(banded_distance(F.col("l_line"), F.col("r_line"), tau).isNotNull()).select(F.col("l_cid").alias("cid")).distinct()
 
-    first = posts.groupBy("key").agg(F.min("pos").alias("head"))
-    star = posts.join(first, "key").filter("cid <> head.cid").select(F.col("cid").alias("l_cid"), F.col("head.cid").alias("r_cid")).distinct()
-    settled = materialize(verified(star.join(side("l"), "l_cid").join(side("r"), "r_cid").filter(close).select("l_cid", "r_cid")), path=paths["links"])
+    head = F.struct("pos", *[c for c in rows.columns if c not in ("key", "probe", "pos")])
+    first = rows.groupBy("key").agg(F.min(head).alias("head")).select("key", "head.*")
+    meet = (F.col("l_key") == F.col("r_key")) & (F.col("r_pos") < F.col("l_pos")) & close
+    star = side("l", rows.drop("probe")).join(side("r", first), meet).select("l_cid", "r_cid").distinct()
+    settled = materialize(verified(star), path=paths["links"])
 
-    rows = posts.join(numbers, "cid")
-    left = rows.join(settled, "cid", "left_anti").select(F.col("key").alias("l_key"), *[F.col(c).alias(f"l_{c}") for c in rows.columns if c != "key"])
-    right = rows.select(F.col("key").alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in rows.columns if c != "key"])
-    meet = (F.col("l_key") == F.col("r_key")) & (F.col("r_pos") < F.col("l_pos")) & ~(F.col("l_probe") & F.col("r_probe"))
-    meet &= (F.abs(F.col("l_n") - F.col("r_n")) <= tau) & close
+    left, right = side("l", rows.join(settled, "cid", "left_anti")), side("r", rows)
+    meet &= ~(F.col("l_probe") & F.col("r_probe")) & (F.abs(F.col("l_n") - F.col("r_n")) <= tau)
     rest = verified(left.join(right, meet).select("l_cid", "r_cid").distinct())
 
     near = settled.unionByName(rest).distinct().withColumn("near", F.lit(True))

@@ -297,7 +297,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
     Ties in the order of hashes go to the smaller id. Other columns of ``docs`` and ``labels`` are ignored.
     """
-    return fit(*balanced_sample(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL))
+    model = fit(*balanced_sample(docs, labels, "toxic", SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL))
+    T.give_back_arrays()  # else the driver stays as large as while it learnt
+    return model
 
 
 def toxicity(spark: SparkSession, text: Column, model: Field) -> Column:

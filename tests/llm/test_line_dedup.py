@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.llm import line_dedup
 from kinfold.llm.line_dedup import banded_distance, dedup_lines
 
 SCHEMA = "doc_id long, text string, dropped_lines string, line string"
@@ -99,3 +100,18 @@ def test_empty_table_and_nothing_repeated(spark):
 def test_main_path_is_native(spark):
     plan = dedup_lines(spark.createDataFrame([(1, "a line of its own, long enough", "x", "y")], SCHEMA))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_no_step_is_planned_with_many_joins(spark, monkeypatch):
+    """The driver plans a step anew after each of its stages, so a step with many joins is what its memory goes into."""
+    joins, write = [], line_dedup.materialize
+
+    def counted(df, **options):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, **options)
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    rows = [(1, "a line that comes again, long enough"), (2, "a line that comes again, long enouhg"), (3, "a line that comes aga1n, long enough")]
+    found = dedup_lines(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA))
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == expected(rows)
+    assert max(joins) <= 5

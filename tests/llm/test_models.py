@@ -1,7 +1,10 @@
 """Toxicity, quality and language: exact sums against brute force, held-out accuracy, and odd rows."""
 
+import ctypes
 import itertools
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +149,21 @@ def test_a_language_with_long_texts_only_is_learnt(spark, monkeypatch):
     assert sorted(model.names) == ["aa", "bb"]
     guess = spark.createDataFrame([("the dog and the cat",), ("und der hund schlafen",)], "text string").select(L.language(spark, F.col("text"), model).alias("l")).collect()
     assert [r.l.lang for r in guess] == ["aa", "bb"]
+
+
+def test_training_leaves_no_freed_arrays_with_the_driver(spark, monkeypatch):
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("the C library hands memory back by itself")
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    kept = []
+
+    def fit(texts, toxic):
+        arrays = [np.ones(100_000, np.int8) for _ in range(2000)]  # 200 MB in blocks that the C library keeps
+        kept.append(arrays[-1])
+        return X.Field()
+
+    monkeypatch.setattr(X, "fit", fit)
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    before = held()
+    X.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert held() - before < 100
