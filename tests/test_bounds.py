@@ -202,3 +202,24 @@ def test_cosine_of_pairs_that_bring_their_vectors_moves_no_pair(spark):
         assert r.tfidf_cosine == round(sum(w * held.get((r.id_b, t), 0.0) for (i, t), w in held.items() if i == r.id_a), 4)
     shuffles = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert shuffles(search.tfidf_cosine(met)) == shuffles(met)
+
+
+def test_a_filter_on_the_scores_scores_no_pair_again(spark):
+    """Spark pushes a filter on a score below it, and with it a second evaluation, unless the score says that it must not."""
+    rows = [(f"{i:03d}", "t", f"n{i}", "1990-01-02", f"n{i}@example.com", "b") for i in range(20)]
+    profs = blocking.stored_profiles(spark.createDataFrame(rows, "id string, tenant_id string, name string, dob string, email string, block_key string"), ["name", "dob", "email"])
+    steps = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert steps(linked_pairs(profs)) == steps(linked_pairs(profs).filter("decision = 'review'")) == 1
+    assert steps(compare.score_pairs(blocking.candidate_pairs(profs, ["name", "email"])).filter("confidence_score > 0.8")) == 1
+
+
+def test_batches_of_short_texts_score_by_the_definition_whatever_their_length():
+    """Words of the matching are as short as the texts of a batch let them be, and a batch may be longer than a block of it."""
+    rng = random.Random(8)
+    for longest in (5, 8, 9, 16, 17, 32, 33, 64):
+        some = ["".join(rng.choice("abcé日 ") for _ in range(rng.randint(1, longest))) for _ in range(9)] + ["a" * longest, "ab" * (longest // 2)]
+        rows = [(a, b) for a, b in itertools.product(some, some)]
+        again = 1 + 2 * jaro._SHORT_ROWS // len(rows) if longest == 17 else 1
+        found = jaro.jaro_winkler_arrow(*(pa.array(side * again, pa.string()) for side in zip(*rows))).to_pylist()
+        expected = [1.0 if a == b else plain_jaro_winkler(a, b) for a, b in rows]
+        assert found == pytest.approx(expected * again, abs=1e-12)
